@@ -127,31 +127,39 @@ BLOCK_ROWS = 1_000_000
 
 
 def count_drops(df: DataFrame, mark: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """How often ``mark`` has dropped so far, in rid order within each source.
+    """How often ``mark`` has dropped so far, in rid order within each source;
+    rows without a mark are passed over.
 
     Two phases, so that no task holds a whole source: each source is cut into
     blocks of ``block_rows`` dense rids and drops are counted inside the blocks;
     only the block summaries (one row per million) are then put in order."""
+    value = ref(mark)
     block = F.call_function("div", F.col("rid") - 1, F.lit(block_rows))
     inner = Window.partitionBy("source_id", "_block").orderBy("rid")
+    earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
     so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
-    drop = F.when(ref(mark) < F.lag(ref(mark)).over(inner), 1).otherwise(0)
+    drop = F.when(value < F.last(value, ignorenulls=True).over(earlier), 1).otherwise(0)
     counted = (
         df.withColumn("_block", block)
         .withColumn("_drop", drop)
         .withColumn("_inner", F.sum("_drop").over(so_far))
     )
+    marked = F.when(value.isNotNull(), F.col("rid"))
     blocks = counted.groupBy("source_id", "_block").agg(
-        F.min_by(ref(mark), "rid").alias("_first"),
-        F.max_by(ref(mark), "rid").alias("_last"),
+        F.min_by(value, marked).alias("_first"),
+        F.max_by(value, marked).alias("_last"),
         F.sum("_drop").alias("_drops"),
     )
     across = Window.partitionBy("source_id").orderBy("_block")
-    at_edge = F.when(F.col("_first") < F.lag("_last").over(across), 1).otherwise(0)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    at_edge = F.when(F.col("_first") < F.last("_last", ignorenulls=True).over(before), 1).otherwise(0)
     carried = F.coalesce(F.lag("_drops").over(across), F.lit(0))
     bases = blocks.select("source_id", "_block", (at_edge + carried).alias("_step")).select(
         "source_id", "_block",
         F.sum("_step").over(across.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"),
     )
+    # A mark-less start of a block belongs to the drops counted before it, and
+    # the edge drop counts from the block's first mark on.
+    joined = counted.join(bases, ["source_id", "_block"])
     total = (F.col("_base") + F.col("_inner")).alias(name)
-    return counted.join(bases, ["source_id", "_block"]).select(*[ref(c) for c in df.columns], total)
+    return joined.select(*[ref(c) for c in df.columns], total)
