@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import moments
 from ..functions.columns import KEYS, as_text, base_columns, data_fields, is_derived, ref
 from ..functions.registry import get_op, validate_params
+from ..session import spread
 from .ids import count_drops
 from .predicates import unparsed_rows
 
@@ -114,7 +115,7 @@ def add_derived(df: DataFrame, name: str, input_column: str, op_id: str, params:
 
 def flatten_column(df: DataFrame, column: str, fields: dict[str, str], kind: str = "json") -> DataFrame:
     """Several fields of one document column: ``{new name: path}``."""
-    return add_derived_columns(df, [
+    return add_derived_columns(spread(df), [
         {"name": name, "input_column": column, "op_id": f"{kind}_field", "params": {"path": path}}
         for name, path in fields.items()
     ])

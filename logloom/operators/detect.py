@@ -17,6 +17,7 @@ from ..functions.columns import (
 )
 from ..functions.registry import OPERATIONS, detection_params
 from ..functions.scalars import DATE_PATTERN, NUMBER_PATTERN, stripped
+from ..session import spread
 from .derived import definitions
 
 TYPE_SAMPLE = 500
@@ -57,7 +58,7 @@ def _visible_ops():
 def _cells(df: DataFrame, column: str, sample: int | None) -> DataFrame:
     """The filled values of one column as ``v``."""
     cells = df.select(as_text(df, column).alias("v")).where(stripped(F.col("v")) != "")
-    return cells if sample is None else cells.limit(sample)
+    return spread(cells) if sample is None else cells.limit(sample)
 
 
 def _shares(cells: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def suggest_timestamp_columns(
         return empty
     ops = _visible_ops()
     if sample is None:
-        cells = df.select(F.explode(F.array(*[
+        cells = spread(df).select(F.explode(F.array(*[
             F.struct(F.lit(n).alias("column"), as_text(df, n).alias("v")) for n in names
         ])).alias("c")).select("c.*").where(stripped(F.col("v")) != "")
     else:
@@ -135,7 +136,7 @@ def sniff_document_kind(df: DataFrame, column: str, sample: int | None = DETECT_
 
 def discover_fields(
     df: DataFrame, column: str, kind: str | None = None, sample: int | None = DETECT_SAMPLE,
-    max_depth: int = documents.MAX_DEPTH,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """``(path, count, coverage, nonempty, sample)`` of the leaves in a document
     column: fields with content first, then by coverage, then by path."""

@@ -16,13 +16,18 @@ ROOT, ORPHAN, CYCLE = ".", ".\\<orphan>", ".\\<cycle>"
 HOT_ROWS = 1_000_000
 
 
-def join_hot_keys(big: DataFrame, lookup: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_hot_keys(
+    big: DataFrame, lookup: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, big_rows: int | None = None
+) -> DataFrame:
     """``big`` left-joined to a lookup that is unique on ``keys``, when single
     keys may hold much of ``big``.
 
     Keys with more than ``hot_rows`` rows (at most rows / hot_rows of them) are
     joined by broadcasting their few lookup rows; the rest shuffles as usual.
-    Pass written frames: ``big`` is read twice."""
+    Pass written frames: ``big`` is read twice.  ``big_rows``, when known to be
+    small, rules hot keys out."""
+    if big_rows is not None and big_rows <= hot_rows:
+        return big.join(lookup, keys, "left")
     hot = materialise(
         big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys), "hot"
     )
@@ -31,7 +36,7 @@ def join_hot_keys(big: DataFrame, lookup: DataFrame, keys: list[str], hot_rows:
     hot = broadcast_if_small(hot)
     few = broadcast_if_small(materialise(lookup.join(hot, keys, "left_semi"), "hot-lookup"))
     warm = big.join(hot, keys, "left_semi").join(few, keys, "left")
-    # Anti-join keeps rows whose key is NULL: they are cold.
+    # The anti-join keeps rows whose key is NULL: they are cold.
     cold = big.join(hot, keys, "left_anti").join(lookup, keys, "left")
     return warm.unionByName(cold)
 
@@ -47,7 +52,7 @@ def _directory_paths(nodes: DataFrame, root_entry: int, hot_rows: int) -> DataFr
     parents = nodes.select(F.col("parent_entry").alias("entry")).where(F.col("entry") != root_entry).dropDuplicates()
     dirs = materialise(nodes.join(parents, "entry", "left_semi"), "dirs")
     seqs = dirs.select(F.col("entry").alias("parent_entry"), F.col("seq").alias("_held"))
-    linked = join_hot_keys(dirs, seqs, ["parent_entry"], hot_rows)
+    linked = join_hot_keys(dirs, seqs, ["parent_entry"], hot_rows, dirs.count())
     at_root = F.col("parent_entry") == root_entry
     alive = F.col("_held").eqNullSafe(F.col("parent_seq"))
     state = materialise(
@@ -66,7 +71,7 @@ def _directory_paths(nodes: DataFrame, root_entry: int, hot_rows: int) -> DataFr
             F.col("tail").alias("_tail"),
         )
         open_rows = state.where(F.col("ptr").isNotNull())
-        moved = join_hot_keys(open_rows, hop, ["ptr"], hot_rows).select(
+        moved = join_hot_keys(open_rows, hop, ["ptr"], hot_rows, left).select(
             "entry", "seq", F.col("_ptr").alias("ptr"), F.col("_base").alias("base"),
             F.concat("_tail", F.lit("\\"), "tail").alias("tail"),
         )
@@ -91,7 +96,7 @@ def resolve_paths(files: DataFrame, root_entry: int = ROOT_ENTRY, hot_rows: int
         F.col("entry").alias("parent_entry"), F.col("seq").alias("parent_seq"), "_dir"
     )
     below = nodes.where(F.col("parent_entry").isNotNull() & (F.col("parent_entry") != root_entry))
-    named = join_hot_keys(below, lookup, ["parent_entry", "parent_seq"], hot_rows)
+    named = join_hot_keys(below, lookup, ["parent_entry", "parent_seq"], hot_rows, nodes.count())
     parent = F.coalesce("_dir", F.lit(ORPHAN))
     deep = named.select(*columns, F.concat(parent, F.lit("\\"), "name").alias("full_path"))
     top = nodes.where(F.col("parent_entry") == root_entry).select(
@@ -110,4 +115,4 @@ def resolve_paths(files: DataFrame, root_entry: int = ROOT_ENTRY, hot_rows: int
 def join_journal(journal: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Journal records with the file they speak about, matched on entry and
     sequence number; a file changed all the time is a hot key."""
-    return join_hot_keys(journal, files, ["entry", "seq"], hot_rows)
+    return join_hot_keys(journal, files, ["entry", "seq"], hot_rows, journal.limit(hot_rows + 1).count())

@@ -204,7 +204,8 @@ def _in_range(df: DataFrame, column: str, low: str | None, high: str | None) ->
         return reduce(lambda a, b: a & b, tests)
     value = ts_normalize(df, column)
     if low is not None and high is not None:
-        return value.between(low, high)
+        # The SQL function computes its input once; two comparisons would not.
+        return F.call_function("between", value, F.lit(low), F.lit(high))
     return value >= low if low is not None else value <= high
 
 

@@ -268,7 +268,7 @@ MIXED_TIMES = f"CASE WHEN event_type IN ('click', 'view') THEN CAST({US} div 100
 
 
 @query("detect_format",
-       "SELECT op_id, confidence FROM (SELECT avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0 ELSE 0.0 END) AS e FROM events), "
+       "SELECT op_id, round(confidence, 9) AS confidence FROM (SELECT avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0 ELSE 0.0 END) AS e FROM events), "
        "LATERAL (VALUES ('unix_epoch', e), ('mac_absolute', e), ('iso8601', 1 - e)) v(op_id, confidence)")
 def _(t):
     rows = t.text("events", raw=MIXED_TIMES)
@@ -287,7 +287,7 @@ def _(t):
 
 # ---------------------------------------------------------------- documents
 
-@query("json_field", "SELECT event_id, props->>'$.k' AS k, NULL AS missing FROM events")
+@query("json_field", "SELECT event_id, props->>'$.k' AS k, NULL::VARCHAR AS missing FROM events")
 def _(t):
     rows = d.flatten_column(t.events, "props", {"k": "$.k", "missing": "$.nothing.here"})
     return rows.select("event_id", "k", F.col("missing"))
@@ -329,7 +329,7 @@ XML = (
 
 @query("xml_field",
        "SELECT c_custkey, c_custkey::VARCHAR AS eid, c_mktsegment AS seg, c_nationkey::VARCHAR AS nation, c_name AS second, "
-       "'' AS seg_text, NULL AS nothing FROM customer")
+       "'' AS seg_text, NULL::VARCHAR AS nothing FROM customer")
 def _(t):
     rows = t.text("customer", c_custkey="c_custkey", doc=XML)
     fields = {
@@ -351,7 +351,7 @@ def _(t):
 
 @query("sniff_document_kind",
        "SELECT 'props' AS column, 'json' AS kind, count(*) AS sampled FROM events "
-       "UNION ALL SELECT 'html', NULL, count(*) FROM pages UNION ALL SELECT 'xml', 'xml', count(*) FROM customer")
+       "UNION ALL SELECT 'html', NULL::VARCHAR, count(*) FROM pages UNION ALL SELECT 'xml', 'xml', count(*) FROM customer")
 def _(t):
     def sniff(df, column):
         return detect.sniff_document_kind(df, column, sample=None).select(F.lit(column).alias("column"), "kind", "sampled")

@@ -53,6 +53,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 4 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work all cores when a small input arrives in a few
+    unsplittable pieces (one row group per file).  Decided on the planned size,
+    so nothing runs; large inputs have many splits and pass through."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = 128 << 20
+    cores = spark.sparkContext.defaultParallelism
+    if size > SPREAD_BYTES or size >= cores * split:
+        return df
+    return df.repartition(cores)
+
+
 BROADCAST_ROWS = 200_000
 
 
