@@ -148,13 +148,11 @@ def discover_fields(
             [], "path string, count bigint, coverage double, nonempty bigint, sample string"
         )
     if kind == "json":
-        cells = cells.where(documents.as_variant(F.col("v")).isNotNull())
-        leaves = documents.json_leaf_rows(cells, "v", max_depth)
+        parsed, leaves = documents.as_variant(F.col("v")), documents.json_leaf_rows(cells, "v", max_depth)
     else:
-        cells = cells.where(documents.wrapped_xml(F.col("v")).isNotNull())
-        leaves = documents.xml_leaf_rows(cells, "v")
+        parsed, leaves = documents.wrapped_xml(F.col("v")), documents.xml_leaf_rows(cells, "v")
     filled = F.when(F.col("value") != "", F.substring("value", 1, 200))
-    docs = cells.agg(F.count(F.lit(1))).scalar()
+    docs = cells.agg(F.count(parsed)).scalar()
     found = leaves.select("path", "value").groupBy("path").agg(
         F.count(F.lit(1)).alias("count"),
         F.count(filled).alias("nonempty"),

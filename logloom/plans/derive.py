@@ -8,6 +8,7 @@ from ..operators import derived as d
 from ..operators import detect
 from ..operators.ids import with_row_id
 from ..operators.predicates import unparsed_rows
+from ..session import materialise
 from .catalog import query
 
 # Event times written in each encoding, and read back by the operators.
@@ -317,7 +318,8 @@ def _(t):
        "('$.kind', event_type), ('$.user.id', u), ('$.user[\"odd.key\"]', 'u' || u), ('$.tags', '[\"' || event_type || '\",\"x\"]'), "
        "('$.steps[0].n', e), ('$.steps[1].n', u), ('$.gap', CASE WHEN event_type = 'view' THEN '' ELSE 'g' END)) l(path, v) GROUP BY path")
 def _(t):
-    return detect.discover_fields(t.text("events", doc=DOC), "doc", sample=None)
+    cells = materialise(t.text("events", doc=DOC), "cells")  # documents live in a stored column
+    return detect.discover_fields(cells, "doc", sample=None)
 
 
 XML = (

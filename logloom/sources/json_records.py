@@ -89,7 +89,7 @@ def read_json_records(
     objects = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
     schema = cut_schema(objects, _depth(flatten, depth))
 
-    text = spark.read.option("wholetext", not by_line).text(path)
+    text = spark.read.text(path, wholetext=not by_line)
     located = text.select(
         F.btrim("value", F.lit(" \t\r\n﻿")).alias("text"),
         F.col("_metadata.file_path").alias("_file"),
