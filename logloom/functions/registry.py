@@ -53,7 +53,7 @@ def register_op(op: Op) -> Op:
 
 def get_op(op_id: str) -> Op:
     if op_id not in OPERATIONS:
-        raise ValueError(f"Unknown operation: {op_id}")
+        raise ValueError(f"There is no operation {op_id!r}")
     return OPERATIONS[op_id]
 
 
@@ -65,7 +65,7 @@ def validate_params(op_id: str, params: dict | None) -> dict:
         value = (params or {}).get(spec.name)
         if value is None or str(value).strip() == "":
             if spec.required:
-                raise ValueError(f"Operation {op.label!r} needs the {spec.name!r} parameter")
+                raise ValueError(f"{op.id} cannot run without {spec.name!r}")
             if spec.default is not None:
                 out[spec.name] = spec.default
             continue
@@ -73,13 +73,13 @@ def validate_params(op_id: str, params: dict | None) -> dict:
             try:
                 value = int(value)
             except (TypeError, ValueError):
-                raise ValueError(f"{spec.name} must be a whole number") from None
+                raise ValueError(f"{spec.name}: {value!r} is no integer") from None
             if (spec.low is not None and value < spec.low) or (spec.high is not None and value > spec.high):
-                raise ValueError(f"{spec.name} must be between {spec.low} and {spec.high}")
+                raise ValueError(f"{spec.name}: {value} is outside {spec.low}..{spec.high}")
         else:
             value = str(value).strip()
             if spec.kind == "select" and value not in spec.options:
-                raise ValueError(f"{spec.name} must be one of: {', '.join(spec.options)}")
+                raise ValueError(f"{spec.name}: {value!r} is none of {list(spec.options)}")
             if spec.kind == "offset":
                 moments.offset_seconds(value)
         out[spec.name] = value

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, datetime_columns
 from ..functions.scalars import stripped, ts_normalize
+from ..session import broadcast_if_small, materialise
 from .predicates import exclude_rows
 
 TAG_KEYS = [*KEYS, "tag_id"]
@@ -191,7 +192,7 @@ def map_tag_ids(local_defs: DataFrame, incoming_defs: DataFrame) -> tuple[DataFr
     )
     top = local_defs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"), F.lit(1).alias("_one"))
     numbered = (
-        fresh.withColumn("_nth", F.row_number().over(Window.orderBy("d.id")))
+        fresh.withColumn("_nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d.id")))
         .withColumn("_one", F.lit(1))
         .join(top, "_one")
         .withColumn("_local", (F.col("_top") + F.col("_nth")).cast(local_defs.schema["id"].dataType))
@@ -206,14 +207,17 @@ def merge_annotations(local: Annotations, incoming: Annotations, merge: bool = T
     """Import a session: tags unite, an incoming note wins.  ``merge=False``
     first clears the sources the session speaks about."""
     defs, mapping = map_tag_ids(local.tag_defs, incoming.tag_defs)
+    # One tag may hold most assignments: broadcast the short mapping if it is short.
+    mapping = broadcast_if_small(materialise(mapping, "tag-map"))
     moved = incoming.tags.join(mapping, "tag_id", "left").select(
         *KEYS, F.coalesce("_local", "tag_id").alias("tag_id")
     )
     tags, notes = local.tags, local.notes
     if not merge:
-        named = incoming.tags.select("source_id").union(incoming.notes.select("source_id")).dropDuplicates()
-        tags = tags.join(named, "source_id", "left_anti")
-        notes = notes.join(named, "source_id", "left_anti")
+        spoken = incoming.tags.select("source_id").union(incoming.notes.select("source_id")).distinct()
+        named = [r["source_id"] for r in spoken.collect()]  # one per source
+        tags = tags.where(~F.col("source_id").isin(named))
+        notes = notes.where(~F.col("source_id").isin(named))
     united = tags.select(*TAG_KEYS).union(moved).dropDuplicates()
     new = incoming.notes.select(*KEYS, F.col("note").alias("_new"))
     merged = notes.join(new, KEYS, "full").select(*KEYS, F.coalesce("_new", "note").alias("note"))
@@ -223,7 +227,7 @@ def merge_annotations(local: Annotations, incoming: Annotations, merge: bool = T
 def session_warnings(recorded: str | None, current: str | None) -> list[str]:
     """A fingerprint that differs means the row numbers may not line up."""
     if recorded and recorded != current:
-        return ["Session was recorded against a different file. Row numbers may not line up."]
+        return ["The session belongs to other content; its row ids may point elsewhere."]
     return []
 
 

@@ -91,7 +91,7 @@ def _with_ordered(df: DataFrame, definition: dict) -> DataFrame:
 def add_derived_columns(df: DataFrame, specs: list[dict]) -> DataFrame:
     """Several derived columns in one projection, all or nothing."""
     if not specs:
-        raise ValueError("Nothing to add")
+        raise ValueError("No definitions given")
     taken = {f.name.lower() for f in data_fields(df)}
     checked = [_checked(df, spec, taken) for spec in specs]
     plain = [d for d in checked if not get_op(d["op_id"]).ordered]

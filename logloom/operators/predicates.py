@@ -143,17 +143,17 @@ def raw_condition(df: DataFrame, text: str) -> Column:
     """A boolean SQL expression over this frame's own columns, no subqueries."""
     text = (text or "").strip()
     if not text:
-        raise ValueError("Empty expression")
+        raise ValueError("The expression is blank")
     structure = _structure(text)
     if ";" in structure or "--" in structure or "/*" in structure:
-        raise ValueError("Statement separators and comments are not allowed")
+        raise ValueError("An expression holds no comments and no second statement")
     if re.search(SUBQUERY_WORDS, structure, re.IGNORECASE):
-        raise ValueError("Only a boolean filter expression is allowed, no subquery")
+        raise ValueError("An expression reads its own row only; subqueries are refused")
     try:
         df.where(F.expr(text))
         return F.expr(text)
     except (AnalysisException, ParseException) as e:
-        raise ValueError(f"Not a valid filter expression: {e}") from e
+        raise ValueError(f"Spark cannot evaluate {text!r}: {e}") from e
 
 
 def where_expr(df: DataFrame, text: str) -> DataFrame:

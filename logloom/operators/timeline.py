@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, as_text, base_columns, data_fields, datetime_columns, is_derived, ref
 from ..functions.scalars import ts_normalize
+from ..session import broadcast_if_small, materialise
 from .annotations import tag_sets
 from .ids import OrderedRows, number_sorted
 
@@ -79,6 +80,9 @@ def timeline(
     marked = tag_sets(tags)
     if tag_ids:
         marked = marked.where(F.arrays_overlap("tag_ids", F.array(*[F.lit(int(t)) for t in tag_ids])))
+    # Findings are few beside the evidence: a short list goes to the rows, so the
+    # sources are not shuffled; a long one joins by shuffle.
+    marked = broadcast_if_small(materialise(marked, "marked"))
     rows = reduce(DataFrame.unionByName, [_entry(s, (configs or {}).get(s.id, {})) for s in sources])
     return rows.join(marked, KEYS)
 

@@ -137,13 +137,13 @@ def nearest_timestamp(df: DataFrame, moment: str, column: str | None = None) ->
     ``(source_id, rid, ts, distance_seconds)``; ties go to the smallest key."""
     probe = normalise_bound(moment)
     if probe is None:
-        raise ValueError("Not a recognized timestamp, try YYYY-MM-DD HH:MM:SS")
+        raise ValueError(f"{moment!r} is no moment in time")
     every = datetime_columns(df)
     if column is not None and column not in every:
-        raise ValueError(f"{column!r} is not a datetime column")
+        raise ValueError(f"{column!r} holds no datetimes")
     chosen = [column] if column else every
     if not chosen:
-        raise ValueError("This table has no datetime columns")
+        raise ValueError("No column holds datetimes")
     target = F.lit(probe).cast("timestamp_ntz")
 
     def candidate(name: str) -> Column:

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions read by default, and the ones read as JSON.
+# Extensions read by default, the ones read as JSON, and below the
+# reasons a file is left out.
 IMPORT_EXTENSIONS = [".csv", ".tsv", ".txt", ".psv", ".json", ".jsonl", ".ndjson"]
 JSON_EXTENSIONS = [".json", ".jsonl", ".ndjson"]
 SCAN_LIMIT = 5000

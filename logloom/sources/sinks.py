@@ -11,12 +11,15 @@ from ..functions.columns import KEYS, as_text, data_fields
 from ..functions.scalars import csv_safe
 from ..operators.annotations import Annotations, having_tags
 from ..operators.timeline import Source
+from ..session import broadcast_if_small
 
 
 def tag_names(tags: DataFrame, tag_defs: DataFrame) -> DataFrame:
     """``(source_id, rid, Tags)``: names joined by ``; `` in tag-id order; an
     undefined tag shows its id."""
-    named = tags.join(tag_defs.select(F.col("id").alias("tag_id"), "name"), "tag_id", "left").select(
+    # One tag may hold most assignments: broadcast the definitions if they are few.
+    names = broadcast_if_small(tag_defs.select(F.col("id").alias("tag_id"), "name"))
+    named = tags.join(names, "tag_id", "left").select(
         *KEYS, F.struct("tag_id", F.coalesce("name", F.col("tag_id").cast("string")).alias("name")).alias("t")
     )
     per_row = named.groupBy(*KEYS).agg(F.sort_array(F.collect_set("t")).alias("ts"))

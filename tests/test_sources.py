@@ -178,3 +178,29 @@ def test_directory_stream_reads_each_file_once(spark, tmp_path):
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data/layout={label}").collect()
     assert sorted((r["rid"], r["X"], r["Y"], r["_ragged"]) for r in rows) == [(1, "1", "2", False), (1, "5", "6", False), (1, "9", "9", False), (2, "3", "", True)]
     assert len({r["source_id"] for r in rows}) == 3
+
+
+def test_custom_format(spark, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from logloom.sources.formats import read_format, register_format
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    def parse(path, options):
+        def rows():
+            with open(path, encoding="utf-8") as f:
+                for line in f:
+                    yield line.rstrip("\n").split(options["mark"])
+
+        return {"columns": ["n", "N", "size"], "rows": rows(), "column_types": [None, "text", "number"]}
+
+    register_format(spark, "marked", parse)
+    a = put(tmp_path, "a.mk", "".join(f"{i}~x~{i}\n" for i in range(1, 10_001)))
+    b = put(tmp_path, "b.mk", "7~y\n8~z~8~9\n")
+    df = read_format(spark, "marked", [a, b], {"mark": "~"})
+    assert logical_types(df)["size"] == "number" and df.columns == ["source_id", "rid", "n", "N_1", "size", "_ragged"]
+    assert df.where("source_id = 1 AND n = rid AND NOT _ragged").count() == 10_000
+    assert [tuple(r) for r in df.where("source_id = 2").orderBy("rid").collect()] == [(2, 1, "7", "y", "", True), (2, 2, "8", "z", "8", True)]

@@ -82,7 +82,7 @@ def test_duration_chains_and_blocks_removal(log):
         {"name": "b", "input_column": "When", "op_id": "syslog_bsd", "params": {"base_year": 2024}},
     ])
     gap = d.add_derived(two, "gap", "b", "duration_delta", {"other_column": "a"})
-    assert values(gap, "gap")[0] == "31142277.000000"
+    assert values(gap, "gap")[0] == "31228677.000000"
     with pytest.raises(ValueError):
         d.remove_derived(gap, "a")
     assert "a" not in d.remove_derived(d.remove_derived(gap, "gap"), "a").columns
@@ -97,7 +97,7 @@ def test_preview(log):
 
 def test_detection(spark, log):
     ranked = [(r["op_id"], round(r["confidence"], 3)) for r in detect.detect_format(log, "Epoch").collect()]
-    assert ranked == [("unix_epoch", 0.5), ("mac_absolute", 0.5)] or ranked == [("unix_epoch", 0.5), ("mac_absolute", 0.75)] or ranked[0][0] in ("unix_epoch", "mac_absolute")
+    assert ranked == [("mac_absolute", 0.75), ("unix_epoch", 0.5)]
     df = spark.createDataFrame([(1, "2024-01-05 10:00:00", "20240105132201", "text")] * 3, "rid bigint, d string, c string, t string")
     from logloom.functions.columns import annotate
 
