@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 
 TASK_BITS = 33  # monotonically_increasing_id keeps the task number above these bits
 IN_TASK = (1 << TASK_BITS) - 1
@@ -98,31 +98,49 @@ def with_row_id(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return number_sorted(df, "rows").frame.withColumnRenamed("pos", "rid")
 
 
-def file_row_ids(parsed: DataFrame, per_file: bool = True) -> DataFrame:
-    """Dense ``rid`` in file order for rows that carry ``_file``, ``_block``
-    (start byte of the scan split) and ``_seq`` (task sequence).
+def file_blocks(parsed: DataFrame, per_file: bool = True) -> DataFrame:
+    """One row per scan split (128 MB of input): its rows, its smallest
+    sequence, the rows before it and how many rows were ragged.
 
-    A split is read by one task in order, so a row's place in its split is the
-    distance from the split's smallest sequence.  The prefix sum runs over
-    splits, not rows: one row per 128 MB of input."""
+    ``parsed`` rows carry ``_file``, ``_block`` (start byte of the split),
+    ``_seq`` (task sequence) and ``_ragged``.  The prefix sum runs over splits,
+    not rows."""
     blocks = parsed.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first")
+        F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first"), F.count_if("_ragged").alias("_bad")
     )
-    order = ["_block"] if per_file else ["_file", "_block"]
-    earlier = (Window.partitionBy("_file") if per_file else Window.partitionBy(F.lit(0))).orderBy(*order)
-    starts = blocks.select(
-        "_file", "_block", "_first",
-        F.coalesce(
-            F.sum("_rows").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
+    scope = Window.partitionBy("_file") if per_file else Window.partitionBy(F.lit(0))
+    earlier = scope.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    return materialise(
+        blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))), "splits"
     )
+
+
+def file_row_ids(parsed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Dense ``rid`` in file order.
+
+    A split is read by one task in order, so a row's place in its split is the
+    distance from the split's smallest sequence.  A split table too long to
+    broadcast joins by shuffle on groups no larger than a split."""
+    starts = broadcast_if_small(blocks.select("_file", "_block", "_first", "_before"))
     rid = F.col("_before") + F.col("_seq") - F.col("_first") + 1
     keep = [ref(c) for c in parsed.columns if c not in ("_block", "_seq")]
-    # Left to the optimizer: small split tables are broadcast by size, large
-    # ones shuffle on (file, split), whose groups are bounded by the split size.
     return parsed.join(starts, ["_file", "_block"]).select(rid.alias("rid"), *keep)
 
 
+def first_rows(parsed: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
+    """The first rows in file order, read from the splits that hold them."""
+    # At most ``count`` splits, since none is empty.
+    heads = blocks.where(F.col("_before") < count).orderBy("_file", "_block").limit(count).collect()
+    wanted = F.lit(False)
+    for split in heads:
+        last = split["_first"] + count - split["_before"] - 1
+        wanted = wanted | (
+            (F.col("_file") == split["_file"]) & (F.col("_block") == split["_block"])
+            & F.col("_seq").between(split["_first"], last)
+        )
+    return parsed.where(wanted)
+
+
 BLOCK_ROWS = 1_000_000
 
 

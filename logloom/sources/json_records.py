@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ref
-from ..operators.ids import file_row_ids
+from ..operators.detect import TYPE_SAMPLE
+from ..operators.ids import file_blocks, file_row_ids, first_rows
 from ..session import materialise
 from .delimited import typed_source
 from .schema import clean_names
@@ -115,10 +116,15 @@ def read_json_records(
         raise ValueError("The file has no records")
     names = clean_names(list(columns))
     table = materialise(
-        parsed.select("_file", "_block", "_seq", *[c.alias(n) for n, c in zip(names, columns.values())]), "records"
+        parsed.select(
+            "_file", "_block", "_seq", F.lit(False).alias("_ragged"),
+            *[c.alias(n) for n, c in zip(names, columns.values())],
+        ),
+        "records",
     )
-    numbered = file_row_ids(table, per_file=False)
-    return typed_source(numbered.select("rid", *[ref(n) for n in names]), source_id, column_types)
+    blocks = file_blocks(table, per_file=False)
+    numbered = file_row_ids(table, blocks).select("rid", *[ref(n) for n in names])
+    return typed_source(numbered, source_id, first_rows(table, blocks, TYPE_SAMPLE), column_types)
 
 
 def scalar_text(text: Column) -> Column:

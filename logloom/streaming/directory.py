@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ref
-from ..operators.ids import file_row_ids
+from ..operators.ids import file_blocks, file_row_ids
 from ..session import materialise
 from ..sources.delimited import parse_delimited, sniff_delimiter
 from ..sources.schema import clean_names
@@ -71,7 +71,7 @@ def ingest_directory_stream(
             parsed = materialise(parse_delimited(session, files, list(names), sep), "stream")
             known = session.createDataFrame([(p, ids[p]) for p in files], "_path string, source_id bigint")
             # One row per file of this batch, at most max_files_per_batch.
-            located = file_row_ids(parsed).join(
+            located = file_row_ids(parsed, file_blocks(parsed)).join(
                 F.broadcast(known), same_file(F.col("_file"), F.col("_path"))
             )
             located.select("source_id", "rid", *[ref(n) for n in names], "_ragged").write.mode("overwrite").parquet(
