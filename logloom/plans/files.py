@@ -1,5 +1,8 @@
 """Readers, writers and the import stream, run on files written from the given tables."""
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..functions.columns import logical_types, ref
@@ -8,7 +11,7 @@ from ..operators.predicates import where_op
 from ..operators.timeline import Source
 from ..operators.view import build_view
 from ..session import materialise, scratch_path
-from ..sources import adhoc, delimited, files, json_records, schema, sinks, webkit
+from ..sources import adhoc, delimited, files, formats, json_records, schema, sinks, webkit
 from ..streaming.directory import ingest_directory_stream
 from .catalog import NOTES_SQL, TAG_DEFS_SQL, TAGS_SQL, query
 
@@ -110,6 +113,36 @@ def _(t):
     return schema.normalise_rows(rows, "cells", ["first", "First", " "])
 
 
+def _parse_marked(path, options):
+    """A row producer for lines of ``~``-separated cells on any shared storage."""
+    import pyarrow.fs
+
+    files, local = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path)
+
+    def rows():
+        import io
+
+        with files.open_input_stream(local) as stream:
+            for line in io.TextIOWrapper(stream, encoding="utf-8"):
+                yield line.rstrip("\n").split(options["mark"])
+
+    return {"columns": ["key", "status", "price"], "rows": rows(), "column_types": ["number", "text", "number"]}
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@query("custom_format",
+       "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_totalprice::VARCHAR AS price, false AS _ragged FROM orders")
+def _(t):
+    path = scratch_path(t.spark, "marked")
+    cells = F.concat_ws("~", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("string"))
+    t.raw("orders").repartition(4).select(cells.alias("value")).write.text(path)
+    parts = [r["path"] for r in files.scan_files(t.spark, path, extensions=[".txt"]).where("status = 'matched'").collect()]
+    formats.register_format(t.spark, "marked", _parse_marked)
+    return formats.read_format(t.spark, "marked", parts, {"mark": "~"}).drop("source_id", "rid")
+
+
 @query("convert_webkit",
        "SELECT event_id, CASE WHEN event_type = 'view' THEN 'none' ELSE strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS visit_time "
        "FROM events")

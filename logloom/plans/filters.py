@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import annotate
 from ..operators import predicates as p
 from ..operators import search, view
+from ..operators.derived import add_derived
 from ..operators.ids import with_position, with_row_id
 from ..session import scratch_path
 from .catalog import NOTES_SQL, TAGS_SQL, query
@@ -127,6 +128,14 @@ def _(t):
     return p.exclude_rows(t.nation, [(10, 3), (10, 5), (10, 10), (99, 1)]).select("n_nationkey", "n_name")
 
 
+@query("project", "SELECT 1 AS source_id, o_orderkey + 1 AS rid, o_orderkey::VARCHAR AS key, "
+       "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS moment FROM orders")
+def _(t):
+    rows = t.text("orders", key="CAST(o_orderkey AS STRING)", raw="date_format(o_orderdate, 'yyyyMMddHHmmss')")
+    derived = add_derived(rows, "moment", "raw", "compact_ymd")
+    return p.project(derived.select("moment", "rid", "key", "source_id"))
+
+
 @query("time_range",
        "SELECT event_id, event_type FROM events "
        "WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:01'")
@@ -236,6 +245,11 @@ def _(t):
     )
 
 
+@query("sort_rows", f"SELECT o_orderkey, o_orderpriority FROM orders ORDER BY {SORT_SQL} LIMIT 500")
+def _(t):
+    return view.sort_rows(t.orders, SORT).select("o_orderkey", "o_orderpriority").limit(500)
+
+
 @query("with_position",
        f"SELECT o_orderkey, row_number() OVER (ORDER BY {SORT_SQL}) AS pos FROM orders")
 def _(t):

@@ -68,6 +68,16 @@ def _(t):
     return grouping.column_max_lengths(t.documents).withColumn("max_length", F.col("max_length").cast("bigint"))
 
 
+@query("group_merged",
+       "SELECT nation AS value, count(*) AS count, false AS truncated FROM (SELECT c_nationkey AS nation FROM customer "
+       "UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1")
+def _(t):
+    customers = t.customer.selectExpr("rid", "c_name AS name", "c_nationkey AS nation")
+    suppliers = t.supplier.selectExpr("rid", "s_name AS name", "s_nationkey AS nation")
+    merged = merge_sources([Source(21, "customers", customers), Source(22, "suppliers", suppliers)])
+    return grouping.group_summary(merged, "nation")
+
+
 # ------------------------------------------------------------------- tags
 
 @query("group_by_tag",
@@ -186,6 +196,12 @@ def _(t):
     return ann.set_tags(rows.unionByName(rows), t.tags, 1).summary()
 
 
+@query("distinct_rows", "SELECT DISTINCT 1 AS source_id, l_orderkey + 1 AS rid FROM lineitem")
+def _(t):
+    lines = t.raw("lineitem").select(F.lit(1).alias("source_id"), (F.col("l_orderkey") + 1).alias("rid"))
+    return ann.distinct_rows(lines)
+
+
 @query("drop_tag", f"WITH {TAGS_SQL} SELECT source_id, rid, tag_id FROM tags WHERE tag_id <> 1")
 def _(t):
     return ann.drop_tag(t.tags, t.tag_defs, 1)[0]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.columns import ref
 from ..operators.detect import TYPE_SAMPLE
 from ..operators.ids import file_blocks, file_row_ids, first_rows
-from ..session import materialise
+from ..session import case_sensitive, materialise
 from .delimited import typed_source
 from .schema import clean_names
 
@@ -74,21 +74,13 @@ def flatten_objects(df: DataFrame, max_depth: int | None = None) -> DataFrame:
     return df.select(*out)
 
 
-def read_json_records(
-    spark: SparkSession, path: str, flatten: str = "none", depth: int = 0, source_id: int = 1,
-    column_types: dict[str, str] | None = None,
-) -> DataFrame:
-    """One source from ``.jsonl``/``.ndjson`` lines or a ``.json`` document
-    (array, object or scalar).  Columns are the union of all keys; values that
-    are no objects land in ``value``.
-
-    A ``.json`` document cannot be split and is one task; use JSON lines for
-    large data."""
+def _record_table(spark: SparkSession, path: str, max_depth: int | None) -> tuple[DataFrame, list[str], bool]:
+    """``(written records, column names, is "value" a key of its own)``."""
     by_line = path.lower().endswith(LINE_EXTENSIONS)
     reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", CORRUPT)
     inferred = reader.option("multiLine", not by_line).json(path).schema
     objects = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
-    schema = cut_schema(objects, _depth(flatten, depth))
+    schema = cut_schema(objects, max_depth)
 
     text = spark.read.text(path, wholetext=not by_line)
     located = text.select(
@@ -107,21 +99,37 @@ def read_json_records(
     parsed = located.withColumn("_o", F.when(is_object, F.from_json("text", schema)) if schema.fields else F.lit(None))
     leaves = _leaves(schema, F.col("_o")) if schema.fields else []
     # A scalar or array record has a single cell called "value".
-    plain = F.when(~is_object, scalar_text(F.col("text")))
-    columns = {name: F.coalesce(value, F.lit("")) for name, value in leaves}
-    bare = not objects.fields or located.where(~is_object).limit(1).count() > 0
-    if bare:
-        columns["value"] = F.coalesce(plain, *([leaf for n, leaf in leaves if n == "value"]), F.lit(""))
-    if not columns:
-        raise ValueError("The file has no records")
+    own = dict(leaves).get("value")
+    value = F.when(is_object, own if own is not None else F.lit(None)).otherwise(scalar_text(F.col("text")))
+    columns = {name: leaf for name, leaf in leaves if name != "value"} | {"value": value}
     names = clean_names(list(columns))
     table = materialise(
         parsed.select(
-            "_file", "_block", "_seq", F.lit(False).alias("_ragged"),
-            *[c.alias(n) for n, c in zip(names, columns.values())],
+            "_file", "_block", "_seq", F.lit(False).alias("_ragged"), (~is_object).alias("_plain"),
+            *[F.coalesce(c, F.lit("")).alias(n) for n, c in zip(names, columns.values())],
         ),
         "records",
     )
+    return table, names, own is not None
+
+
+def read_json_records(
+    spark: SparkSession, path: str, flatten: str = "none", depth: int = 0, source_id: int = 1,
+    column_types: dict[str, str] | None = None,
+) -> DataFrame:
+    """One source from ``.jsonl``/``.ndjson`` lines or a ``.json`` document
+    (array, object or scalar).  Columns are the union of all keys; values that
+    are no objects land in ``value``.
+
+    A ``.json`` document cannot be split and is one task; use JSON lines for
+    large data."""
+    with case_sensitive(spark):
+        table, names, own = _record_table(spark, path, _depth(flatten, depth))
+    # Only the flag column is read to see whether any record was no object.
+    if not own and table.where("_plain").isEmpty():
+        names.pop()
+    if not names or table.isEmpty():
+        raise ValueError(f"{path} holds no records")
     blocks = file_blocks(table, per_file=False)
     numbered = file_row_ids(table, blocks).select("rid", *[ref(n) for n in names])
     return typed_source(numbered, source_id, first_rows(table, blocks, TYPE_SAMPLE), column_types)

@@ -204,3 +204,11 @@ def test_custom_format(spark, tmp_path):
     assert logical_types(df)["size"] == "number" and df.columns == ["source_id", "rid", "n", "N_1", "size", "_ragged"]
     assert df.where("source_id = 1 AND n = rid AND NOT _ragged").count() == 10_000
     assert [tuple(r) for r in df.where("source_id = 2").orderBy("rid").collect()] == [(2, 1, "7", "y", "", True), (2, 2, "8", "z", "8", True)]
+
+
+def test_json_keys_that_differ_by_case_only(spark, tmp_path):
+    path = put(tmp_path, "c.jsonl", '{"Id":1,"in":{"a":1}}\n{"id":2,"in":{"A":"x"}}\n')
+    rows = json_records.read_json_records(spark, path, "full").orderBy("rid").collect()
+    assert sorted(rows[0].asDict()) == sorted(["source_id", "rid", "Id", "id_1", "in.A", "in.a_1"])
+    assert (rows[0]["Id"], rows[1]["id_1"], rows[0]["in.a_1"], rows[1]["in.A"]) == ("1", "2", "1", "x")
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
