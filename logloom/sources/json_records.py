@@ -96,7 +96,9 @@ def _record_table(spark: SparkSession, path: str, max_depth: int | None) -> tupl
     located = located.withColumn("_seq", F.monotonically_increasing_id())
 
     is_object = F.startswith("text", F.lit("{"))
-    parsed = located.withColumn("_o", F.when(is_object, F.from_json("text", schema)) if schema.fields else F.lit(None))
+    # A broken record stops the import instead of turning into empty cells.
+    read = F.from_json("text", schema, {"mode": "FAILFAST"})
+    parsed = located.withColumn("_o", F.when(is_object, read) if schema.fields else F.lit(None))
     leaves = _leaves(schema, F.col("_o")) if schema.fields else []
     # A scalar or array record has a single cell called "value".
     own = dict(leaves).get("value")

@@ -212,3 +212,9 @@ def test_json_keys_that_differ_by_case_only(spark, tmp_path):
     assert sorted(rows[0].asDict()) == sorted(["source_id", "rid", "Id", "id_1", "in.A", "in.a_1"])
     assert (rows[0]["Id"], rows[1]["id_1"], rows[0]["in.a_1"], rows[1]["in.A"]) == ("1", "2", "1", "x")
     assert spark.conf.get("spark.sql.caseSensitive") == "false"
+
+
+def test_broken_json_is_not_swallowed(spark, tmp_path):
+    path = put(tmp_path, "b.jsonl", '{"a":1}\n{"a":\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        json_records.read_json_records(spark, path)
