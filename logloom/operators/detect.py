@@ -61,25 +61,23 @@ def _cells(df: DataFrame, column: str, sample: int | None) -> DataFrame:
     return spread(cells) if sample is None else cells.limit(sample)
 
 
-def _shares(cells: DataFrame) -> DataFrame:
-    """``(op_id, rank, confidence)``: share of values each operation reads."""
-    ops = _visible_ops()
-    value = F.col("v")
-    measures = [
-        F.avg(F.when(op.build(value, **detection_params(op)).isNotNull(), 1.0).otherwise(0.0)).alias(f"c{i}")
+def _shares(ops) -> list:
+    """One aggregate per operation: the share of values ``v`` it reads."""
+    return [
+        F.avg(F.when(op.build(F.col("v"), **detection_params(op)).isNotNull(), 1.0).otherwise(0.0)).alias(f"c{i}")
         for i, op in enumerate(ops)
     ]
-    rows = F.array(*[
-        F.struct(F.lit(op.id).alias("op_id"), F.lit(i).alias("rank"), F.col(f"c{i}").alias("confidence"))
-        for i, op in enumerate(ops)
-    ])
-    return cells.agg(*measures).select(F.inline(rows))
 
 
 def detect_format(df: DataFrame, column: str, sample: int | None = DETECT_SAMPLE) -> DataFrame:
     """``(op_id, confidence)`` of every operation that reads some value, best
     first; the registry's order breaks ties."""
-    shares = _shares(_cells(df, column, sample)).where(F.col("confidence") > 0)
+    ops = _visible_ops()
+    rows = F.array(*[
+        F.struct(F.lit(op.id).alias("op_id"), F.lit(i).alias("rank"), F.col(f"c{i}").alias("confidence"))
+        for i, op in enumerate(ops)
+    ])
+    shares = _cells(df, column, sample).agg(*_shares(ops)).select(F.inline(rows)).where(F.col("confidence") > 0)
     return shares.orderBy(F.col("confidence").desc(), "rank").select("op_id", "confidence")
 
 
@@ -104,16 +102,12 @@ def suggest_timestamp_columns(
             DataFrame.unionByName,
             [_cells(df, n, sample).select(F.lit(n).alias("column"), "v") for n in names],
         )
-    measures = [
-        F.avg(F.when(op.build(F.col("v"), **detection_params(op)).isNotNull(), 1.0).otherwise(0.0)).alias(f"c{i}")
-        for i, op in enumerate(ops)
-    ]
     # The largest share wins; among equal shares the earlier operation.
     best = F.array_max(F.array(*[
         F.struct(F.col(f"c{i}").alias("confidence"), F.lit(-i).alias("rank"), F.lit(op.id).alias("op_id"))
         for i, op in enumerate(ops)
     ]))
-    found = cells.groupBy("column").agg(*measures).select("column", best.alias("b"))
+    found = cells.groupBy("column").agg(*_shares(ops)).select("column", best.alias("b"))
     return (
         found.select("column", "b.op_id", "b.confidence")
         .where(F.col("confidence") >= min_confidence)

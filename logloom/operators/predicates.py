@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    DATETIME, NUMBER, as_text, data_fields, datetime_columns, is_string, is_timestamp, logical_types, ref,
+    NUMBER, as_text, data_fields, datetime_columns, is_timestamp, logical_types, ref,
 )
 from ..functions.scalars import number_of, ts_normalize, ts_normalize_text
 

@@ -72,6 +72,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give costly per-row work all cores when a small input arrives in a few
     unsplittable pieces (one row group per file).  Decided on the planned size,
     so nothing runs; large inputs have many splits and pass through."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = 128 << 20

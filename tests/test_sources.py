@@ -218,3 +218,25 @@ def test_broken_json_is_not_swallowed(spark, tmp_path):
     path = put(tmp_path, "b.jsonl", '{"a":1}\n{"a":\n')
     with pytest.raises(Exception, match="MALFORMED"):
         json_records.read_json_records(spark, path)
+
+
+def test_row_local_operators_run_on_a_stream(spark, tmp_path):
+    from logloom.operators.derived import flatten_column
+    from logloom.operators.view import apply_spec
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    keyed = ["1 AS source_id", "event_id + 1 AS rid", "CAST(ts AS STRING) AS raw", "event_type", "props"]
+    spec = {"filters": [{"column": "event_type", "op": "contains", "value": "ERR"}], "search": "k", "time_range": {"start": "2024-01-10"}}
+
+    def triage(df):
+        rows = apply_spec(df.selectExpr("*", "ts AS seen").selectExpr(*keyed, "seen"), spec)
+        return flatten_column(add_derived(rows, "moment", "raw", "iso8601"), "props", {"k": "$.k"}).select("rid", "moment", "k")
+
+    stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet*")
+    out = str(tmp_path / "out")
+    triage(stream).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "mark")
+    ).trigger(availableNow=True).start().awaitTermination()
+    wanted = triage(events)
+    got = spark.read.parquet(out)
+    assert got.count() == wanted.count() > 0 and got.exceptAll(wanted).isEmpty()
