@@ -1,6 +1,6 @@
 """The registered corpus queries and their SQL."""
 
-from . import mixing, resharding  # noqa: F401
+from . import mixing, resharding, secrets  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

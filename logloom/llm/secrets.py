@@ -1,0 +1,290 @@
+"""Secret scans: fixed patterns and a battery of randomness tests.
+
+Three patterns (assignments, access keys, long hexadecimal runs) give the base
+spans.  Beside them every run of 20 or more token characters is a candidate:
+its encoding is the smallest known alphabet that holds all its symbols, and
+three tests ask whether it looks like uniform draws from that alphabet: a
+chi-squared test of the symbol counts, a runs test of the halves of the
+alphabet, and the serial correlation of neighbours.  Their combined p-value is
+near 0 for words and uniform on 0..1 for random strings.
+
+False discoveries (words taken for random strings) are controlled for each
+encoding and length class by itself, since short strings carry little evidence:
+random strings spread evenly over p, so those above one half tell how many
+there are in the class, and the class's threshold is the smallest at which the
+excess over that number stays below ``rate``; a class in which fewer than
+``EVIDENCE`` lie above one half gets none.  Only the bounded table of counts
+(encoding, length class, p bin) comes to the driver.
+
+Everything is column expressions; no Python runs on the executors.
+
+Defined results: a null or empty text has no spans; whole texts are scanned,
+however long; equal rows give equal results; columns other than the named ones
+pass through ``redact`` untouched.  Positions are code points, end exclusive.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import materialise, query, table, text_or_empty
+
+# The base patterns, with the smallest length of what they find.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = "AKIA[A-Z0-9]+"
+HEX = "[0-9a-f]+"
+ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
+KINDS = ("assign", "access", "hex", "random")
+
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Encodings from the smallest alphabet on.
+ALPHABETS = {
+    "hex": DIGITS + "abcdef",
+    "hex_upper": DIGITS + "ABCDEF",
+    "base32": UPPER + "234567",
+    "base36": DIGITS + LOWER,
+    "base36_upper": DIGITS + UPPER,
+    "base62": DIGITS + UPPER + LOWER,
+    "base64": UPPER + LOWER + DIGITS + "+/",
+    "base64url": UPPER + LOWER + DIGITS + "-_",
+    "mixed": UPPER + LOWER + DIGITS + "+/-_",
+}
+LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)  # lower ends of the length classes
+GRID = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)  # thresholds a class may get
+RATE = 0.02
+EVIDENCE = 8  # candidates above one half without which a class gets no threshold
+
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _spans(text: Column, pattern: str, kind: int, likely: Column, group: int = 0, least: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches whose ``group`` has
+    ``least`` characters.  The pieces between the matches say where they are."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pieces = F.split(text, pattern, -1)
+    steps = F.zip_with(
+        F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"))),
+        kept, lambda x, k: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(k).alias("kept")),
+    )
+    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["n"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+        out = F.when(x["kept"] >= least, F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), F.array(span))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    walked = F.aggregate(steps, first, step)["out"]
+    return F.coalesce(F.when(likely, walked), F.array().cast(SPAN))
+
+
+def base_spans(text: Column) -> Column:
+    """Spans of the three patterns by start, then kind."""
+    low = F.lower(text)
+    named = F.lit(False)
+    for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+        named = named | low.contains(word)
+    return F.array_sort(F.concat(
+        _spans(text, ASSIGN, 0, named, 1, ASSIGN_LENGTH),
+        _spans(text, ACCESS, 1, text.contains("AKIA"), 0, ACCESS_LENGTH),
+        _spans(text, HEX, 2, text.rlike("[0-9a-f]{%d}" % HEX_LENGTH), 0, HEX_LENGTH),
+    ))
+
+
+def _tail2(q: Column) -> Column:
+    return F.exp(-q / 2)
+
+
+def _tail3(q: Column) -> Column:
+    """Upper tail of chi-squared with 3 degrees, by the rational approximation
+    of the error function that is right to 1.5e-7."""
+    x = F.sqrt(q / 2)
+    t = F.lit(1.0) / (x * 0.3275911 + 1)
+    poly = ((((t * 1.061405429 - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    return poly * F.exp(-q / 2) + F.sqrt(q * (2 / 3.141592653589793)) * F.exp(-q / 2)
+
+
+def _encoding(token: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for number, alphabet in reversed(list(enumerate(ALPHABETS.values()))):
+        out = F.when(F.length(F.translate(token, alphabet, "")) == 0, number).otherwise(out)
+    return out
+
+
+def _by_encoding(encoding: Column, values: list) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), encoding + 1)
+
+
+def randomness(token: Column) -> Column:
+    """struct(encoding int, n int, p double) of a token."""
+    body = F.rtrim(token, F.lit("="))
+    tested = F.transform(
+        F.array(F.struct(body.alias("s"), _encoding(body).alias("e"))),
+        lambda x: F.struct(
+            x["e"].alias("e"), x["s"].alias("s"), F.length(x["s"]).alias("n"),
+            _by_encoding(x["e"], [float(len(a)) for a in ALPHABETS.values()]).alias("k"),
+            F.slice(F.split(x["s"], ""), F.lit(1), F.length(x["s"])).alias("symbols"),
+            _by_encoding(x["e"], list(ALPHABETS.values())).alias("alphabet"),
+        ),
+    )
+    numbered = F.transform(tested, lambda x: F.struct(
+        x["e"].alias("e"), x["n"].alias("n"), x["k"].alias("k"),
+        F.aggregate(
+            F.array_distinct(x["symbols"]), F.lit(0.0),
+            lambda a, c: a + F.pow(F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2)),
+        ).alias("squares"),
+        F.transform(x["symbols"], lambda c: F.position(c, x["alphabet"]) - 1).alias("at"),
+    ))
+    sums = F.transform(numbered, lambda x: F.struct(
+        x["e"].alias("e"), x["n"].alias("n"), x["k"].alias("k"), x["squares"].alias("squares"),
+        F.aggregate(
+            F.zip_with(F.slice(x["at"], F.lit(1), x["n"] - 1), F.slice(x["at"], F.lit(2), x["n"] - 1), lambda a, b: F.struct(
+                F.when((a * 2 >= x["k"]) != (b * 2 >= x["k"]), 1.0).otherwise(0.0).alias("turn"),
+                ((a - (x["k"] - 1) / 2) * (b - (x["k"] - 1) / 2)).alias("product"),
+            )),
+            F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("products")),
+            lambda s, y: F.struct((s["turns"] + y["turn"]).alias("turns"), (s["products"] + y["product"]).alias("products")),
+        ).alias("pairs"),
+    ))
+
+    def combine(x: Column) -> Column:
+        n, k = x["n"], x["k"]
+        chi = (k / n * x["squares"] - n - (k - 1)) / F.sqrt((k - 1) * 2 * (n - 1) / n)
+        runs = (x["pairs"]["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = x["pairs"]["products"] / ((k * k - 1) / 12) / F.sqrt((n - 1).cast("double"))
+        q = F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2)) + runs * runs + serial * serial
+        # The chi-squared part counts on one side only: half of the time it is 0.
+        p = (_tail2(q) + _tail3(q)) / 2
+        return F.struct(x["e"].alias("encoding"), n.alias("n"), F.least(p, F.lit(1.0)).alias("p"))
+
+    return F.transform(sums, combine)[0]
+
+
+CANDIDATES = "array<struct<start:int,end:int,encoding:int,n:int,p:double>>"
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Tested token runs that touch no base span."""
+    runs = _spans(text, CANDIDATE, 3, text.rlike("[A-Za-z0-9+/_-]{20}"))
+    free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
+
+    def test(r: Column) -> Column:
+        t = randomness(F.substring(text, r["start"] + 1, r["end"] - r["start"]))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), t["encoding"].alias("encoding"), t["n"].alias("n"), t["p"].alias("p"))
+
+    return F.transform(free, test)
+
+
+def _length_class(n: Column) -> Column:
+    out = F.lit(0)
+    for number, low in enumerate(LENGTHS):
+        out = F.when(n >= low, number).otherwise(out)
+    return out
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """Smallest p-value that counts as random, by encoding and length class."""
+
+    least: dict[tuple[int, int], float]
+
+    def accept(self, c: Column) -> Column:
+        if not self.least:
+            return F.lit(False)
+        entries = [F.lit(v) for (e, s), p in sorted(self.least.items()) for v in (e * 100 + s, p)]
+        low = F.element_at(F.create_map(*entries), c["encoding"] * 100 + _length_class(c["n"]))
+        return F.coalesce(c["p"] >= low, F.lit(False))
+
+
+def fit_thresholds(tested: Column, rows: DataFrame, rate: float = RATE) -> Thresholds:
+    """Count the candidates of all rows by encoding, length class and p."""
+    one = rows.select(F.explode(tested).alias("c")).select("c.*")
+    bins = F.lit(0)
+    for number, edge in enumerate((*GRID, 0.5), start=1):
+        bins = F.when(F.col("p") >= edge, number).otherwise(bins)
+    counts: dict[tuple[int, int], list[int]] = {}
+    for r in one.groupBy("encoding", _length_class(F.col("n")).alias("class"), bins.alias("bin")).count().collect():
+        counts.setdefault((r["encoding"], r["class"]), [0] * (len(GRID) + 2))[r["bin"]] = r["count"]
+    least = {}
+    for key, found in counts.items():
+        if found[-1] < EVIDENCE:
+            continue
+        random = found[-1] * 2  # half of the random strings lie above one half
+        for number, edge in enumerate(GRID, start=1):
+            above = sum(found[number:])
+            if above and 1 - random * (1 - edge) / above <= rate:
+                least[key] = edge
+                break
+    return Thresholds(least)
+
+
+def _written(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.concat_ws(",", F.transform(
+        spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+    ))
+
+
+def _with_random(base: Column, tested: Column, thresholds: Thresholds) -> Column:
+    random = F.transform(
+        F.filter(tested, thresholds.accept),
+        lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
+    )
+    return F.array_sort(F.concat(base, random))
+
+
+def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> tuple[DataFrame, Thresholds]:
+    """(row, base, spans): the whole row, its base spans and all its spans.
+    ``docs`` is read twice: pass a table."""
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty(F.col(text)).alias("text"))
+    based = rows.withColumn("base", base_spans(F.col("text")))
+    tested = based.withColumn("tested", candidates(F.col("text"), F.col("base")))
+    thresholds = fit_thresholds(F.col("tested"), tested, rate)
+    return tested.select("row", "base", _with_random(F.col("base"), F.col("tested"), thresholds).alias("spans")), thresholds
+
+
+def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", rate: float = RATE) -> DataFrame:
+    """``docs`` with every secret replaced by ``mask``; overlapping spans count
+    as one.  A column ``n_chars`` follows the text; a null text stays null."""
+    scanned, _ = scan(docs, text, rate)
+    body = text_or_empty(F.col(f"row.{text}"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        put = F.when((s["start"] < acc["at"]) & (acc["at"] > 0), F.lit("")).otherwise(F.concat(gap, F.lit(mask)))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], put).alias("out"))
+
+    walked = F.aggregate(F.col("spans"), first, step)
+    whole = F.aggregate(F.array(walked), F.lit(""), lambda a, w: F.concat(w["out"], F.substring(body, w["at"] + 1, F.length(body))))
+    clean = F.when(F.size("spans") == 0, F.col(f"row.{text}")).otherwise(whole)
+    fields = []
+    for field in scanned.schema["row"].dataType.fields:
+        value = F.col("row").getField(field.name)
+        if field.name == text:
+            value = clean
+        elif field.name == "n_chars":
+            value = F.when(F.size("spans") == 0, value).otherwise(F.length(whole)).cast(field.dataType)
+        fields.append(value.alias(field.name))
+    return scanned.select(*fields)
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = text_or_empty(F.col("text"))
+    based = docs.select("doc_id", text.alias("text"), base_spans(text).alias("base"))
+    slim = materialise(based.select("doc_id", "base", candidates(F.col("text"), F.col("base")).alias("tested")), "secrets")
+    thresholds = fit_thresholds(F.col("tested"), slim)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return slim.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(_written(F.col("base")), 256).alias("base_sha256"),
+        _written(_with_random(F.col("base"), F.col("tested"), thresholds)).alias("spans"),
+    )
