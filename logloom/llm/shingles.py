@@ -93,13 +93,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int):
             rolled += hashes[shift : shift + len(rolled)] * weights[shift]
         rolled = mix(rolled)
         for d in range(j - i):
-            a, b = bounds[d], bounds[d + 1]
+            a, b = int(bounds[d]), int(bounds[d + 1])
             if b - a >= k:
                 s = np.sort(rolled[a : b - k + 1])
                 yield s[np.concatenate(([True], s[1:] != s[:-1]))]
             elif b > a:
-                few = (hashes[a:b] * weights[: b - a]).sum(dtype=_U) + _U(int(b - a)) * _U(_BASE)
-                yield mix(np.array([few], _U))
+                few = (hashes[a:b] * weights[: b - a]).sum(keepdims=True, dtype=_U)
+                yield mix(few + _U((b - a) * _BASE % (1 << 64)))
             else:
                 yield np.zeros(0, _U)
         i = j
@@ -107,8 +107,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int):
 
 def fingerprint(s: np.ndarray) -> bytes:
     """128 bits of a set, whatever its order."""
-    two = np.array([mix(s + _U(0x632BE59BD9B4E019)).sum(dtype=_U), mix(s ^ _U(0x9FB21C651E98DF25)).sum(dtype=_U) + _U(len(s))])
-    return mix(two).tobytes()
+    two = [mix(s + _U(0x632BE59BD9B4E019)).sum(dtype=_U), mix(s ^ _U(0x9FB21C651E98DF25)).sum(dtype=_U)]
+    return mix(np.array(two, _U) ^ _U(len(s))).tobytes()
 
 
 def fast_similarity_sketch(s: np.ndarray, t: int, seeds: np.ndarray) -> np.ndarray:
