@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import configure, materialise, scratch_path
 
-__all__ = ["ORACLES", "QUERIES", "WORD", "broadcast_below", "materialise", "query", "scratch_path", "table", "text_or_empty"]
+__all__ = [
+    "ORACLES", "QUERIES", "WORD", "broadcast_below", "finite_vector", "materialise", "materialise_blocks", "query",
+    "scratch_path", "table", "text_or_empty",
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +59,17 @@ def broadcast_below(df: DataFrame, size: Column, limit: int = 64 << 20) -> DataF
     less than ``limit`` bytes; beyond that the join shuffles."""
     total = df.agg(F.sum(size.cast("bigint") + 64).alias("n")).first()["n"] or 0
     return F.broadcast(df) if total < limit else df
+
+
+def materialise_blocks(df: DataFrame, label: str) -> DataFrame:
+    """Like ``materialise`` for rows of a megabyte or so: row groups are small,
+    so that a scan holds few such rows at a time."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def finite_vector(vector: Column) -> Column:
+    """Not null, and without null, NaN or infinite components."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(vector.isNotNull() & ~bad, F.lit(False))
