@@ -1,6 +1,6 @@
 """The registered corpus queries and their SQL."""
 
-from . import kdtree, minhash, mixing, multiindex, resharding, secret_scan  # noqa: F401
+from . import kdtree, minhash, mixing, multiindex, quality, resharding, secret_scan  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -59,9 +59,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def _words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of every word; ``ends`` are the documents' ends."""
-    word = ~_SPACE[raw]
+def words_of(raw: np.ndarray, ends: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and first byte of every word, a run without separators;
+    ``ends`` are the documents' ends."""
+    word = ~separators[raw]
     begin, stop = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     stop[:-1] &= ~word[1:]
@@ -74,7 +75,7 @@ def _words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(raw) + 1, _U)
     np.cumsum(_FOLDED[raw] * up, out=sums[1:])
     hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(ends, first, side="right")
+    return hashes, np.searchsorted(ends, first, side="right"), first
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int):
@@ -86,7 +87,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int):
     weights = mix(np.arange(1, k + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP, side="right")) - 1)
-        hashes, doc = _words(raw[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i])
+        hashes, doc, _ = words_of(raw[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i])
         bounds = np.searchsorted(doc, np.arange(j - i + 1))
         rolled = np.zeros(max(len(hashes) - k + 1, 0), _U)
         for shift in range(k):
