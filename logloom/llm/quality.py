@@ -116,12 +116,11 @@ def _statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 def statistics_of(text: Column) -> Column:
     """The statistics of a text column as array<bigint>."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.Series(list(statistics(*utf8(pa.Array.from_pandas(batch, type=pa.large_string())))))
+    @F.arrow_udf("array<bigint>")
+    def run(texts: pa.Array) -> pa.Array:
+        rows = statistics(*utf8(texts))
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)
+        return pa.ListArray.from_arrays(offsets, rows.ravel())
 
     return run(text.cast("string"))
 
@@ -214,12 +213,9 @@ def score_of(model: Model | None, x: Column) -> Column:
     if model is None:
         return F.lit(0.5)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.Series(model.score(np.stack(batch.to_numpy())) if len(batch) else np.zeros(0))
+    @F.arrow_udf("double")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array(model.score(rows.flatten().to_numpy().reshape(-1, len(FEATURES)).astype(float)))
 
     return run(x)
 
@@ -228,12 +224,9 @@ def text_score(model: Model | None, text: Column) -> Column:
     if model is None:
         return F.lit(0.5)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.Series(model.score(statistics(*utf8(pa.Array.from_pandas(batch, type=pa.large_string())))))
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(statistics(*utf8(texts)).astype(float)))
 
     return run(text.cast("string"))
 
