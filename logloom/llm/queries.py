@@ -1,6 +1,6 @@
 """The registered corpus queries and their SQL."""
 
-from . import kdtree, minhash, mixing, multiindex, packing, quality, resharding, secret_scan, training_order  # noqa: F401
+from . import kdtree, minhash, mixing, multiindex, packing, quality, resharding, secret_scan, suffix, training_order  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
