@@ -1,16 +1,19 @@
 """Near-duplicate documents by fast similarity sketching.
 
 Every document's set of word shingles gets a sketch, the sketch is cut into
-bands, and documents that agree in a band are compared on their full sets.
+bands, and documents that agree in a band are candidates.  Two filters go
+before the comparison of the full sets: sizes too different to be similar
+enough, and sketches that agree in fewer coordinates than a similar pair's
+would, by the sketch's concentration, but once in ``1 / MISS`` cases.
 
 Copies never meet one another: documents with equal sets are one class, and
-only classes are banded.  Inside a bucket no pairs are listed either.  Each
-round picks a few pivots in every bucket and compares the bucket's classes to
-them, first one pivot, the same in all bands that agree; buckets whose
-classes have grown together are done, and in the others compared pivots leave
-the bucket and more are taken, until no bucket holds two classes that are neither
-connected nor compared.  So the components are those of all candidate pairs,
-while a group of n near copies costs n comparisons a round.
+only classes are banded.  Candidates are found inside a bucket, in blocks of at
+most ``BLOCK`` classes, and never listed: a first pass over the small sketches
+keeps the classes that have a candidate at all, a second reads their texts,
+compares sets and emits only links that join what was apart.  Of several
+buckets that hold the same two classes the first band's compares them.  So a
+group of near copies costs as many links as it has members, in blocks that are
+separate tasks, and nothing is capped.
 
 The number of bands follows from the threshold: a pair exactly at it is missed
 with a probability of at most ``MISS``.
@@ -30,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,19 +43,29 @@ from .shingles import band_hashes, fast_similarity_sketch, fingerprint, shingle_
 
 MISS = 1e-6
 ROWS = 4
-MOST_PIVOTS = 64
+BLOCK = 512
 
 
 def band_count(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(similarity**rows)))
 
 
+def least_agreement(coordinates: int, similarity: float, miss: float = MISS) -> int:
+    """Fewest coordinates in which a pair at ``similarity`` agrees, but for ``miss``."""
+    total = 0.0
+    for k in range(coordinates + 1):
+        total += math.comb(coordinates, k) * similarity**k * (1 - similarity) ** (coordinates - k)
+        if total > miss:
+            return k
+    return coordinates
+
+
 @dataclass(frozen=True)
 class Sketched:
     """Written tables: documents with their set's fingerprint, and the classes."""
 
     docs: DataFrame  # uid, row, n_shingles, print
-    classes: DataFrame  # node, print, uid of one document, low (smallest id), bands
+    classes: DataFrame  # node, print, uid of one document, low (smallest id), n_shingles, bands, marks
 
 
 def sketch(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id", text: str = "text") -> Sketched:
@@ -65,20 +78,22 @@ def sketch(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id
         seeds = sketch_seeds(t)
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, marks = [], [], [], []
             for s in shingle_sets(raw, offsets, words):
                 sizes.append(len(s))
+                made = fast_similarity_sketch(s, t, seeds) if len(s) else None
                 prints.append(fingerprint(s) if len(s) else None)
-                keys.append(band_hashes(fast_similarity_sketch(s, t, seeds), ROWS) if len(s) else None)
+                keys.append(band_hashes(made, ROWS).tobytes() if len(s) else None)
+                marks.append(made.astype(np.uint8).tobytes() if len(s) else None)  # a byte of each coordinate
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["row", "n_shingles", "print", "bands"],
+                [batch.column("row"), pa.array(sizes, pa.int64())] + [pa.array(x, pa.binary()) for x in (prints, keys, marks)],
+                ["row", "n_shingles", "print", "bands", "marks"],
             )
 
     rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([
         rows.schema["row"], T.StructField("n_shingles", T.LongType()), T.StructField("print", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("bands", T.BinaryType()), T.StructField("marks", T.BinaryType()),
     ])
     sketched = rows.mapInArrow(run, schema)
     written = materialise(sketched.withColumn("uid", F.monotonically_increasing_id()), "near-docs")
@@ -87,124 +102,139 @@ def sketch(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id
         .agg(F.min("uid").alias("uid"), F.min(F.col(f"row.{doc_id}")).alias("low"), F.max("n_shingles").alias("n_shingles"))
     )
     # The class's bands are those of the document it is named after.
-    named = classes.join(written.select("uid", "bands"), "uid").withColumn("node", F.monotonically_increasing_id())
-    return Sketched(written.drop("bands"), materialise(named, "near-classes"))
-
-
-def _verified(pairs: DataFrame, sketched: Sketched, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(
-        sketched.classes.select("node", "uid").join(ends, "node"), "near-wanted"
-    )
-    texts = materialise(
-        sketched.docs.select("uid", F.col(f"row.{text}").alias("text"))
-        .join(broadcast_below(wanted, F.lit(16)), "uid").select("node", "text"),
-        "near-texts",
+    named = classes.join(written.select("uid", "bands", "marks"), "uid").withColumn("node", F.monotonically_increasing_id())
+    return Sketched(written.drop("bands", "marks"), materialise(named, "near-classes"))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold whole (bucket, low, high) groups of sorted rows; what
+    begins a group that may go on is kept for the next batch."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        keys = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
+        same = np.logical_and.reduce([k == k[-1] for k in keys]) if rows.num_rows else np.zeros(0, bool)
+        first = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
+        if first:
+            yield rows.slice(0, first)
+        held = rows.slice(first)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def candidates(rows: pa.Table, percent: int, agree: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of candidate pairs, by growing distance of the two rows."""
+    n = rows.num_rows
+    bucket, low, high, block, band, size = (
+        rows.column(c).to_numpy() for c in ("bucket", "low", "high", "block", "band", "n_shingles")
     )
-    two = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-
+    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(n, -1)
+    bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.int64).reshape(n, -1)
+    before = np.arange(bands.shape[1])
+    for d in range(1, n):
+        together = (bucket[d:] == bucket[:-d]) & (low[d:] == low[:-d]) & (high[d:] == high[:-d])
+        if not together.any():
+            return
+        # Of two blocks only pairs across them; each block meets itself once.
+        i = np.flatnonzero(together & ((low[d:] == high[d:]) | (block[d:] != block[:-d])))
+        j = i + d
+        close = (size[i] * 100 >= size[j] * percent) & (size[j] * 100 >= size[i] * percent)
+        i, j = i[close], j[close]
+        alike = (marks[i] == marks[j]).sum(1) >= agree
+        i, j = i[alike], j[alike]
+        earlier = ((bands[i] == bands[j]) & (before < band[i][:, None])).any(1)
+        if not earlier.all():
+            yield i[~earlier], j[~earlier]
+
+
+def _with_candidates(percent: int, agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
+        for rows in _whole_groups(batches):
+            keep = np.zeros(rows.num_rows, bool)
+            for i, j in candidates(rows, percent, agree):
+                keep[i] = keep[j] = True
+            yield from rows.filter(pa.array(keep)).to_batches()
 
-        def sets(ids: list[int], column: pa.Array) -> list[np.ndarray]:
-            # Pairs of one pivot come together: a few sets are kept, up to 4 M hashes.
-            nonlocal held
-            raw, offsets = utf8(column)
-            out = []
-            for i, node in enumerate(ids):
-                s = known.get(node)
-                if s is None:
-                    part = raw[offsets[i] : offsets[i + 1]]
-                    s = next(shingle_sets(part, np.array([0, len(part)]), words))
-                    if held + len(s) > 1 << 22:
-                        known.clear()
-                        held = 0
-                    known[node] = s
-                    held += len(s)
-                out.append(s)
-            return out
+    return run
 
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for x, y in zip(sets(a, batch.column("text_a")), sets(b, batch.column("text_b"))):
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b")], ["a", "b"]
-            ).filter(pa.array(keep, pa.bool_()))
 
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+def _links(words: int, percent: int, agree: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            node, texts = rows.column("node").to_pylist(), rows.column("text")
+            sets: dict[int, np.ndarray] = {}
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            def set_of(i: int) -> np.ndarray:
+                if node[i] not in sets:
+                    sets[node[i]] = next(shingle_sets(*utf8(pa.array([texts[i].as_py()], pa.large_string())), words))
+                return sets[node[i]]
 
+            out = []
+            for left, right in candidates(rows, percent, agree):
+                for i, j in zip(left.tolist(), right.tolist()):
+                    a, b = find(node[i]), find(node[j])
+                    if a == b:
+                        continue
+                    x, y = set_of(i), set_of(j)
+                    if len(x) > len(y):
+                        x, y = y, x
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int((y[at] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        root[max(a, b)] = min(a, b)
+                        out.append((node[i], node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _first(members: DataFrame) -> DataFrame:
-    return members.groupBy("bucket").agg(F.min("node").alias("pivot")).select("bucket", "pivot")
+    return run
 
 
-def _more(members: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """Up to ``pivots`` classes of each bucket, one of each residue of a hash."""
-    residue = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
-    chosen = members.withColumn("residue", residue).groupBy("bucket").agg(
-        *[F.min(F.when(F.col("residue") == i, F.col("node"))).alias(f"p{i}") for i in range(pivots)]
-    )
-    return chosen.select("bucket", F.explode(F.array_compact(F.array(*[F.col(f"p{i}") for i in range(pivots)]))).alias("pivot"))
+GROUP = ["bucket", "low", "high"]
 
 
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def link_classes(sketched: Sketched, text: str, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the classes that are linked, but for the smallest."""
+    bands = band_count(percent / 100)
+    agree = least_agreement(bands * ROWS, percent / 100)
 
+    @F.arrow_udf("array<bigint>")
+    def numbers(keys: pa.Array) -> pa.Array:
+        flat = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+        return pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, flat)
 
-def link_classes(sketched: Sketched, text: str, words: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked, but for the smallest."""
-    banded = sketched.classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    # Buckets of one class are most; sums are combined before the shuffle.
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
+    banded = sketched.classes.select("node", F.posexplode(numbers("bands")).alias("band", "bucket"))
+    # Most buckets hold one class; they are counted before the shuffle.
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     members = materialise(banded.join(shared, "bucket"), "near-members")
-    compared = links = components = None
-    pivots, turn = 1, 0
-    while True:
-        named = members.withColumn("component", F.col("node"))
-        if components is not None:
-            named = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            named = named.select("bucket", "node", "n", "component")
-            split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            named = materialise(named.join(split.select("bucket"), "bucket"), "near-open")
-            if named.isEmpty():
-                return components
-        chosen = materialise(_first(named) if turn == 0 else _more(named, pivots, turn), "near-pivots")
-        with_pivot = chosen.join(
-            named.select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"), F.col("n").alias("pivot_n")),
-            ["bucket", "pivot"],
-        )
-        # Sets of too different sizes cannot be similar enough.
-        close = (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
-        pairs = (
-            named.join(with_pivot, "bucket").where((F.col("component") != F.col("pivot_component")) & close)
-            .select(*_pair(F.col("node"), F.col("pivot"))).distinct()
-        )
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        found = materialise(_verified(pairs, sketched, text, words, percent), "near-links")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links)
-        # A pivot has now been compared to all that its bucket held.
-        members = materialise(
-            named.select("bucket", "node", "n").join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti"),
-            "near-members",
+    blocks = F.ceil(F.col("held") / block)
+    dealt = (
+        members.join(sketched.classes.select("node", "n_shingles", "bands", "marks"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .select(
+            "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band",
+            "node", "n_shingles", "bands", "marks",
         )
-        if members.isEmpty():
-            return components
-        turn += 1
-        pivots = min(8 << (turn - 1), MOST_PIVOTS)
+    )
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    found = materialise(grouped(dealt).mapInArrow(_with_candidates(percent, agree), dealt.schema), "near-candidates")
+    wanted = materialise(
+        sketched.classes.select("node", "uid").join(found.select("node").distinct(), "node"), "near-wanted"
+    )
+    texts = sketched.docs.select("uid", F.col(f"row.{text}").cast("string").alias("text")).join(
+        broadcast_below(wanted, F.lit(16)), "uid"
+    ).select("node", "text")
+    links = grouped(found.join(texts, "node")).mapInArrow(_links(words, percent, agree), "a bigint, b bigint")
+    return connected_components(materialise(links, "near-links"))
 
 
 @dataclass(frozen=True)
