@@ -17,6 +17,31 @@ from pyspark.sql import functions as F
 from . import documents, moments
 
 
+def _whole_number(param: Param, value: Any) -> int:
+    try:
+        number = int(value)
+    except (TypeError, ValueError):
+        raise ValueError(f"{param.name}: {value!r} is no integer") from None
+    low, high = (number if end is None else end for end in (param.low, param.high))
+    if not low <= number <= high:
+        raise ValueError(f"{param.name}: {number} is outside {param.low}..{param.high}")
+    return number
+
+
+def _one_of(param: Param, value: Any) -> str:
+    if str(value).strip() not in param.options:
+        raise ValueError(f"{param.name}: {value!r} is none of {list(param.options)}")
+    return str(value).strip()
+
+
+def _utc_offset(param: Param, value: Any) -> str:
+    moments.offset_seconds(value)
+    return str(value).strip()
+
+
+READERS = {"int": _whole_number, "select": _one_of, "offset": _utc_offset}
+
+
 @dataclass(frozen=True)
 class Param:
     name: str
@@ -27,6 +52,11 @@ class Param:
     low: int | None = None
     high: int | None = None
 
+    def read(self, value: Any) -> Any:
+        """A given value in the parameter's type; ValueError if it has none."""
+        reader = READERS.get(self.kind)
+        return reader(self, value) if reader else str(value).strip()
+
 
 @dataclass(frozen=True)
 class Op:
@@ -58,42 +88,29 @@ def get_op(op_id: str) -> Op:
 
 
 def validate_params(op_id: str, params: dict | None) -> dict:
-    """Known parameters only, coerced; ValueError on a bad or missing one."""
+    """Known parameters only, coerced; ValueError on a bad or missing one.
+
+    A blank value counts as not given."""
     op = get_op(op_id)
-    out: dict[str, Any] = {}
-    for spec in op.params:
-        value = (params or {}).get(spec.name)
-        if value is None or str(value).strip() == "":
-            if spec.required:
-                raise ValueError(f"{op.id} cannot run without {spec.name!r}")
-            if spec.default is not None:
-                out[spec.name] = spec.default
-            continue
-        if spec.kind == "int":
-            try:
-                value = int(value)
-            except (TypeError, ValueError):
-                raise ValueError(f"{spec.name}: {value!r} is no integer") from None
-            if (spec.low is not None and value < spec.low) or (spec.high is not None and value > spec.high):
-                raise ValueError(f"{spec.name}: {value} is outside {spec.low}..{spec.high}")
-        else:
-            value = str(value).strip()
-            if spec.kind == "select" and value not in spec.options:
-                raise ValueError(f"{spec.name}: {value!r} is none of {list(spec.options)}")
-            if spec.kind == "offset":
-                moments.offset_seconds(value)
-        out[spec.name] = value
+    given = {name: value for name, value in (params or {}).items() if value is not None and str(value).strip()}
+    missing = [p.name for p in op.params if p.required and p.name not in given]
+    if missing:
+        raise ValueError(f"{op.id} cannot run without {', '.join(map(repr, missing))}")
+    read = defaults(op) | {p.name: p.read(given[p.name]) for p in op.params if p.name in given}
     if op.check:
-        op.check(out)
-    return out
+        op.check(read)
+    return read
+
+
+def defaults(op: Op) -> dict:
+    return {p.name: p.default for p in op.params if p.default is not None}
 
 
 def detection_params(op: Op) -> dict:
-    """Parameters to try an operation with before anyone has chosen any."""
-    out = {p.name: p.default for p in op.params if p.default is not None}
-    if op.ordered:
-        out["base_year"] = datetime.now(timezone.utc).year
-    return out
+    """Parameters to try an operation with before anyone has chosen any; what
+    depends on the row order is tried in this year."""
+    this_year = {"base_year": datetime.now(timezone.utc).year}
+    return defaults(op) | (this_year if op.ordered else {})
 
 
 OFFSET = Param("utc_offset", "offset")

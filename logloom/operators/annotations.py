@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, datetime_columns
+from ..functions.columns import KEYS, datetime_columns, ref
 from ..functions.scalars import stripped, ts_normalize
 from ..session import broadcast_if_small, materialise
 from .predicates import exclude_rows
@@ -71,10 +71,13 @@ def tag_delta(target: DataFrame, tags: DataFrame, tag_id: int, on: bool = True)
     return changed.withColumn("tag_id", F.lit(tag_id).cast(tags.schema["tag_id"].dataType))
 
 
-def apply_delta(tags: DataFrame, delta: DataFrame, on: bool = True) -> DataFrame:
+def apply_delta(tags: DataFrame, delta: DataFrame, on: bool = True, exact: bool = False) -> DataFrame:
+    """``exact``: the delta comes from ``tag_delta`` on these tags, so it shares
+    no row with them and nothing has to be shuffled."""
     delta = delta.select(*TAG_KEYS)
     if on:
-        return tags.select(*TAG_KEYS).union(delta).dropDuplicates()
+        united = tags.select(*TAG_KEYS).union(delta)
+        return united if exact else united.dropDuplicates()
     return tags.join(delta, TAG_KEYS, "left_anti")
 
 
@@ -103,7 +106,7 @@ def tag_view(
     """Tag or untag every row of a view but an explicit list."""
     target = distinct_rows(exclude_rows(df, exclude or []))
     delta = tag_delta(target, tags, tag_id, on)
-    return TagChange(target, delta, apply_delta(tags, delta, on))
+    return TagChange(target, delta, apply_delta(tags, delta, on, exact=True))
 
 
 def set_tags(pairs: DataFrame, tags: DataFrame, tag_id: int, on: bool = True) -> TagChange:
@@ -111,9 +114,20 @@ def set_tags(pairs: DataFrame, tags: DataFrame, tag_id: int, on: bool = True) ->
     return tag_view(pairs, tags, tag_id, on)
 
 
-def upsert_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace notes; a blank note deletes."""
-    new = changes.select(*KEYS, F.coalesce("note", F.lit("")).alias("_new"))
+def last_notes(changes: DataFrame, order: str | None = None) -> DataFrame:
+    """One note per row, as ``_new``: of several the one with the largest
+    ``order``; of those, or without an order, the greatest text."""
+    text = F.coalesce("note", F.lit(""))
+    if order is None:
+        return changes.groupBy(*KEYS).agg(F.max(text).alias("_new"))
+    best = F.max(F.struct(ref(order).alias("_at"), text.alias("_new"))).alias("_best")
+    return changes.groupBy(*KEYS).agg(best).select(*KEYS, "_best._new")
+
+
+def upsert_notes(notes: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace notes; a blank note deletes.  Several changes of a row are one:
+    see ``last_notes``."""
+    new = last_notes(changes, order)
     merged = notes.select(*KEYS, "note").join(new, KEYS, "full")
     note = F.coalesce("_new", "note")
     return merged.where(stripped(note) != "").select(*KEYS, note.alias("note"))
@@ -151,10 +165,12 @@ def tag_time_bounds(
     chosen = [column] if column in every else every
     if not chosen:
         return df.sparkSession.createDataFrame([(None, None)], "start string, end string")
-    times = [ts_normalize(df, c) for c in chosen]
+    # Only the tagged rows' times are read out.
+    rows = having_tags(df, tags, tag_ids)
+    times = [ts_normalize(rows, c) for c in chosen]
     low = times[0] if len(times) == 1 else F.least(*times)
     high = times[0] if len(times) == 1 else F.greatest(*times)
-    rows = having_tags(df.select(*KEYS, low.alias("_low"), high.alias("_high")), tags, tag_ids)
+    rows = rows.select(low.alias("_low"), high.alias("_high"))
     return rows.agg(F.min("_low").alias("start"), F.max("_high").alias("end"))
 
 
@@ -203,9 +219,12 @@ def map_tag_ids(local_defs: DataFrame, incoming_defs: DataFrame) -> tuple[DataFr
     return local_defs.select("id", "name", "color", "hotkey").unionByName(created), mapping
 
 
-def merge_annotations(local: Annotations, incoming: Annotations, merge: bool = True) -> Annotations:
-    """Import a session: tags unite, an incoming note wins.  ``merge=False``
-    first clears the sources the session speaks about."""
+def merge_annotations(
+    local: Annotations, incoming: Annotations, merge: bool = True, order: str | None = None
+) -> Annotations:
+    """Import a session: tags unite, an incoming note wins (of several for a
+    row, that of ``last_notes``).  ``merge=False`` first clears the sources the
+    session speaks about."""
     defs, mapping = map_tag_ids(local.tag_defs, incoming.tag_defs)
     # One tag may hold most assignments: broadcast the short mapping if it is short.
     mapping = broadcast_if_small(materialise(mapping, "tag-map"))
@@ -219,8 +238,7 @@ def merge_annotations(local: Annotations, incoming: Annotations, merge: bool = T
         tags = tags.where(~F.col("source_id").isin(named))
         notes = notes.where(~F.col("source_id").isin(named))
     united = tags.select(*TAG_KEYS).union(moved).dropDuplicates()
-    new = incoming.notes.select(*KEYS, F.col("note").alias("_new"))
-    merged = notes.join(new, KEYS, "full").select(*KEYS, F.coalesce("_new", "note").alias("note"))
+    merged = notes.join(last_notes(incoming.notes, order), KEYS, "full").select(*KEYS, F.coalesce("_new", "note").alias("note"))
     return Annotations(defs, united, merged)
 
 
@@ -237,3 +255,32 @@ def reattach_sources(session_sources: DataFrame, local_sources: DataFrame) -> Da
     recorded = session_sources.select(F.col("source_id").alias("recorded_id"), "fingerprint")
     current = local_sources.groupBy("fingerprint").agg(F.max("source_id").alias("source_id"))
     return recorded.join(current, "fingerprint", "left").select("recorded_id", "source_id")
+
+
+@dataclass
+class CaseImport:
+    annotations: Annotations
+    unmatched: DataFrame  # recorded_id, fingerprint of sources that are not open
+
+
+def import_case(
+    local: Annotations, incoming: Annotations, session_sources: DataFrame, local_sources: DataFrame,
+    merge: bool = True, order: str | None = None,
+) -> CaseImport:
+    """Import a whole case: its sources are matched to the open ones by
+    fingerprint, its rows get their ids, then its annotations are merged.
+    Annotations of a source that is not open stay out and are reported."""
+    matched = reattach_sources(session_sources, local_sources)
+    known = broadcast_if_small(materialise(
+        matched.where("source_id IS NOT NULL").select("recorded_id", F.col("source_id").alias("_local")), "case-sources"
+    ))
+
+    def moved(table: DataFrame) -> DataFrame:
+        rows = table.withColumnRenamed("source_id", "recorded_id").join(known, "recorded_id")
+        return rows.withColumn("source_id", F.col("_local").cast(table.schema["source_id"].dataType)).select(*table.columns)
+
+    merged = merge_annotations(local, Annotations(incoming.tag_defs, moved(incoming.tags), moved(incoming.notes)), merge, order)
+    unmatched = matched.where("source_id IS NULL").select("recorded_id").join(
+        session_sources.withColumnRenamed("source_id", "recorded_id"), "recorded_id"
+    )
+    return CaseImport(merged, unmatched.select("recorded_id", "fingerprint"))

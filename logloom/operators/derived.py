@@ -11,10 +11,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import moments
+from ..functions import documents, moments
 from ..functions.columns import KEYS, as_text, base_columns, data_fields, is_derived, ref
 from ..functions.registry import get_op, validate_params
-from ..session import spread
 from .ids import count_drops
 from .predicates import unparsed_rows
 
@@ -55,7 +54,18 @@ def _checked(df: DataFrame, spec: dict, taken: set[str]) -> dict:
     return {"name": name, "input_column": _find(df, spec["input_column"]).name, "op_id": op.id, "params": params}
 
 
-def _value(df: DataFrame, definition: dict) -> Column:
+def _parsed_once(df: DataFrame, checked: list[dict]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with a parsed column for every document column that gives more
+    than one JSON field, and the names of those columns by input."""
+    inputs = [d["input_column"] for d in checked if d["op_id"] == "json_field"]
+    shared = {name: f"_document_{i}" for i, name in enumerate(sorted(set(inputs))) if inputs.count(name) > 1}
+    parsed = {alias: documents.as_variant(as_text(df, name)) for name, alias in shared.items()}
+    return df.withColumns(parsed) if parsed else df, shared
+
+
+def _value(df: DataFrame, definition: dict, shared: dict[str, str] | None = None) -> Column:
+    if definition["op_id"] == "json_field" and definition["input_column"] in (shared or {}):
+        return documents.variant_field(F.col(shared[definition["input_column"]]), definition["params"]["path"])
     op, params = get_op(definition["op_id"]), dict(definition["params"])
     text = as_text(df, definition["input_column"])
     if op.two_input:
@@ -97,9 +107,10 @@ def add_derived_columns(df: DataFrame, specs: list[dict]) -> DataFrame:
     plain = [d for d in checked if not get_op(d["op_id"]).ordered]
     out = df
     if plain:
+        out, shared = _parsed_once(out, plain)
         out = out.select(
             *[ref(c) for c in df.columns],
-            *[_value(df, d).alias(d["name"], metadata=_metadata(d)) for d in plain],
+            *[_value(df, d, shared).alias(d["name"], metadata=_metadata(d)) for d in plain],
         )
     for definition in checked:
         if get_op(definition["op_id"]).ordered:
@@ -115,7 +126,7 @@ def add_derived(df: DataFrame, name: str, input_column: str, op_id: str, params:
 
 def flatten_column(df: DataFrame, column: str, fields: dict[str, str], kind: str = "json") -> DataFrame:
     """Several fields of one document column: ``{new name: path}``."""
-    return add_derived_columns(spread(df), [
+    return add_derived_columns(df, [
         {"name": name, "input_column": column, "op_id": f"{kind}_field", "params": {"path": path}}
         for name, path in fields.items()
     ])

@@ -1,7 +1,7 @@
 """Type inference, timestamp-format detection, document sniffing, field discovery.
 
-Detection looks at the first ``sample`` non-empty values by default (the
-feature); ``sample=None`` reads the whole column.
+Detection reads the whole column; with ``sample`` it looks at the rows with
+the smallest keys that hold a value, which are the same rows every time.
 """
 
 from __future__ import annotations
@@ -17,19 +17,15 @@ from ..functions.columns import (
 )
 from ..functions.registry import OPERATIONS, detection_params
 from ..functions.scalars import DATE_PATTERN, NUMBER_PATTERN, stripped
-from ..session import spread
+from ..session import materialise, spread
 from .derived import definitions
 
-TYPE_SAMPLE = 500
-DETECT_SAMPLE = 200
-
-
-def infer_types(df: DataFrame, sample: int | None = TYPE_SAMPLE) -> DataFrame:
+def infer_types(df: DataFrame, sample: int | None = None) -> DataFrame:
     """``(column, type)``: number if all filled values are, datetime if at
     least four in five are, else text."""
     rows = df
     if sample is not None:
-        rows = df.where(F.col("rid") <= sample) if "rid" in df.columns else df.limit(sample)
+        rows = df.where(F.col("rid") <= sample) if "rid" in df.columns else df.orderBy(*df.columns).limit(sample)
     names = base_columns(df)
     measures = []
     for i, name in enumerate(names):
@@ -57,8 +53,11 @@ def _visible_ops():
 
 def _cells(df: DataFrame, column: str, sample: int | None) -> DataFrame:
     """The filled values of one column as ``v``."""
-    cells = df.select(as_text(df, column).alias("v")).where(stripped(F.col("v")) != "")
-    return spread(cells) if sample is None else cells.limit(sample)
+    keys = [c for c in ("source_id", "rid") if c in df.columns]
+    cells = df.select(*keys, as_text(df, column).alias("v")).where(stripped(F.col("v")) != "")
+    if sample is None:
+        return spread(cells.select("v"))
+    return cells.orderBy(*keys or ["v"]).limit(sample).select("v")
 
 
 def _shares(ops) -> list:
@@ -69,7 +68,7 @@ def _shares(ops) -> list:
     ]
 
 
-def detect_format(df: DataFrame, column: str, sample: int | None = DETECT_SAMPLE) -> DataFrame:
+def detect_format(df: DataFrame, column: str, sample: int | None = None) -> DataFrame:
     """``(op_id, confidence)`` of every operation that reads some value, best
     first; the registry's order breaks ties."""
     ops = _visible_ops()
@@ -82,7 +81,7 @@ def detect_format(df: DataFrame, column: str, sample: int | None = DETECT_SAMPLE
 
 
 def suggest_timestamp_columns(
-    df: DataFrame, min_confidence: float = 0.9, sample: int | None = DETECT_SAMPLE
+    df: DataFrame, min_confidence: float = 0.9, sample: int | None = None
 ) -> DataFrame:
     """``(column, op_id, confidence)``: columns that look like timestamps but
     are neither datetime columns nor converted already."""
@@ -115,7 +114,7 @@ def suggest_timestamp_columns(
     )
 
 
-def sniff_document_kind(df: DataFrame, column: str, sample: int | None = DETECT_SAMPLE) -> DataFrame:
+def sniff_document_kind(df: DataFrame, column: str, sample: int | None = None) -> DataFrame:
     """One row ``(kind, sampled)``: json or xml when most filled values parse."""
     cells = _cells(df, column, sample)
     value = F.col("v")
@@ -129,14 +128,15 @@ def sniff_document_kind(df: DataFrame, column: str, sample: int | None = DETECT_
 
 
 def discover_fields(
-    df: DataFrame, column: str, kind: str | None = None, sample: int | None = DETECT_SAMPLE,
+    df: DataFrame, column: str, kind: str | None = None, sample: int | None = None,
     max_depth: int | None = None,
 ) -> DataFrame:
     """``(path, count, coverage, nonempty, sample)`` of the leaves in a document
     column: fields with content first, then by coverage, then by path."""
+    # Everything below reads the same cells, found once.
+    cells = materialise(_cells(df, column, sample), "cells")
     if kind is None:
-        kind = sniff_document_kind(df, column, sample).head()["kind"]
-    cells = _cells(df, column, sample)
+        kind = sniff_document_kind(cells, "v").head()["kind"]
     if kind is None:
         return df.sparkSession.createDataFrame(
             [], "path string, count bigint, coverage double, nonempty bigint, sample string"
@@ -155,11 +155,10 @@ def discover_fields(
     return (
         found.select("path", "count", (F.col("count") / docs).alias("coverage"), "nonempty", "sample")
         .orderBy(F.col("nonempty").desc(), F.col("count").desc(), "path")
-        .limit(documents.MAX_PATHS)
     )
 
 
 def suggested_names(fields: DataFrame, kind: str) -> list[tuple[str, str]]:
-    """``(path, column name)`` for a discovered field list (at most 400 rows)."""
+    """``(path, column name)`` for a list of discovered fields, one row per path."""
     return [(r["path"], documents.suggest_name(r["path"], kind)) for r in fields.select("path").collect()]
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_text, data_fields
 from .grouping import top_with_flag
 
-MAX_EDGES = 2000
 ABSENT = ("", "-")  # how exports spell a missing host
 
 
 def edges(df: DataFrame, src: str, dst: str, label: str | None = None, limit: int | None = 500) -> DataFrame:
-    """``(src, dst, n[, labels], truncated)``, heaviest first.
+    """``(src, dst, n[, labels], truncated)`` of the ``limit`` heaviest edges;
+    ``limit=None`` gives all edges, without the flag.
 
-    Blank ends and self-loops are dropped; ``limit=None`` gives all edges.  The
+    Blank ends and self-loops are dropped.  The
     distinct labels are counted after a shuffle on (pair, label), so a pair with
     a third of the rows is spread out."""
     names = {f.name for f in data_fields(df)}
@@ -36,7 +36,7 @@ def edges(df: DataFrame, src: str, dst: str, label: str | None = None, limit: in
     if limit is None:
         return grouped
     order = [F.col("n").desc(), F.col("src").asc(), F.col("dst").asc()]
-    return top_with_flag(grouped, order, min(limit, MAX_EDGES))
+    return top_with_flag(grouped, order, limit)
 
 
 def node_degrees(edge_list: DataFrame) -> DataFrame:

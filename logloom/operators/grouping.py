@@ -61,11 +61,12 @@ def group_by_tag(df: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def group_summary(
-    df: DataFrame, column: str, order: str = "count", direction: str | None = None, limit: int = 1000,
+    df: DataFrame, column: str, order: str = "count", direction: str | None = None, limit: int | None = None,
     path: list[dict] | None = None, bucket_datetime: bool = True,
     tags: DataFrame | None = None, tag_defs: DataFrame | None = None,
 ) -> DataFrame:
-    """``(value, count, truncated)`` of the biggest (or first) groups.
+    """``(value, count, truncated)`` of all groups, or of the ``limit`` biggest
+    (or first) ones.
 
     Counts sort descending by default, values ascending; ties go by value."""
     rows = narrow(df, path, tags)
@@ -90,6 +91,8 @@ def group_summary(
     key = F.col("count") if order == "count" else sort_key
     down = (direction or ("asc" if order == "value" else "desc")) == "desc"
     ranked = [key.desc() if down else key.asc(), F.col("value").asc()]
+    if limit is None:
+        return groups.orderBy(*ranked).select("value", "count", F.lit(False).alias("truncated"))
     return top_with_flag(groups, ranked, limit).select("value", "count", "truncated")
 
 
@@ -100,12 +103,14 @@ def expand_group(
     return narrow(df, [*(path or []), {"column": column, "value": value}], tags)
 
 
-def column_values(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
-    """Distinct stored values with counts, most frequent first."""
+def column_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Distinct stored values with counts, most frequent first; with a limit
+    the first ones and ``truncated``."""
     if column not in {f.name for f in data_fields(df)}:
         raise KeyError(column)
     counts = df.groupBy(ref(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(limit)
+    order = [F.col("count").desc(), F.col("value").asc()]
+    return counts.orderBy(*order) if limit is None else top_with_flag(counts, order, limit)
 
 
 def column_max_lengths(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
@@ -37,9 +38,8 @@ def java_pattern(pattern: str) -> str | None:
     """The case-insensitive Java form of a regular expression, or None when
     Java cannot compile it (such a pattern matches nothing)."""
     text = "(?i)" + pattern.replace("(?P<", "(?<")
-    spark = SparkSession.active()
     try:
-        spark._jvm.java.util.regex.Pattern.compile(text)
+        SparkSession.active().range(1).select(F.lit("").rlike(text)).head()
     except Exception:
         return None
     return text
@@ -63,12 +63,11 @@ def _literal(df: DataFrame, column: str, value) -> Column | None:
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
         return F.lit(str(value))
-    if isinstance(kind, (T.IntegralType,)):
-        try:
-            number = float(value)
-        except (TypeError, ValueError):
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        number = exact_number(value)
+        if number is None or not fits(number, kind):
             return None
-        return F.lit(int(number)).cast("bigint") if number.is_integer() else None
+        return _whole(number, kind) if isinstance(kind, T.IntegralType) else F.lit(number).cast(kind)
     if isinstance(kind, T.NumericType):
         try:
             return F.lit(float(value)).cast(kind)
@@ -80,6 +79,43 @@ def _literal(df: DataFrame, column: str, value) -> Column | None:
     return F.lit(value)
 
 
+def exact_number(value) -> Decimal | None:
+    """A number without a detour through doubles; None for anything else."""
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    return number if number.is_finite() else None
+
+
+RANGES = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+
+
+def fits(number: Decimal, kind: T.DataType) -> bool:
+    """Can a column of this exact type hold the number?"""
+    if isinstance(kind, T.DecimalType):
+        return number == number.quantize(Decimal(1).scaleb(-kind.scale)) if abs(number) < Decimal(10) ** (kind.precision - kind.scale) else False
+    reach = 1 << RANGES[kind.simpleString()]
+    return number == number.to_integral_value() and -reach <= number < reach
+
+
+def _whole(number: Decimal, kind: T.DataType) -> Column:
+    return F.lit(int(number)).cast(kind)
+
+
+def compare_exactly(column: Column, kind: T.DataType, op: str, number: Decimal) -> Column:
+    """An ordered comparison of a whole-number column in its own type, so that
+    it is exact and reaches the scan.  A bound between two whole numbers moves
+    to the nearer one; a bound beyond the type is true or false for all."""
+    reach = 1 << RANGES[kind.simpleString()]
+    up, strict = op.startswith(">"), len(op) == 1
+    bound = number.to_integral_value(rounding="ROUND_CEILING" if up else "ROUND_FLOOR")
+    strict = strict and bound == number
+    if bound >= reach or bound < -reach:
+        return column.isNotNull() & F.lit((bound < 0) == up)
+    return COMPARISONS[op[0] + ("" if strict else "=")](column, _whole(bound, kind))
+
+
 def _as_list(value) -> list[str]:
     items = value if isinstance(value, (list, tuple, set)) else str(value).split("\n")
     return [v for v in items if str(v) != ""]
@@ -116,6 +152,13 @@ def condition(df: DataFrame, column: str, op: str, value="") -> Column | None:
     if op == "regex":
         return matches_regex(text, str(value))
     if op in COMPARISONS:
+        kind = df.schema[column].dataType
+        if types[column] == NUMBER and isinstance(kind, T.IntegralType) and (number := exact_number(value)) is not None:
+            return compare_exactly(ref(column), kind, op, number)
+        if types[column] == NUMBER and isinstance(kind, T.DecimalType) and (number := exact_number(value)) is not None:
+            return COMPARISONS[op](ref(column), F.lit(number))
+        if types[column] == NUMBER and isinstance(kind, T.DoubleType):
+            return COMPARISONS[op](ref(column), F.lit(float(value)))
         if types[column] == NUMBER:
             return COMPARISONS[op](number_of(df, column), F.lit(float(value)))
         wanted = _literal(df, column, value)
@@ -130,8 +173,10 @@ def where_op(df: DataFrame, column: str, op: str, value="") -> DataFrame:
     return df if test is None else df.where(test)
 
 
-# Words that could open a subquery inside an expression.
+# Words that could open a subquery inside an expression, and functions that
+# would call into the engine's own classes.
 SUBQUERY_WORDS = r"\b(select|table|values|with|from)\b"
+ENGINE_CALLS = r"\b(try_reflect|reflect|java_method)`?\s*\("
 
 
 def _structure(text: str) -> str:
@@ -139,6 +184,13 @@ def _structure(text: str) -> str:
     return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`", "''", text)
 
 
+def refuse_engine_calls(text: str) -> None:
+    """A name counts with or without backticks; quoted text does not count."""
+    unquoted = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|/\*.*?\*/|--[^\n]*", " ", text, flags=re.DOTALL)
+    if re.search(ENGINE_CALLS, unquoted, re.IGNORECASE):
+        raise ValueError("Calls into Java classes are refused")
+
+
 def raw_condition(df: DataFrame, text: str) -> Column:
     """A boolean SQL expression over this frame's own columns, no subqueries."""
     text = (text or "").strip()
@@ -149,6 +201,7 @@ def raw_condition(df: DataFrame, text: str) -> Column:
         raise ValueError("An expression holds no comments and no second statement")
     if re.search(SUBQUERY_WORDS, structure, re.IGNORECASE):
         raise ValueError("An expression reads its own row only; subqueries are refused")
+    refuse_engine_calls(text)
     try:
         df.where(F.expr(text))
         return F.expr(text)
@@ -231,6 +284,16 @@ def unparsed_rows(df: DataFrame, derived: str, source: str) -> DataFrame:
     return df.where(ref(derived).isNull() & (F.coalesce(as_text(df, source), F.lit("")) != ""))
 
 
+def keys_in(rows: list) -> Column:
+    """A condition on the row keys that the scan itself understands; for a
+    list of rows whose size the caller has bounded."""
+    by_source: dict[int, list[int]] = {}
+    for row in rows:
+        by_source.setdefault(row["source_id"], []).append(row["rid"])
+    tests = [(F.col("source_id") == s) & F.col("rid").isin(sorted(set(rids))) for s, rids in by_source.items()]
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
+
 def exclude_rows(df: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """All rows but an explicit list; the list comes from the caller, so its
     size is known before the broadcast."""

@@ -48,7 +48,8 @@ def merge_sources(sources: list[Source]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _entry(source: Source, config: dict) -> DataFrame:
+def _entry(source: Source, config: dict, marked: DataFrame) -> DataFrame:
+    """The marked rows of one source; times and texts are made of those only."""
     df = source.keyed()
     names = [f.name for f in data_fields(df)]
     moments = datetime_columns(df)
@@ -62,12 +63,13 @@ def _entry(source: Source, config: dict) -> DataFrame:
     else:
         ts = ts_normalize(df, ts_column)
     body = [c for c in config.get("body_columns") or [] if c in names] or names
-    return df.select(
+    return df.join(marked, KEYS).select(
         *KEYS,
         ts.alias("ts"),
         F.concat_ws(" | ", *[F.coalesce(as_text(df, c), F.lit("")) for c in body]).alias("body"),
         F.lit(config.get("type_label") or source.name).alias("type_label"),
         F.lit(source.name).alias("source_name"),
+        "tag_ids",
     )
 
 
@@ -83,8 +85,7 @@ def timeline(
     # Findings are few beside the evidence: a short list goes to the rows, so the
     # sources are not shuffled; a long one joins by shuffle.
     marked = broadcast_if_small(materialise(marked, "marked"))
-    rows = reduce(DataFrame.unionByName, [_entry(s, (configs or {}).get(s.id, {})) for s in sources])
-    return rows.join(marked, KEYS)
+    return reduce(DataFrame.unionByName, [_entry(s, (configs or {}).get(s.id, {}), marked) for s in sources])
 
 
 def timeline_order(rows: DataFrame) -> DataFrame:

@@ -15,9 +15,10 @@ from ..functions.columns import KEYS, NUMBER, datetime_columns, is_string, logic
 from ..functions.scalars import number_of, ts_normalize
 from . import annotations, search
 from .ids import OrderedRows, number_sorted
-from .predicates import condition, normalise_bound, time_range_condition, tree_condition
+from .grouping import top_with_flag
+from .predicates import condition, keys_in, normalise_bound, time_range_condition, tree_condition
 
-PAGE_CAP = 10_000  # rows one page may ask for
+PUSHED_KEYS = 10_000  # a larger page joins its keys instead of naming them
 
 
 def spec_condition(df: DataFrame, spec: dict) -> Column | None:
@@ -95,11 +96,20 @@ def page(
 ) -> DataFrame:
     """Rows ``start .. start+count-1`` of a view with cells, tags and note.
 
-    The window holds at most ``PAGE_CAP`` keys, which bounds the broadcast."""
-    keys = view.window(start, min(count, PAGE_CAP))
-    rows = source.join(F.broadcast(keys), KEYS)
+    The keys of an ordinary page go into the filters of the source, the tags and
+    the notes, so their scans skip what holds none of them."""
+    keys = view.window(start, count)
+    if count > PUSHED_KEYS:
+        rows = source.join(keys, KEYS)
+        return (rows if tags is None else annotations.attach_annotations(rows, tags, notes)).orderBy("pos")
+    held = keys.collect()
+    wanted = keys_in(held)
+    listed = source.sparkSession.createDataFrame(
+        [(r["source_id"], r["rid"], r["pos"]) for r in held], "source_id int, rid bigint, pos bigint"
+    )
+    rows = source.where(wanted).join(F.broadcast(listed), KEYS)
     if tags is not None:
-        rows = annotations.attach_annotations(rows, tags, notes)
+        rows = annotations.attach_annotations(rows, tags.where(wanted), None if notes is None else notes.where(wanted))
     return rows.orderBy("pos")
 
 
@@ -109,11 +119,10 @@ def page_unsorted(
 ) -> DataFrame:
     """A page of an unfiltered, unsorted source: positions are rids, so the
     window is a rid range that the scan can skip to."""
-    last = start + min(count, PAGE_CAP) - 1
-    rows = source.where((F.col("source_id") == source_id) & F.col("rid").between(start, last))
-    rows = rows.withColumn("pos", F.col("rid"))
+    wanted = (F.col("source_id") == source_id) & F.col("rid").between(start, start + count - 1)
+    rows = source.where(wanted).withColumn("pos", F.col("rid"))
     if tags is not None:
-        rows = annotations.attach_annotations(rows, tags, notes)
+        rows = annotations.attach_annotations(rows, tags.where(wanted), None if notes is None else notes.where(wanted))
     return rows.orderBy("pos")
 
 
@@ -122,14 +131,12 @@ def find_position(view: OrderedRows, source_id: int, rid: int) -> DataFrame:
     return view.frame.where((F.col("source_id") == source_id) & (F.col("rid") == rid)).select("pos")
 
 
-def tag_positions(view: OrderedRows, tags: DataFrame, limit: int = 20_000) -> DataFrame:
-    """``(pos, tag_id)`` of tagged rows in view order."""
-    return (
-        view.frame.join(tags.select(*KEYS, "tag_id"), KEYS)
-        .select("pos", "tag_id")
-        .orderBy("pos", "tag_id")
-        .limit(limit)
-    )
+def tag_positions(view: OrderedRows, tags: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(pos, tag_id)`` of tagged rows in view order; with a limit the first
+    ones and ``truncated``."""
+    found = view.frame.join(tags.select(*KEYS, "tag_id"), KEYS).select("pos", "tag_id")
+    order = [F.col("pos"), F.col("tag_id")]
+    return found.orderBy(*order) if limit is None else top_with_flag(found, order, limit)
 
 
 def nearest_timestamp(df: DataFrame, moment: str, column: str | None = None) -> DataFrame:

@@ -365,4 +365,4 @@ def _(t):
 @query("leaf_paths", "SELECT event_id, '$.k' AS path, props->>'$.k' AS value FROM events")
 def _(t):
     rows = t.raw("events").select("event_id", "props")
-    return documents.json_leaf_rows(rows, "props", 8).select("event_id", "path", "value")
+    return documents.json_leaf_rows(rows, "props").select("event_id", "path", "value")

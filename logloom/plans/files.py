@@ -185,7 +185,7 @@ JOIN customer ON o_custkey = c_custkey WHERE {match}('urgent', o_orderpriority)
 
 @query("sql_query",
        "SELECT c_mktsegment, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders "
-       "JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority ILIKE '%urgent%' GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 5000")
+       "JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority ILIKE '%urgent%' GROUP BY 1, 2")
 def _(t):
     sources = {"orders": t.raw("orders"), "customer": t.raw("customer")}
     text = AD_HOC.format(day="day_bucket", match="regexp_match", text="STRING") + " ORDER BY 1, 2"

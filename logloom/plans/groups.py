@@ -54,7 +54,7 @@ def _(t):
 
 
 @query("column_values",
-       "SELECT o_orderdate AS value, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+       "SELECT o_orderdate AS value, count(*) AS count FROM orders GROUP BY 1")
 def _(t):
     return grouping.column_values(t.orders, "o_orderdate")
 
@@ -327,15 +327,15 @@ def _sweep(t):
 
 @query("search_all",
        f"WITH {SWEEP_TEXT}, hits AS (SELECT source_id, count(*) AS n FROM swept WHERE b ILIKE '%the%' GROUP BY 1) "
-       "SELECT source_id, least(n, 150) AS match_count, n > 150 AS capped FROM hits")
+       "SELECT source_id, n AS match_count, false AS capped FROM hits")
 def _(t):
-    return search.search_all(_sweep(t), "the", cap=150)
+    return search.search_all(_sweep(t), "the")
 
 
 @query("search_all_terms",
        f"WITH {SWEEP_TEXT}, hits AS (SELECT source_id, count(*) AS n FROM swept WHERE "
        + " OR ".join(f"b ILIKE '%{term}%'" for term in SWEEP_TERMS)
-       + " GROUP BY 1) SELECT source_id, least(n, 1000) AS match_count, n > 1000 AS capped FROM hits")
+       + " GROUP BY 1) SELECT source_id, n AS match_count, false AS capped FROM hits")
 def _(t):
     return search.search_all(_sweep(t), terms=[{"term": x, "connector": "OR"} for x in SWEEP_TERMS])
 
@@ -344,7 +344,7 @@ def _(t):
        f"WITH {SWEEP_TEXT}, hits AS (SELECT source_id, term, count(*) AS n FROM swept, "
        "(VALUES " + ", ".join(f"('{term}')" for term in SWEEP_TERMS) + ") v(term) "
        "WHERE contains(lower(b), lower(term)) GROUP BY 1, 2) "
-       "SELECT source_id, term, least(n, 1000) AS match_count, n > 1000 AS capped FROM hits")
+       "SELECT source_id, term, n AS match_count, false AS capped FROM hits")
 def _(t):
     terms = search.positive_or_terms([{"term": x, "connector": "OR"} for x in SWEEP_TERMS])
     return search.search_all_by_term(_sweep(t), terms)
@@ -356,7 +356,7 @@ def _(t):
        "SELECT l_suppkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, count(*) AS n, count(DISTINCT l_returnflag) AS labels, "
        "true AS truncated FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 500")
 def _(t):
-    return graph.edges(t.raw("lineitem"), "l_suppkey", "l_partkey", "l_returnflag")
+    return graph.edges(t.raw("lineitem"), "l_suppkey", "l_partkey", "l_returnflag", limit=500)
 
 
 @query("edges_all",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import annotate, ref
-from ..operators.detect import TYPE_SAMPLE, infer_types
-from ..operators.ids import file_blocks, file_row_ids, first_rows
+from ..operators.detect import infer_types
+from ..operators.ids import file_blocks, file_row_ids
 from ..session import materialise
 from .schema import clean_names
 
@@ -77,8 +77,8 @@ def parse_delimited(
 def typed_source(
     df: DataFrame, source_id: int, sample: DataFrame, column_types: dict[str, str] | None = None
 ) -> DataFrame:
-    """Key columns first, logical types inferred on ``sample``; explicit types
-    win."""
+    """Key columns first, logical types inferred on ``sample`` (all rows, or
+    some); explicit types win."""
     data = [c for c in df.columns if c not in ("source_id", "rid")]
     keyed = df.select(F.lit(source_id).cast("int").alias("source_id"), "rid", *[ref(c) for c in data])
     types = {r["column"]: r["type"] for r in infer_types(sample.select(*[ref(c) for c in data]), None).collect()}
@@ -103,5 +103,5 @@ def read_delimited(
     parsed = materialise(parse_delimited(spark, paths, names, delimiter, has_header, multiline), "parsed")
     blocks = file_blocks(parsed, per_file=False)
     numbered = file_row_ids(parsed, blocks).select("rid", *[ref(n) for n in names])
-    frame = typed_source(numbered, source_id, first_rows(parsed, blocks, TYPE_SAMPLE), column_types)
+    frame = typed_source(numbered, source_id, numbered, column_types)
     return Ingested(frame, blocks.agg(F.coalesce(F.sum("_bad"), F.lit(0))).head()[0])

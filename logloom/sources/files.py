@@ -7,11 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.grouping import top_with_flag
+
 # Extensions read by default, the ones read as JSON, and below the
 # reasons a file is left out.
 IMPORT_EXTENSIONS = [".csv", ".tsv", ".txt", ".psv", ".json", ".jsonl", ".ndjson"]
 JSON_EXTENSIONS = [".json", ".jsonl", ".ndjson"]
-SCAN_LIMIT = 5000
 
 
 def glob_regex(pattern: str) -> str:
@@ -50,12 +51,13 @@ def _any(tests: list[Column]) -> Column:
 def scan_files(
     spark: SparkSession, root: str, recursive: bool = True, extensions: list[str] | None = None,
     include: list[str] | None = None, exclude: list[str] | None = None,
-    filename_patterns: list[str] | None = None, already: DataFrame | None = None, limit: int = SCAN_LIMIT,
+    filename_patterns: list[str] | None = None, already: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
     """``(path, rel_path, size_bytes, status, reason, kind, already_imported)``.
 
     Contents are never read: the scan only lists.  ``already`` holds a ``path``
-    column of files imported before."""
+    column of files imported before.  With a limit the first files come with
+    ``truncated``."""
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
         .select("path", F.col("length").alias("size_bytes"))
@@ -84,9 +86,11 @@ def scan_files(
     else:
         judged = judged.withColumn("_seen", F.lit(False))
     matched = F.col("reason").isNull()
-    return judged.select(
+    found = judged.select(
         "path", "rel_path", "size_bytes",
         F.when(matched, "matched").otherwise("excluded").alias("status"), "reason",
         F.when(matched, F.col("kind")).alias("kind"),
         (matched & F.coalesce("_seen", F.lit(False))).alias("already_imported"),
-    ).orderBy("status", "rel_path").limit(limit)
+    )
+    order = [F.col("status"), F.col("rel_path")]
+    return found.orderBy(*order) if limit is None else top_with_flag(found, order, limit)

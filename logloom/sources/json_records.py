@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ref
-from ..operators.detect import TYPE_SAMPLE
-from ..operators.ids import file_blocks, file_row_ids, first_rows
+from ..operators.ids import file_blocks, file_row_ids
 from ..session import case_sensitive, materialise
 from .delimited import typed_source
 from .schema import clean_names
@@ -134,7 +133,7 @@ def read_json_records(
         raise ValueError(f"{path} holds no records")
     blocks = file_blocks(table, per_file=False)
     numbered = file_row_ids(table, blocks).select("rid", *[ref(n) for n in names])
-    return typed_source(numbered, source_id, first_rows(table, blocks, TYPE_SAMPLE), column_types)
+    return typed_source(numbered, source_id, numbered, column_types)
 
 
 def scalar_text(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,23 +15,21 @@ RESERVED_NAMES = {"rid", "rank", "rowid", "__tag__"}
 OWN_KEYS = {"source_id", "pos"}
 
 
+def _candidates(name: str | None, place: int):
+    """The names a column may get, in order of preference."""
+    wanted = (name or "").strip().lstrip("\ufeff") or f"col_{place}"
+    if wanted.lower() in RESERVED_NAMES | OWN_KEYS:
+        wanted += "_1"
+    return chain([wanted], (f"{wanted}_{n}" for n in count(1)))
+
+
 def clean_names(raw: list[str | None]) -> list[str]:
     """Unique, non-blank, non-reserved names; comparison ignores case."""
-    taken: set[str] = set()
-    next_number: dict[str, int] = {}
-    out = []
+    chosen: dict[str, str] = {}
     for place, name in enumerate(raw, start=1):
-        base = (name or "").strip().lstrip("﻿") or f"col_{place}"
-        if base.lower() in RESERVED_NAMES | OWN_KEYS:
-            base += "_1"
-        chosen = base
-        while chosen.lower() in taken:
-            number = next_number.get(base.lower(), 0) + 1
-            next_number[base.lower()] = number
-            chosen = f"{base}_{number}"
-        taken.add(chosen.lower())
-        out.append(chosen)
-    return out
+        free = next(c for c in _candidates(name, place) if c.lower() not in chosen)
+        chosen[free.lower()] = free
+    return list(chosen.values())
 
 
 def sanitize_columns(df: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions.columns import as_text, base_columns, ref
 from ..functions.moments import webkit_epoch
 
 NAME_HINTS = ("time", "utc", "date")
-SAMPLE = 20
 SHARE = 0.8
 
 
@@ -30,17 +29,19 @@ def convert_webkit(df: DataFrame, columns: list[str]) -> DataFrame:
     ])
 
 
-def detect_webkit(df: DataFrame, sample: int | None = SAMPLE) -> DataFrame:
-    """``(column)`` of the columns whose name hints at a time and whose first
-    ``sample`` filled values mostly convert."""
+def detect_webkit(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """``(column)`` of the columns whose name hints at a time and whose
+    filled values (with ``sample``, those of the smallest keys) mostly convert."""
     hinted = [c for c in base_columns(df) if any(word in c.lower() for word in NAME_HINTS)]
     if not hinted:
         return df.sparkSession.createDataFrame([], "column string")
 
     def cells(name: str) -> DataFrame:
         text = as_text(df, name)
-        filled = df.where(F.coalesce(text, F.lit("")) != "").select(F.lit(name).alias("column"), text.alias("v"))
-        return filled if sample is None else filled.limit(sample)
+        filled = df.where(F.coalesce(text, F.lit("")) != "")
+        if sample is not None:
+            filled = filled.orderBy(*[c for c in ("source_id", "rid") if c in df.columns] or [text]).limit(sample)
+        return filled.select(F.lit(name).alias("column"), text.alias("v"))
 
     counted = reduce(DataFrame.unionByName, [cells(c) for c in hinted]).groupBy("column").agg(
         F.count(F.lit(1)).alias("n"), F.count(webkit_iso(F.col("v"))).alias("read")

@@ -52,6 +52,6 @@ def test_group_by_tag(hosts, rids):
 
 
 def test_values_and_lengths(events):
-    assert rows(g.column_values(events, "Timestamp", limit=1)) == [("1/7/2024 8:00 PM", 1)]
+    assert rows(g.column_values(events, "Timestamp", limit=1)) == [("1/7/2024 8:00 PM", 1, True)]
     assert dict(rows(g.column_max_lengths(events)))["Cmd"] == len(r"C:\Windows\svchost.exe")
     assert rows(g.group_day(events, "User")) == [(None, 4)]
