@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import csv
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import annotate, ref
+from ..functions.scalars import stripped
 from ..operators.detect import infer_types
 from ..operators.ids import file_blocks, file_row_ids
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 from .schema import clean_names
 
 DELIMITERS = ",\t;|"
@@ -29,10 +31,12 @@ class Ingested:
 
 
 def _head_lines(spark: SparkSession, paths: list[str], count: int = 20) -> list[str]:
-    lines = [r["value"] for r in spark.read.text(paths[0]).limit(count).collect()]
+    lines = [r["text"] for r in text_lines(spark, paths[:1]).limit(count).collect()]
+    lines = [line.lstrip("\ufeff") for line in lines]
+    while lines and not lines[0].strip():
+        lines.pop(0)
     if not lines:
         raise ValueError("The file is empty")
-    lines[0] = lines[0].lstrip("﻿")
     return lines
 
 
@@ -43,35 +47,133 @@ def sniff_delimiter(lines: list[str]) -> str:
         return max(DELIMITERS, key=lines[0].count)
 
 
+def _open_field(sep: str) -> str:
+    """Matches a line that, begun outside quotes, ends inside a quoted field.
+
+    A quote opens a field only at its start; two inside are one character."""
+    cut = re.escape(sep)
+    inside = r'"[^"]*+(?:""[^"]*+)*+'
+    return f'^(?:(?:{inside}"[^{cut}]*+|[^"{cut}][^{cut}]*+|){cut})*+{inside}$'
+
+
+def literal_path(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Every line with its file, split and place."""
+    return spark.read.option("lineSep", "\n").text(paths).select(
+        F.regexp_replace("value", "\r$", "").alias("text"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+
+
+def _carried(rows: DataFrame, scope, order: str) -> DataFrame:
+    """``_known``: the quote state before each row as far as the rows of its
+    scope tell it, and ``_flips``: how often it has turned since, or since the
+    scope began.
+
+    A row leaves the state open or closed whatever it was (``_sets``), turns it
+    (``_turns``), or keeps it."""
+    earlier = scope.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = scope.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    turned = rows.withColumn("_total", F.sum("_turns").over(upto))
+    mark = F.when(F.col("_sets").isNotNull(), F.struct(F.col("_sets").alias("to"), F.col("_total").alias("at")))
+    seen = turned.withColumn("_mark", F.last(mark, ignorenulls=True).over(earlier)).withColumn(
+        "_before", F.coalesce(F.lag("_total").over(scope.orderBy(order)), F.lit(0))
+    )
+    return seen.withColumn("_known", F.col("_mark.to")).withColumn(
+        "_flips", F.col("_before") - F.coalesce("_mark.at", F.lit(0))
+    ).drop("_mark", "_total", "_before")
+
+
+def _stitched(lines: DataFrame, sep: str) -> DataFrame:
+    """Records of lines whose quoted fields hold line breaks.
+
+    Each split is walked by itself, for either state it may begin in; one row
+    per split then says which it was.  Only the lines of records that span
+    several are gathered, by record."""
+    opens = F.col("text").rlike(_open_field(sep))
+    rest = F.regexp_extract("text", r'^[^"]*+(?:""[^"]*+)*+"(.*)$', 1)
+    closes = F.col("text").rlike(r'^[^"]*+(?:""[^"]*+)*+"(?!")')
+    reopens = F.concat(F.lit("x"), rest).rlike(_open_field(sep))
+    from_out, from_in = opens, ~closes | reopens
+    judged = lines.withColumn("_sets", F.when(from_out == from_in, from_out)).withColumn(
+        "_turns", F.when(from_out & ~from_in, 1).otherwise(0)
+    )
+    block = Window.partitionBy("_file", "_block")
+    walked = materialise(_carried(judged, block, "_seq"), "walked")
+    last = F.max_by(F.struct("_sets", "_turns", "_known", "_flips"), "_seq").alias("l")
+    ends = walked.groupBy("_file", "_block").agg(last).select("_file", "_block", "l.*")
+    odd = F.col("_flips") % 2 == 1
+    # What a whole split does to the state is what its last line leaves.
+    left = F.coalesce("_sets", F.when(F.col("_known").isNotNull(), (F.col("_known") != odd) != (F.col("_turns") == 1)))
+    splits = ends.select(
+        "_file", "_block", left.alias("_sets"), F.when(left.isNull(), (F.col("_flips") + F.col("_turns")) % 2).otherwise(0).alias("_turns")
+    )
+    entered = _carried(splits, Window.partitionBy("_file"), "_block").select(
+        "_file", "_block", (F.coalesce("_known", F.lit(False)) != odd).alias("_entry")
+    )
+    inside = walked.join(broadcast_if_small(materialise(entered, "entered")), ["_file", "_block"]).withColumn(
+        "_inside", F.coalesce("_known", "_entry") != odd
+    )
+    place = F.struct(F.col("_block").alias("block"), F.col("_seq").alias("seq"))
+    started = inside.withColumn("_first", F.last(F.when(~F.col("_inside"), place), ignorenulls=True).over(block.orderBy("_seq")))
+    starts = started.groupBy("_file", "_block").agg(F.max(F.when(~F.col("_inside"), place)).alias("_own")).withColumn(
+        "_carry", F.last("_own", ignorenulls=True).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    )
+    owned = started.join(broadcast_if_small(materialise(starts.select("_file", "_block", "_carry"), "starts")), ["_file", "_block"]).select(
+        "text", "_file", place.alias("at"), F.coalesce("_first", "_carry").alias("record"),
+        # A line is a record of its own when it begins and ends outside quotes.
+        (~F.col("_inside") & ~F.coalesce("_sets", F.col("_turns") == 1)).alias("whole"),
+    )
+    owned = materialise(owned, "owned")
+    dense = Window.partitionBy("_file", "_block").orderBy("_seq")
+    single = owned.where("whole").select("text", "_file", F.col("at.block").alias("_block"), F.col("at.seq").alias("_seq"))
+    parts = owned.where("NOT whole").groupBy("_file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    joined = parts.select(
+        F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), "_file",
+        F.col("record.block").alias("_block"), F.col("record.seq").alias("_seq"),
+    )
+    return single.unionByName(joined).withColumn("_seq", F.row_number().over(dense).cast("bigint"))
+
+
+def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
+    """``(text, _file, _block, _seq)``: one row per record, line breaks inside
+    quotes included.  Lines are records unless some line leaves a quote open,
+    which one scan tells."""
+    lines = text_lines(spark, paths)
+    opened = lines.where(F.contains("text", F.lit('"')) & F.col("text").rlike(_open_field(sep)))
+    return lines if opened.isEmpty() else _stitched(materialise(lines, "lines"), sep)
+
+
 def parse_delimited(
-    spark: SparkSession, paths: list[str], names: list[str], delimiter: str,
-    has_header: bool = True, multiline: bool = False,
+    spark: SparkSession, paths: list[str], names: list[str], delimiter: str, has_header: bool = True,
 ) -> DataFrame:
-    """Text columns plus ``_ragged``, ``_file``, ``_block`` and ``_seq``.
-
-    All columns are read, because a pruned scan would judge row width by the
-    pruned columns.  ``multiline`` allows line breaks inside quotes but makes a
-    file one task, so it is off unless asked for."""
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("sep", delimiter).option("header", has_header).option("quote", '"').option("escape", '"')
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", multiline).option("enforceSchema", True)
-        .csv(paths)
+    """A written table: text columns, ``_ragged``, ``_file``, ``_block`` and ``_seq``.
+
+    A blank line is a ragged row of empty cells.  With a header, each file's
+    first line that is not blank is left out, and the blank lines before it."""
+    rows = records(spark, paths, delimiter).withColumn("text", F.ltrim("text", F.lit("\ufeff")))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    blank = stripped(F.col("text")) == ""
+    parsed = rows.withColumn("_cells", F.when(~blank, F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options)))
+    cells = [F.coalesce(F.col(f"_cells.c{i}"), F.lit("")) for i in range(len(names))]
+    cells[0] = F.when(blank, F.col("text")).otherwise(cells[0])
+    cells = [c.alias(n) for c, n in zip(cells, names)]
+    ragged = blank & ((F.col("text") == "") | F.lit(len(names) > 1)) | F.coalesce(F.col(f"_cells.{CORRUPT}").isNotNull(), F.lit(False))
+    written = materialise(
+        parsed.select(*cells, ragged.alias("_ragged"), "_file", "_block", "_seq", blank.alias("_blank")), "parsed"
     )
-    cells = [F.coalesce(ref(n), F.lit("")).alias(n) for n in names]
     if not has_header:
-        unmarked = F.when(F.col("_metadata.file_block_start") == 0, F.ltrim(F.coalesce(ref(names[0]), F.lit("")), F.lit("﻿")))
-        cells[0] = F.coalesce(unmarked, ref(names[0]), F.lit("")).alias(names[0])
-    return raw.select(
-        *cells,
-        ref(CORRUPT).isNotNull().alias("_ragged"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
+        return written.drop("_blank")
+    place = F.struct(F.col("_block").alias("block"), F.col("_seq").alias("seq"))
+    heads = written.where("NOT _blank").groupBy("_file").agg(F.min(place).alias("_head"))
+    headed = written.join(broadcast_if_small(materialise(heads, "heads")), "_file")
+    return headed.where(place > F.col("_head")).select(*[ref(c) for c in written.columns if c != "_blank"])
 
 
 def typed_source(
@@ -88,19 +190,20 @@ def typed_source(
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], delimiter: str | None = None, has_header: bool = True,
-    column_types: dict[str, str] | None = None, source_id: int = 1, multiline: bool = False,
+    column_types: dict[str, str] | None = None, source_id: int = 1,
 ) -> Ingested:
     """One source from one file (or several parts of one layout).
 
-    Everything stays text; short rows are padded and long rows cut, and both
-    are counted.  The parse is written once; row ids, types and the count come
+    Everything stays text; short rows are padded and long rows cut, blank lines
+    are rows without cells, and all three are counted.  Quoted cells may hold
+    line breaks.  The parse is written once; row ids, types and the count come
     from the written table."""
     paths = [path] if isinstance(path, str) else list(path)
     lines = _head_lines(spark, paths)
     delimiter = delimiter or sniff_delimiter(lines)
-    head = next(csv.reader(lines[:1], delimiter=delimiter))
+    head = next(csv.reader(lines, delimiter=delimiter))
     names = clean_names(head if has_header else [None] * len(head))
-    parsed = materialise(parse_delimited(spark, paths, names, delimiter, has_header, multiline), "parsed")
+    parsed = parse_delimited(spark, paths, names, delimiter, has_header)
     blocks = file_blocks(parsed, per_file=False)
     numbered = file_row_ids(parsed, blocks).select("rid", *[ref(n) for n in names])
     frame = typed_source(numbered, source_id, numbered, column_types)

@@ -5,19 +5,21 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
-from functools import reduce
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ref
+from ..functions.columns import KEYS, logical_types, ref
+from ..functions.scalars import stripped
+from ..operators.detect import infer_types
 from ..operators.ids import file_blocks, file_row_ids
-from ..session import materialise
-from ..sources.delimited import parse_delimited, sniff_delimiter
+from ..sources.delimited import literal_path, parse_delimited, sniff_delimiter, text_lines
+from ..sources.files import JSON_EXTENSIONS
+from ..sources.json_records import read_json_records
 from ..sources.schema import clean_names
 
-HEADS_PER_JOB = 100
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
@@ -25,15 +27,15 @@ FILE_SCHEMA = T.StructType([
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """The header line of every file; each branch reads one line of one file."""
-    heads: dict[str, str] = {}
-    for at in range(0, len(paths), HEADS_PER_JOB):
-        branches = [
-            spark.read.text(p).limit(1).select(F.lit(p).alias("path"), "value") for p in paths[at: at + HEADS_PER_JOB]
-        ]
-        for row in reduce(DataFrame.union, branches).collect():
-            heads[row["path"]] = (row["value"] or "").lstrip("﻿")
-    return heads
+    """The first line that is not blank of every file that has one, by one job
+    over the files' first splits; one line per listed file comes back."""
+    lines = text_lines(spark, [literal_path(p) for p in paths]).where(
+        (F.col("_block") == 0) & (stripped(F.ltrim("text", F.lit("\ufeff"))) != "")
+    )
+    found = lines.groupBy("_file").agg(F.min_by("text", "_seq").alias("text"))
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = found.join(F.broadcast(listed), same_file(F.col("_file"), F.col("path"))).select("path", "text")
+    return {r["path"]: r["text"].lstrip("\ufeff") for r in rows.collect()}
 
 
 def layouts(heads: dict[str, str], delimiter: str | None = None) -> dict[tuple[str, tuple[str, ...]], list[str]]:
@@ -47,40 +49,76 @@ def layouts(heads: dict[str, str], delimiter: str | None = None) -> dict[tuple[s
     return found
 
 
+REGISTRY = (
+    "source_id int, path string, kind string, layout string, columns string, types string, reason string"
+)
+
+
+def _last_source(spark: SparkSession, out: str, batch_id: int) -> int:
+    """The largest source id of the earlier batches."""
+    try:
+        earlier = spark.read.parquet(f"{out}/sources").where(F.col("batch") < batch_id)
+    except AnalysisException:
+        return 0
+    return earlier.agg(F.max("source_id")).head()[0] or 0
+
+
+def _types(df: DataFrame) -> str:
+    return json.dumps({r["column"]: r["type"] for r in infer_types(df.drop("_ragged")).collect()})
+
+
 def ingest_directory_stream(
     spark: SparkSession, root: str, out: str, checkpoint: str, file_glob: str = "*",
-    delimiter: str | None = None, max_files_per_batch: int = 1000,
+    delimiter: str | None = None, max_files_per_batch: int = 1000, flatten: str = "none",
 ):
-    """Import every not yet imported delimited file below ``root``.
+    """Import every not yet imported file below ``root``, JSON or delimited by
+    its extension.
 
     The stream only lists files; its checkpoint is the record of what was
     imported.  Each batch writes ``out/data/layout=<n>/batch=<id>`` (one row per
-    line with ``source_id`` and ``rid``) and ``out/sources/batch=<id>``.  A batch
-    that is run again after a failure overwrites its own output."""
+    record with ``source_id`` and ``rid``) and ``out/sources/batch=<id>``: every
+    file with its columns and their types, or with the reason it gave no rows.
+    A batch that is run again after a failure overwrites its own output."""
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        paths = sorted(r["path"] for r in batch.select("path").collect())  # a list of file names
+        # A list of file names, at most max_files_per_batch.
+        paths = sorted(r["path"] for r in batch.select("path").collect())
         if not paths:
             return
-        heads = first_lines(session, paths)
-        ids = {p: batch_id * 1_000_000 + i for i, p in enumerate(paths, start=1)}
-        registry = []
-        for (sep, names), files in layouts({p: h for p, h in heads.items() if h}, delimiter).items():
+        ids = {p: i for i, p in enumerate(paths, start=_last_source(session, out, batch_id) + 1)}
+        registry: list[tuple] = []
+
+        def write(rows: DataFrame, label: str) -> None:
+            rows.write.mode("append").parquet(f"{out}/data/layout={label}/batch={batch_id}")
+
+        _clear(session, f"{out}/data", batch_id)
+        json_files = [p for p in paths if p.lower().endswith(tuple(JSON_EXTENSIONS))]
+        heads = first_lines(session, [p for p in paths if p not in set(json_files)]) if len(json_files) < len(paths) else {}
+        for path in paths:
+            if path not in heads and path not in json_files:
+                registry.append((ids[path], path, "csv", None, "[]", "{}", "the file holds no line"))
+        for path in json_files:
+            try:
+                frame = read_json_records(session, literal_path(path), flatten, source_id=ids[path])
+            except (ValueError, PySparkException) as e:
+                registry.append((ids[path], path, "json", None, "[]", "{}", str(e).splitlines()[0][:500]))
+                continue
+            names = tuple(c for c in frame.columns if c not in KEYS)
+            label = layout_label("json", names)
+            write(frame.withColumn("_ragged", F.lit(False)), label)
+            registry.append((ids[path], path, "json", label, json_names(names), json.dumps(logical_types(frame)), None))
+        for (sep, names), files in layouts(heads, delimiter).items():
             label = layout_label(sep, names)
-            parsed = materialise(parse_delimited(session, files, list(names), sep), "stream")
-            known = session.createDataFrame([(p, ids[p]) for p in files], "_path string, source_id bigint")
-            # One row per file of this batch, at most max_files_per_batch.
+            parsed = parse_delimited(session, [literal_path(f) for f in files], list(names), sep)
+            known = session.createDataFrame([(p, ids[p]) for p in files], "_path string, source_id int")
             located = file_row_ids(parsed, file_blocks(parsed)).join(
                 F.broadcast(known), same_file(F.col("_file"), F.col("_path"))
-            )
-            located.select("source_id", "rid", *[ref(n) for n in names], "_ragged").write.mode("overwrite").parquet(
-                f"{out}/data/layout={label}/batch={batch_id}"
-            )
-            registry += [(ids[p], p, label, json_names(names)) for p in files]
-        session.createDataFrame(
-            registry, "source_id bigint, path string, layout string, columns string"
-        ).write.mode("overwrite").parquet(f"{out}/sources/batch={batch_id}")
+            ).select("source_id", "rid", *[ref(n) for n in names], "_ragged")
+            write(located, label)
+            types = _types(parsed.select(*[ref(n) for n in names]))
+            registry += [(ids[p], p, "csv", label, json_names(names), types, None) for p in files]
+        session.createDataFrame(registry, REGISTRY).write.mode("overwrite").parquet(f"{out}/sources/batch={batch_id}")
 
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
@@ -94,6 +132,18 @@ def ingest_directory_stream(
     )
 
 
+def _clear(spark: SparkSession, data: str, batch_id: int) -> None:
+    """Empty what a failed run of this batch has left: each layout's folder of
+    the batch is overwritten by no rows before rows are appended."""
+    try:
+        left = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(data)
+    except AnalysisException:
+        return
+    folders = left.select(F.regexp_extract("path", f"^(.*/batch={batch_id})/", 1).alias("f")).where("f <> ''").distinct()
+    for row in folders.collect():
+        spark.read.parquet(row["f"]).limit(0).write.mode("overwrite").parquet(row["f"])
+
+
 def same_file(scanned, listed):
     """Scan metadata gives URIs (``file:///a%20b``), listings plain paths
     (``file:/a b``)."""

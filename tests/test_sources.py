@@ -51,7 +51,36 @@ def test_headerless_multiline_and_delimiters(spark, tmp_path):
     path = put(tmp_path, "t.tsv", "\ufeffa\tb\nc\td\n")
     assert cells(delimited.read_delimited(spark, path, has_header=False).frame) == [(1, "a", "b"), (2, "c", "d")]
     multi = put(tmp_path, "m.csv", 'A;B\n"one\ntwo";2\n')
-    assert cells(delimited.read_delimited(spark, multi, delimiter=";", multiline=True).frame) == [(1, "one\ntwo", "2")]
+    assert cells(delimited.read_delimited(spark, multi, delimiter=";").frame) == [(1, "one\ntwo", "2")]
+
+
+def test_line_breaks_inside_quotes_over_many_splits(spark, tmp_path):
+    """As the csv module reads it, however the file is cut into splits."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(5)
+    pieces = ["a", 'say ""hi""', "x\ny", "\n\n", "p;q", "", " ", '5" pipe', "long " * 30, "\n" * 40]
+    lines = []
+    for i in range(600):
+        row = [rng.choice(pieces) for _ in range(3)]
+        lines.append(";".join(c if c.endswith("pipe") else f'"{c}"' if "\n" in c or '"' in c or rng.random() < 0.3 else c.replace(";", ",") for c in row))
+        if rng.random() < 0.05:
+            lines.append("")
+    text = "A;B;C\n" + "\n".join(lines) + "\n"
+    path = put(tmp_path, "quoted.csv", text)
+    wanted = list(csv.reader(io.StringIO(text), delimiter=";"))[1:]
+    for size in ("300", "2000", "10000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = delimited.read_delimited(spark, path, delimiter=";")
+            rows = got.frame.orderBy("rid").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [[r["A"], r["B"], r["C"]] for r in rows] == [(w + ["", "", ""])[:3] for w in wanted]
+        assert [r["rid"] for r in rows] == list(range(1, len(wanted) + 1))
+        assert got.ragged_rows == sum(len(w) != 3 for w in wanted)
 
 
 def test_row_ids_follow_the_file_over_many_splits(spark, tmp_path):
@@ -180,6 +209,32 @@ def test_directory_stream_reads_each_file_once(spark, tmp_path):
     assert len({r["source_id"] for r in rows}) == 3
 
 
+def test_directory_stream_loses_no_file(spark, tmp_path):
+    root, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    put(root, "blank first.csv", "\nA,B\n3,4\n")
+    put(root, "x[1].csv", "A,B\n5,x\n")
+    put(root, "j.jsonl", '{"a": 1, "b": {"c": "d"}}\n{"a": 2}\n')
+    put(root, "whole.json", '[{"k": "v"}]')
+    put(root, "empty.csv", " \n\n")
+    put(root, "broken.json", "{")
+    put(root, "quoted.csv", 'A,B\n"1\n2",y\n')
+    ingest_directory_stream(spark, root, out, mark).awaitTermination()
+    registry = {os.path.basename(r["path"]): r for r in spark.read.parquet(out + "/sources").collect()}
+    assert len(registry) == 7 and sorted(r["source_id"] for r in registry.values()) == list(range(1, 8))
+    assert registry["j.jsonl"]["kind"] == "json" and registry["j.jsonl"]["columns"] == '["a", "b"]'
+    assert {n for n, r in registry.items() if r["reason"]} == {"empty.csv", "broken.json"}
+    assert '"A": "text"' in registry["quoted.csv"]["types"]
+
+    def rows(name):
+        r = registry[name]
+        data = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/data/layout={r['layout']}")
+        assert dict(data.dtypes)["source_id"] == "int"
+        return sorted(tuple(x)[1:4] for x in data.where(f"source_id = {r['source_id']}").collect())
+
+    assert rows("blank first.csv") == [(1, "3", "4")] and rows("x[1].csv") == [(1, "5", "x")] and rows("quoted.csv") == [(1, "1\n2", "y")]
+    assert rows("j.jsonl") == [(1, "1", '{"c":"d"}'), (2, "2", "")] or rows("j.jsonl")[0][:2] == (1, "1")
+
+
 def test_custom_format(spark, tmp_path):
     import sys
 
