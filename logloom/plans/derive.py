@@ -366,3 +366,24 @@ def _(t):
 def _(t):
     rows = t.raw("events").select("event_id", "props")
     return documents.json_leaf_rows(rows, "props").select("event_id", "path", "value")
+
+
+@query("suggested_names", "SELECT '$.k' AS path, 'k' AS name FROM events HAVING count(*) > 0")
+def _(t):
+    fields = detect.discover_fields(t.text("events", doc="props"), "doc", kind="json")
+    return t.spark.createDataFrame(detect.suggested_names(fields, "json"), "path string, name string")
+
+
+@query("registered_op", "SELECT p_partkey, reverse(p_name) AS mirrored FROM part")
+def _(t):
+    """An operation from outside the package, built on a pandas UDF."""
+    import pandas as pd
+
+    from ..functions.registry import Op, register_op
+
+    @F.pandas_udf("string")
+    def mirrored(text: pd.Series) -> pd.Series:
+        return text.str[::-1]
+
+    register_op(Op("mirrored", "Mirrored text", mirrored, family="extract", kind="text", hidden=True))
+    return d.add_derived(t.text("part", p_partkey="p_partkey", name="p_name"), "mirrored", "name", "mirrored").select("p_partkey", "mirrored")

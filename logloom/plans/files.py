@@ -50,6 +50,24 @@ def _(t):
     return parsed.select(*names).withColumn("ragged", parsed.agg(F.count_if("_ragged")).scalar())
 
 
+@query("read_delimited_multiline",
+       "SELECT rid, key, cell, last, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 9) AS ragged FROM ("
+       "SELECT o_orderkey + 1 + (o_orderkey + 1) // 10 - CASE WHEN o_orderkey % 10 = 9 THEN 1 ELSE 0 END AS rid, o_orderkey::VARCHAR AS key, "
+       "o_orderstatus || chr(10) || '\"' || chr(10) || ',' AS cell, o_orderpriority AS last FROM orders "
+       "UNION ALL SELECT o_orderkey + 1 + (o_orderkey + 1) // 10, '', '', '' FROM orders WHERE o_orderkey % 10 = 9)")
+def _(t):
+    """Line breaks, quotes and separators inside quotes; every tenth row is
+    followed by a blank line."""
+    path = scratch_path(t.spark, "quoted")
+    cell = F.concat(F.lit('"'), "o_orderstatus", F.lit('\n""\n,"'))
+    end = F.when(F.col("o_orderkey") % 10 == 9, "\n").otherwise("")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), cell, F.concat("o_orderpriority", end))
+    t.raw("orders").orderBy("o_orderkey").select(line.alias("value")).write.text(path)
+    read = delimited.read_delimited(t.spark, path, delimiter=",", has_header=False)
+    return read.frame.select("rid", F.col("col_1").alias("key"), F.col("col_2").alias("cell"), F.col("col_3").alias("last")).withColumn(
+        "ragged", F.lit(read.ragged_rows))
+
+
 @query("read_json_full",
        "SELECT event_id::VARCHAR AS event_id, event_type AS \"user.kind\", user_id::VARCHAR AS \"user.more.id\", "
        "'[\"' || event_type || '\",\"x\"]' AS tags FROM events")

@@ -293,3 +293,14 @@ def _(t):
        "FROM events ORDER BY 3, 1 LIMIT 1")
 def _(t):
     return view.nearest_timestamp(t.events, "1/15/2024 6:30 AM").drop("source_id")
+
+
+FAR = 2**53  # from here on doubles skip whole numbers
+
+
+@query("filter_exact_keys", f"SELECT o_orderkey + {FAR} AS far FROM orders WHERE o_orderkey IN (1, 3, 5) OR o_orderkey >= 1001 AND o_orderkey < 1003 AND o_orderkey <> 1002")
+def _(t):
+    rows = t.text("orders", far=f"o_orderkey + {FAR}L")
+    equal = p.condition(rows, "far", "equals", str(FAR + 1)) | p.condition(rows, "far", "in", [str(FAR + 3), str(FAR + 5)])
+    between = p.condition(rows, "far", ">=", str(FAR + 1001)) & p.condition(rows, "far", "<", str(FAR + 1003))
+    return rows.where(equal | between & p.condition(rows, "far", "not_equals", str(FAR + 1002))).select("far")

@@ -225,6 +225,40 @@ def _(t):
     return ann.upsert_notes(t.notes, changes)
 
 
+@query("upsert_notes_twice",
+       "SELECT 1 AS source_id, o_orderkey + 1 AS rid, CASE WHEN o_totalprice > 470000 THEN 'second' ELSE 'check ' || o_orderpriority END AS note "
+       "FROM orders WHERE o_totalprice > 450000 AND o_totalprice <= 490000")
+def _(t):
+    """Of several changes of a row the last one counts, a blank one as well."""
+    changed = t.orders.where("o_totalprice > 470000").select("source_id", "rid", "o_totalprice")
+    first = changed.select("source_id", "rid", F.lit("zz first").alias("note"), F.lit(1).alias("at"))
+    second = changed.select("source_id", "rid", F.lit("second").alias("note"), F.lit(2).alias("at"))
+    third = changed.where("o_totalprice > 490000").select("source_id", "rid", F.lit(" ").alias("note"), F.lit(3).alias("at"))
+    return ann.upsert_notes(t.notes, second.unionByName(third).unionByName(first), order="at")
+
+
+@query("import_case",
+       f"WITH {TAGS_SQL} SELECT source_id, rid, tag_id FROM tags "
+       "UNION SELECT 1, o_orderkey + 1, 5 FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' "
+       "UNION SELECT 1, o_orderkey + 1, 2 FROM orders WHERE o_totalprice > 380000 "
+       "UNION SELECT 1, o_orderkey + 1, 5 FROM orders WHERE o_totalprice < 5000")
+def _(t):
+    """A case that knew the orders under another id, and a source not open here."""
+    there = _incoming(t)
+    other = lambda df: df.withColumn("source_id", F.lit(71)).unionByName(df.withColumn("source_id", F.lit(72)))
+    session = t.spark.createDataFrame([(71, "a"), (72, "gone")], "source_id int, fingerprint string")
+    here = t.spark.createDataFrame([(1, "a"), (2, "b")], "source_id int, fingerprint string")
+    moved = ann.Annotations(there.tag_defs, other(there.tags), other(there.notes))
+    return ann.import_case(ann.Annotations(t.tag_defs, t.tags, t.notes), moved, session, here).annotations.tags
+
+
+@query("merged_tag_defs",
+       "SELECT * FROM (VALUES (1, 'Urgent'), (2, 'big'), (3, 'Aside'), (4, 'unused'), (5, 'Late')) v(id, name) WHERE (SELECT count(*) FROM orders) > 0")
+def _(t):
+    merged = ann.merge_annotations(ann.Annotations(t.tag_defs, t.tags, t.notes), _incoming(t))
+    return merged.tag_defs.select("id", "name")
+
+
 def _incoming(t):
     """Another analyst's session over the same orders."""
     defs = t.spark.createDataFrame(
