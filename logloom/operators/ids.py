@@ -162,6 +162,7 @@ def count_drops(df: DataFrame, mark: str, name: str, block_rows: int = BLOCK_ROW
         .withColumn("_drop", drop)
         .withColumn("_inner", F.sum("_drop").over(so_far))
     )
+    counted = materialise(counted, "drops")
     marked = F.when(value.isNotNull(), F.col("rid"))
     blocks = counted.groupBy("source_id", "_block").agg(
         F.min_by(value, marked).alias("_first"),

@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.columns import annotate, ref
 from ..operators.detect import infer_types
+from ..session import materialise
 from .schema import clean_names, normalise_rows
 
 # Readers travel with their job, so executors need no installed copy.
@@ -92,6 +93,8 @@ def read_format(
         (F.col("file") + first_source_id).cast("int").alias("source_id"), (F.col("place") + 1).alias("rid"),
         *[ref(c) for c in columns], "_ragged",
     )
+    # The producers run once; types come from what they wrote.
+    keyed = materialise(keyed, "format")
     types = {r["column"]: r["type"] for r in infer_types(keyed.drop("_ragged")).collect()}
     types.update({c: t for c, t in zip(columns, described.get("column_types") or []) if t})
     return annotate(keyed, types)
