@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_below, materialise, query, table
-from .tokens import END, Encoder, vocabulary
+from .tokens import END, Encoder, Vocabulary, vocabulary
 
 PLACES = 1024
 ROUNDS = 1000  # of multiplicative weights
@@ -166,12 +166,12 @@ def cut(count: int, places: int) -> list[tuple[int, int]]:
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, task int, nth bigint"
 
 
-def pieces(docs: DataFrame, places: int = PLACES, keep_ids: bool = False, paths: tuple[str, str] | None = None) -> DataFrame:
+def pieces(docs: DataFrame, places: int = PLACES, keep_ids: bool = False, words: Vocabulary | None = None) -> DataFrame:
     """Every document's pieces, numbered within task and length."""
-    paths = paths or vocabulary()
+    words = words or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(*paths), TaskContext.get().partitionId()
+        encoder, task = Encoder(words), TaskContext.get().partitionId()
         seen = np.zeros(places + 1, np.int64)
         for batch in batches:
             rows = []
@@ -190,9 +190,9 @@ def pieces(docs: DataFrame, places: int = PLACES, keep_ids: bool = False, paths:
     return materialise(written if keep_ids else written.drop("ids"), "pack-pieces")
 
 
-def packed(docs: DataFrame, places: int = PLACES, keep_ids: bool = False, paths: tuple[str, str] | None = None) -> DataFrame:
+def packed(docs: DataFrame, places: int = PLACES, keep_ids: bool = False, words: Vocabulary | None = None) -> DataFrame:
     """Every piece with its sequence_id and offset; ``docs`` has doc_id and text."""
-    cut_up = pieces(docs, places, keep_ids, paths)
+    cut_up = pieces(docs, places, keep_ids, words)
     counts = materialise(cut_up.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(histogram, places)
@@ -209,12 +209,12 @@ def packed(docs: DataFrame, places: int = PLACES, keep_ids: bool = False, paths:
     return numbered.withColumn("at", place("length", "number")).select(*kept, "at.sequence_id", "at.offset")
 
 
-def sequences(docs: DataFrame, places: int = PLACES, paths: tuple[str, str] | None = None) -> DataFrame:
+def sequences(docs: DataFrame, places: int = PLACES, words: Vocabulary | None = None) -> DataFrame:
     """The packed sequences themselves: sequence_id, its pieces in order, and
     its ids as little-endian 32-bit numbers.  A sequence has at most ``places``
     pieces, so gathering one is bounded."""
     one = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
-    gathered = packed(docs, places, True, paths).groupBy("sequence_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    gathered = packed(docs, places, True, words).groupBy("sequence_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
     ids = F.aggregate("p", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     return gathered.select("sequence_id", F.transform("p", lambda p: p.dropFields("ids")).alias("pieces"), ids.alias("ids"))
 

@@ -8,6 +8,8 @@ the tests compare the two."""
 from __future__ import annotations
 
 import base64
+import json
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -16,30 +18,49 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 END = 2  # id that ends a document
 
 
-def vocabulary() -> tuple[str, str]:
-    """Paths of the vocabulary and of its ranks, on every machine."""
-    import public_tokenizers
+@dataclass(frozen=True)
+class Vocabulary:
+    """Files that every machine has under the same path, and the special tokens."""
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path: str
+    ranks: str | None
+    special: tuple[str, ...]
+
+
+def vocabulary(path: str | None = None, ranks: str | None = None) -> Vocabulary:
+    """The vocabulary of a file; by default the public byte-level one."""
+    if path is None:
+        import public_tokenizers
+
+        path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, encoding="utf-8") as f:
+        special = tuple(t["content"] for t in json.load(f).get("added_tokens", []))
+    return Vocabulary(path, ranks, special)
 
 
 class Encoder:
-    def __init__(self, vocabulary_path: str, ranks_path: str | None):
-        from tokenizers import Tokenizer
+    """Encodes on one machine; what it does not need it does not load."""
 
-        self._whole = Tokenizer.from_file(vocabulary_path)
-        self._special = [t.content for t in self._whole.get_added_tokens_decoder().values()]
-        self._fast = None
-        if ranks_path:
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        self._whole = self._fast = None
+        if words.ranks:
             import tiktoken
 
-            with open(ranks_path, "rb") as f:
+            with open(words.ranks, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
             self._fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> list[int]:
         if not text:
-            return np.zeros(0, np.uint32)
-        if self._fast is None or any(s in text for s in self._special):
-            return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self._fast.encode_ordinary(text), np.uint32)
+            return []
+        if self._fast is not None and not any(s in text for s in self.words.special):
+            return self._fast.encode_ordinary(text)
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.words.path)
+        return self._whole.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.array(self.encode(text), np.uint32)

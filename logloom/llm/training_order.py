@@ -11,10 +11,11 @@ Shard ``s`` holds the slots from ``s * per_shard`` on, one record after another
 and nothing else, so slot, shard and byte are one division apart; reading can
 begin at any slot and reads only the shards from there on.
 
-The texts are encoded twice.  The first pass keeps only sizes and checksums,
-which say the number of sequences and every document's first number; the second
-encodes again, so that no token is written but into its shard.  A shard is put
-together in one task from its own records, a number fixed by ``per_shard``.
+The texts are encoded twice.  The first pass keeps only sizes, which say the
+number of sequences and every document's first number; the second encodes
+again, so that no token is written but into its shard.  Records travel
+compressed, and a shard is put together in one task from its own records, a
+number fixed by ``per_shard``.
 
 Records end with the end id, whose last byte is zero; that byte is written as
 the text writer's line separator, so Spark's own writer makes the files.
@@ -26,7 +27,6 @@ table writes no shard; columns other than id and text do not matter.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..operators.ids import number_sorted
 from .common import broadcast_below, materialise, query, scratch_path, table, text_or_empty
 from .shingles import mix
-from .tokens import END, Encoder, vocabulary
+from .tokens import END, Encoder, Vocabulary, vocabulary
 
 LENGTH = 512
 PER_SHARD = 8192
@@ -106,7 +106,7 @@ class Order:
     length: int
     per_shard: int
     dtype: str
-    index: DataFrame  # doc_id, piece, n_ids, ids_crc32 (of the record), number, slot
+    index: DataFrame  # doc_id, piece, n_ids, number, slot
 
     @property
     def stride(self) -> int:
@@ -143,33 +143,32 @@ class Order:
 
 def write_order(
     docs: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY,
-    dtype: str = "<u2", paths: tuple[str, str] | None = None,
+    dtype: str = "<u2", words: Vocabulary | None = None,
 ) -> Order:
     """Write the sequences of ``docs`` (doc_id, text) in training order.
 
     ``dtype`` must hold the vocabulary's ids; ``docs`` is read twice."""
-    paths = paths or vocabulary()
+    words = words or vocabulary()
+    room = length - 1
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).withColumn(
         "print", F.md5("text")
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*paths)
+        encoder = Encoder(words)
         for batch in batches:
-            sizes, sums = [], []
-            for text in batch.column("text"):
-                ids = encoder.ids(text.as_py())
-                rows = records(ids, length, dtype)
-                sizes.append([min(length - 1, max(0, len(ids) - i * (length - 1))) for i in range(len(rows))])
-                sums.append([zlib.crc32(r.tobytes()) for r in rows])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("print"), pa.array(sizes, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int64())),
-            ], ["doc_id", "print", "sizes", "sums"])
+            counts = [len(encoder.encode(text.as_py())) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("print"), pa.array(counts, pa.int64())], ["doc_id", "print", "n"]
+            )
 
-    measured = keyed.select("doc_id", "print", "text").mapInArrow(measure, "doc_id bigint, print string, sizes array<int>, sums array<bigint>")
+    measured = keyed.select("doc_id", "print", "text").mapInArrow(measure, "doc_id bigint, print string, n bigint")
     measured = materialise(measured, "order-sizes").dropDuplicates(["doc_id", "print"])
-    pieces = measured.select("doc_id", "print", F.posexplode(F.arrays_zip("sizes", "sums")).alias("piece", "of"))
-    numbered = number_sorted(pieces.select("doc_id", "print", "piece", "of.sizes", "of.sums"), "order")
+    last = F.call_function("div", F.greatest(F.col("n") - 1, F.lit(0)), F.lit(room)).cast("int")
+    pieces = measured.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
+        "doc_id", "print", "piece", F.least(F.lit(room), F.col("n") - F.col("piece") * room).cast("int").alias("n_ids")
+    )
+    numbered = number_sorted(pieces, "order")
     permutation = Permutation(numbered.count, key)
 
     @F.arrow_udf("bigint")
@@ -177,68 +176,76 @@ def write_order(
         return pa.array(permutation.slot(number.to_numpy()))
 
     number = F.col("pos") - 1
-    index = materialise(numbered.frame.select(
-        "doc_id", "print", "piece", F.col("sizes").alias("n_ids"), F.col("sums").alias("ids_crc32"),
-        number.alias("number"), slot_of(number).alias("slot"),
-    ), "order-index")
+    index = materialise(
+        numbered.frame.select("doc_id", "print", "piece", "n_ids", number.alias("number"), slot_of(number).alias("slot")),
+        "order-index",
+    )
     first = materialise(index.where("piece = 0").select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("number").alias("first")), "order-first")
     placed = keyed.join(
         broadcast_below(first, F.lit(56)), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))
     ).select("text", "first")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*paths)
+        """What a batch has for each shard: slots, and the records compressed."""
+        encoder = Encoder(words)
+        codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
             held = [records(encoder.ids(t.as_py()), length, dtype) for t in batch.column("text")]
             if not held:
                 continue
             first = batch.column("first").to_numpy()
             slots = permutation.slot(np.concatenate([f + np.arange(len(r)) for f, r in zip(first, held)]))
-            raw = np.concatenate(held)
+            order = np.argsort(slots)
+            slots, made = slots[order], np.concatenate(held)[order]
+            shard, begin = np.unique(slots // per_shard, return_index=True)
+            runs = list(zip(begin, np.append(begin[1:], len(slots))))
             yield pa.RecordBatch.from_arrays([
-                pa.array((slots // per_shard).astype(np.int32)), pa.array(slots),
-                pa.array([r.tobytes() for r in raw], pa.binary()),
-            ], ["shard", "slot", "record"])
+                pa.array(shard.astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in runs], pa.binary()),
+                pa.array([codec.compress(made[a:b].tobytes(), asbytes=True) for a, b in runs], pa.binary()),
+            ], ["shard", "slots", "records"])
 
     shards = -(-permutation.size // per_shard)
-    dealt = placed.mapInArrow(emit, "shard int, slot bigint, record binary").repartition(
+    dealt = placed.mapInArrow(emit, "shard int, slots binary, records binary").repartition(
         max(1, min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism)), "shard"
-    ).sortWithinPartitions("shard", "slot")
+    ).sortWithinPartitions("shard")
+
+    def content(held: list[tuple[bytes, bytes]]) -> bytes:
+        """A shard's records in the order of their slots, without the last byte."""
+        slots = [np.frombuffer(s, np.int64) for s, _ in held]
+        stride = length * np.dtype(dtype).itemsize
+        made = [
+            np.frombuffer(pa.decompress(r, decompressed_size=len(s) * stride, codec="zstd"), dtype).reshape(-1, length)
+            for s, (_, r) in zip(slots, held)
+        ]
+        _, once = np.unique(np.concatenate(slots), return_index=True)  # a repeated document has come twice
+        return np.concatenate(made)[once].tobytes()[:-1]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per shard: its records in order, without the last byte."""
-        shard, parts, last = None, [], -1
+        shard, held = None, []
         for batch in batches:
-            for s, slot, record in zip(batch.column("shard").to_pylist(), batch.column("slot").to_pylist(), batch.column("record").to_pylist()):
-                if s != shard:
-                    if parts:
-                        yield _blob(shard, parts)
-                    shard, parts = s, []
-                if slot != last:  # a repeated document has come twice
-                    parts.append(record)
-                    last = slot
-        if parts:
-            yield _blob(shard, parts)
-
-    blobs = dealt.mapInArrow(join, "shard int, content binary")
-    blobs.select("shard", F.col("content").cast("string").alias("content")).write.partitionBy("shard").option(
+            for s, slots, made in zip(*(batch.column(c).to_pylist() for c in ("shard", "slots", "records"))):
+                if s != shard and held:
+                    yield _file(shard, content(held))
+                    held = []
+                shard = s
+                held.append((slots, made))
+        if held:
+            yield _file(shard, content(held))
+
+    files = dealt.mapInArrow(join, "shard int, content binary")
+    files.select("shard", F.col("content").cast("string").alias("content")).write.partitionBy("shard").option(
         "lineSep", "\u0000").option("compression", "none").text(path)
     return Order(path, permutation, length, per_shard, dtype, index)
 
 
-def _blob(shard: int, parts: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([shard], pa.int32()), pa.array([b"".join(parts)[:-1]], pa.binary())], ["shard", "content"]
-    )
+def _file(shard: int, content: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([content], pa.binary())], ["shard", "content"])
 
 
 @query("op9_training_order")
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence with its place, as read back from the shards."""
+    """Every sequence with its place and the checksum of what lies there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = write_order(docs, scratch_path(spark, "order"))
-    crc = F.crc32("record").cast("bigint").alias("read_crc32")
-    read = order.read(spark).select("slot", "shard", "byte_offset", crc)
-    return order.index.join(read, "slot").select(
-        "doc_id", "piece", "n_ids", "number", "slot", "shard", "byte_offset", "ids_crc32", (F.col("ids_crc32") == F.col("read_crc32")).alias("intact")
-    )
+    read = order.read(spark).select("slot", "shard", "byte_offset", F.crc32("record").cast("bigint").alias("ids_crc32"))
+    return order.index.join(read, "slot").select("doc_id", "piece", "n_ids", "number", "slot", "shard", "byte_offset", "ids_crc32")

@@ -245,12 +245,23 @@ def test_fillings_cover_exactly(histogram):
     assert used == Counter({k: v for k, v in histogram.items() if v})
 
 
-def test_training_order(spark, odd_tables, tmp_path):
+def test_training_order(spark, odd_tables):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from logloom.llm.training_order import LENGTH, PER_SHARD
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = collect(spark, "op9_training_order", odd_tables)
-    assert all(r["intact"] for r in rows) and sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert {(r["doc_id"], r["piece"]) for r in rows if r["piece"] == 0} == {(d, 0) for d, _, _ in odd.texts()}
-    distinct = {(d, t or "") for d, t, _ in odd.texts()}  # a row that repeats id and text is written once
-    assert sum(r["piece"] == 0 for r in rows) == len(distinct)
+    assert sorted(r["slot"] for r in rows) == sorted(r["number"] for r in rows) == list(range(len(rows)))
+    wanted = Counter()
+    for d, t in {(d, t or "") for d, t, _ in odd.texts()}:  # a row that repeats id and text is written once
+        ids = encode.encode(t, add_special_tokens=False).ids
+        for i in range(max(1, -(-len(ids) // (LENGTH - 1)))):
+            part = ids[i * (LENGTH - 1) : (i + 1) * (LENGTH - 1)]
+            wanted[d, i, len(part), zlib.crc32(np.array(part + [2] * (LENGTH - len(part)), "<u2").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["n_ids"], r["ids_crc32"]) for r in rows) == wanted
+    assert all(divmod(r["slot"], PER_SHARD) == (r["shard"], r["byte_offset"] // (2 * LENGTH)) for r in rows)
 
 
 def test_training_order_resumes(spark, tmp_path):
@@ -264,7 +275,7 @@ def test_training_order_resumes(spark, tmp_path):
     assert sorted(whole) == list(range(order.permutation.size))
     part = {r["slot"]: bytes(r["record"]) for r in order.read(spark, 17, 40).collect()}
     assert part == {s: whole[s] for s in range(17, 57)}
-    encoder = Encoder(*vocabulary())
+    encoder = Encoder(vocabulary())
     pieces = defaultdict(dict)
     for r in order.index.collect():
         pieces[r["doc_id"]][r["piece"]] = np.frombuffer(whole[r["slot"]], "<u2")[: r["n_ids"]]
