@@ -59,29 +59,66 @@ RATE = 0.02
 EVIDENCE = 8  # candidates above one half without which a class gets no threshold
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+RUN = 256  # matches whose places are added up in one array
 
 
-def _spans(text: Column, pattern: str, kind: int, likely: Column, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches whose ``group`` has
-    ``least`` characters.  The pieces between the matches say where they are."""
+def _steps(text: Column, pattern: str, group: int) -> Column:
+    """The matches in order: characters before each, its length, the length of
+    ``group``, and what was found."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(
-        F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"))),
-        kept, lambda x, k: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(k).alias("kept")),
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    return F.transform(
+        F.arrays_zip(gaps.alias("g"), found.alias("f"), kept.alias("k")),
+        lambda x: F.struct(
+            F.length(x["g"]).alias("gap"), F.length(x["f"]).alias("n"), F.length(x["k"]).alias("kept"), x["f"].alias("token")
+        ),
+    )
+
+
+def _placed(steps: Column) -> Column:
+    """The matches as struct(start, end, kept, token).
+
+    Arrays grow by copying, so places are added up in runs of ``RUN`` matches,
+    each from where the runs before it end: a text may hold very many."""
+    end_of = lambda a, x: a + x["gap"] + x["n"]
+    runs = F.transform(
+        F.sequence(F.lit(0), F.call_function("div", F.size(steps) - 1, F.lit(RUN)).cast("int")),
+        lambda r: F.slice(steps, r * RUN + 1, F.lit(RUN)),
     )
-    first = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
+    starts = F.aggregate(
+        runs, F.array(F.lit(0)),
+        lambda acc, run: F.array_append(acc, F.aggregate(run, F.element_at(acc, -1), end_of)),
+    )
+
+    def walk(run: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int,kept:int,token:string>>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + x["gap"]
+            match = F.struct(at.alias("start"), (at + x["n"]).alias("end"), x["kept"].alias("kept"), x["token"].alias("token"))
+            return F.struct((at + x["n"]).alias("at"), F.array_append(acc["out"], match).alias("out"))
+
+        return F.aggregate(run, first, step)["out"]
+
+    return F.flatten(F.zip_with(runs, F.slice(starts, F.lit(1), F.size(runs)), walk))
+
+
+PLACED = "array<struct<start:int,end:int,kept:int,token:string>>"
+
+
+def _matches(text: Column, pattern: str, likely: Column, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches; most texts have none and are not split."""
+    none = F.array().cast(PLACED)
+    # Naming the steps in an array of one keeps them from being made over again.
+    walked = F.transform(F.array(_steps(text, pattern, group)), lambda s: F.when(F.size(s) > 0, _placed(s)).otherwise(none))[0]
+    return F.coalesce(F.when(likely, walked), none)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        out = F.when(x["kept"] >= least, F.concat(F.coalesce(acc["out"], F.array().cast(SPAN)), F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
 
-    walked = F.aggregate(steps, first, step)["out"]
-    return F.coalesce(F.when(likely, walked), F.array().cast(SPAN))
+def _spans(text: Column, pattern: str, kind: int, likely: Column, group: int, least: int) -> Column:
+    """Spans of the matches whose ``group`` has ``least`` characters."""
+    kept = F.filter(_matches(text, pattern, likely, group), lambda m: m["kept"] >= least)
+    return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
 def base_spans(text: Column) -> Column:
@@ -171,11 +208,11 @@ CANDIDATES = "array<struct<start:int,end:int,encoding:int,n:int,p:double>>"
 
 def candidates(text: Column, base: Column) -> Column:
     """Tested token runs that touch no base span."""
-    runs = _spans(text, CANDIDATE, 3, text.rlike("[A-Za-z0-9+/_-]{20}"))
+    runs = _matches(text, CANDIDATE, text.rlike("[A-Za-z0-9+/_-]{20}"))
     free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (r["start"] < b["end"]) & (b["start"] < r["end"])))
 
     def test(r: Column) -> Column:
-        t = randomness(F.substring(text, r["start"] + 1, r["end"] - r["start"]))
+        t = randomness(r["token"])
         return F.struct(r["start"].alias("start"), r["end"].alias("end"), t["encoding"].alias("encoding"), t["n"].alias("n"), t["p"].alias("p"))
 
     return F.transform(free, test)
