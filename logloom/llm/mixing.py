@@ -7,8 +7,9 @@ A target then becomes whole repetitions of the source and a fraction; the
 fraction is filled with whole documents in a seeded order.
 
 No step gathers a source: the word counts are added up by (source, hash cell),
-the running sums over at most ``CELLS`` cells of a source say in which cell the
-fraction ends, and only the documents of that one cell are put in order.
+running sums over groups of cells and then over the cells of one group say in
+which of ``CELLS`` cells the fraction ends, and only the documents of that one
+cell are put in order.
 
 Defined results: a null text has no words and is taken as it is, 0 words; a
 null source is a source of its own, the last; documents without words never
@@ -111,32 +112,38 @@ def plan_mix(
         .withColumn("whole", whole.cast("int"))
         .withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    # The cell in which the fraction ends, and the words of the cells before it.
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    running = cells.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    part = filled.select(F.col("source").alias("s"), "part")
-    ends = (
-        running.join(broadcast_if_small(part), F.col("source").eqNullSafe(F.col("s")))
-        .where((F.col("before") < F.col("part")) & (F.col("before") + F.col("words") > F.col("part")))
-        .select(F.col("source").alias("s"), F.col("cell").alias("end_cell"), F.col("before").alias("end_before"))
-    )
-    # A fraction that ends between two cells has no cell to cut: count to the next one.
-    next_cell = (
-        running.join(broadcast_if_small(part), F.col("source").eqNullSafe(F.col("s")))
-        .groupBy("source").agg(F.max(F.when(F.col("before") + F.col("words") <= F.col("part"), F.col("cell"))).alias("full"))
-        .select(F.col("source").alias("t"), F.coalesce(F.col("full") + 1, F.lit(0)).alias("next_cell"))
+    # The first group of cells, and in it the first cell, to reach beyond the
+    # fraction, and the words before it: two short windows for each source.
+    part = broadcast_if_small(materialise(filled.select(F.col("source").alias("s"), "part"), "mix-parts"))
+    mine = F.col("source").eqNullSafe(F.col("s"))
+    groups = cells.groupBy("source", _group(F.col("cell")).alias("at")).agg(F.sum("words").alias("words"))
+    group_ends = materialise(_first_beyond(groups.join(part, mine).withColumn("before", F.lit(0))), "mix-groups")
+    inside = cells.withColumnRenamed("source", "c").join(
+        broadcast_if_small(group_ends), F.col("c").eqNullSafe(F.col("source")) & (_group(F.col("cell")) == F.col("end"))
     )
+    ends = _first_beyond(inside.select("source", F.col("cell").alias("at"), "words", "part", "before"))
     return materialise(
-        filled.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-        .join(next_cell, F.col("source").eqNullSafe(F.col("t")), "left")
-        .select(
-            F.col("source").alias("plan_source"), "source_size", "target", "whole", "part", "end_before",
-            F.coalesce("end_cell", "next_cell").alias("end_cell"),
+        filled.join(ends.select(F.col("source").alias("s"), "end", "before"), mine, "left").select(
+            F.col("source").alias("plan_source"), "source_size", "target", "whole", "part",
+            F.coalesce("before", F.lit(0)).alias("end_before"), F.coalesce("end", F.lit(CELLS)).alias("end_cell"),
         ),
         "mix-plan",
     )
 
 
+def _group(cell: Column) -> Column:
+    return F.shiftright(cell, 8)
+
+
+def _first_beyond(rows: DataFrame) -> DataFrame:
+    """(source, part, end, before): of each source the first place ``at`` whose
+    words, added to ``before`` and those of the earlier places, exceed the part."""
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("at"))
+    beyond = rows.withColumn("upto", upto).where("upto > part")
+    first = F.min(F.struct(F.col("at").alias("end"), (F.col("upto") - F.col("words")).alias("before"))).alias("f")
+    return beyond.groupBy("source", "part").agg(first).select("source", "part", "f.end", "f.before")
+
+
 def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with the plan of their source and ``copies``: how often each is
     read.  A document belongs to the fraction when its middle word does."""
@@ -146,8 +153,8 @@ def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
         "copies", F.col("whole") + F.when(cell < F.col("end_cell"), 1).otherwise(0)
     )
     earlier = Window.partitionBy("source").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.col("end_before"), F.lit(0)) + F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    inside = F.col("end_before").isNotNull() & (begin * 2 + F.col("size") <= F.col("part") * 2)
+    begin = F.col("end_before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    inside = begin * 2 + F.col("size") <= F.col("part") * 2
     edge = joined.where(cell == F.col("end_cell")).withColumn("copies", F.col("whole") + F.when(inside, 1).otherwise(0))
     return certain.unionByName(edge)
 
