@@ -194,14 +194,14 @@ def _raise_floor(blocks: DataFrame, found: DataFrame, k: int) -> DataFrame:
     )
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left
-        ids = np.frombuffer(left.column("ids")[0].as_py(), np.int64)
-        least = np.frombuffer(left.column("least")[0].as_py(), np.int64).copy()
         scores = dict(zip(right.column("query_id").to_pylist(), right.column("score").to_pylist()))
-        for i, q in enumerate(ids.tolist()):
-            least[i] = max(least[i], scores.get(q, least[i]))
-        return left.set_column(left.schema.get_field_index("least"), "least", pa.array([least.tobytes()], pa.binary()))
+        raised = []  # a block number has a row for each vector length
+        for ids, floors in zip(left.column("ids").to_pylist(), left.column("least").to_pylist()):
+            least = np.frombuffer(floors, np.int64).copy()
+            for i, q in enumerate(np.frombuffer(ids, np.int64).tolist()):
+                least[i] = max(least[i], scores.get(q, least[i]))
+            raised.append(least.tobytes())
+        return left.set_column(left.schema.get_field_index("least"), "least", pa.array(raised, pa.binary()))
 
     count = blocks.agg(F.max("block").alias("n")).first()["n"]
     blocks_of = kth.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit((count or 0) + 1)))
