@@ -271,7 +271,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     # Copies of whole texts: one of them speaks for all.
     owners = placed.where(F.col("size") >= WINDOW).groupBy("print").agg(F.min("place").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    twins = placed.join(owners, "print").groupBy(F.shiftright("place", 12).alias("chunk")).agg(
+    owners = materialise(owners, "suffix-owners")
+    twins = placed.join(broadcast_below(owners, F.lit(40)), "print").groupBy(F.shiftright("place", 12).alias("chunk")).agg(
         F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(DOCS - 1)).cast("int").alias("at"), (F.col("place") == F.col("owner")).alias("owner"))).alias("t")
     )
     twins = materialise(twins.select("chunk", F.col("t.at").alias("twin_at"), F.col("t.owner").alias("twin_owner")), "suffix-twins")
