@@ -6,15 +6,19 @@ its encoding is the smallest known alphabet that holds all its symbols, and
 three tests ask whether it looks like uniform draws from that alphabet: a
 chi-squared test of the symbol counts, a runs test of the halves of the
 alphabet, and the serial correlation of neighbours.  Their combined p-value is
-near 0 for words and uniform on 0..1 for random strings.
-
-False discoveries (words taken for random strings) are controlled for each
-encoding and length class by itself, since short strings carry little evidence:
-random strings spread evenly over p, so those above one half tell how many
-there are in the class, and the class's threshold is the smallest at which the
-excess over that number stays below ``rate``; a class in which fewer than
-``EVIDENCE`` lie above one half gets none.  Only the bounded table of counts
-(encoding, length class, p bin) comes to the driver.
+uniform on 0..1 for random strings and near 0 for patterns and most words; below
+``LEAST`` a string is not random.
+
+A word may pass the three by chance, so the rest is tested against words: its
+chance under the fixed model of ``words`` over its chance under uniform draws
+from its encoding.  Among words that ratio falls below x at most with
+probability x, whatever the string's length, so it is a p-value of being a word,
+and its inverse an e-value.  False discoveries (words taken for random strings)
+are controlled by Benjamini-Hochberg over these for each encoding and length
+class by itself, which for e-values holds among copies too.  A lone random
+string is found like one of many, and repeating a table changes nothing.  Only
+the bounded table of counts (encoding, length class, whole nats) comes to the
+driver.
 
 Everything is column expressions; no Python runs on the executors.
 
@@ -25,12 +29,14 @@ pass through ``redact`` untouched.  Positions are code points, end exclusive.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, query, table, text_or_empty
+from .words import SYMBOLS, log_steps
 
 # The base patterns, with the smallest length of what they find.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -54,9 +60,9 @@ ALPHABETS = {
     "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)  # lower ends of the length classes
-GRID = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2)  # thresholds a class may get
+LEAST = 0.0001  # of the battery's p-value
+NATS = 60  # a word's p-value of exp(-60) or less counts as that
 RATE = 0.02
-EVIDENCE = 8  # candidates above one half without which a class gets no threshold
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 RUN = 256  # matches whose places are added up in one array
@@ -158,8 +164,19 @@ def _by_encoding(encoding: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), encoding + 1)
 
 
+def _log_chance(at: Column) -> Column:
+    """Logarithm of the chance of a string among words, from the places of its
+    characters in ``SYMBOLS``."""
+    steps = F.split(F.lit(",".join(f"{x:.3f}" for x in log_steps())), ",").cast("array<double>")
+    before = F.concat(F.array(F.lit(0)), F.slice(at, F.lit(1), F.size(at) - 1))
+    return F.aggregate(
+        F.zip_with(before, at, lambda a, b: F.element_at(steps, a * len(SYMBOLS) + b)), F.lit(0.0), lambda s, x: s + x
+    )
+
+
 def randomness(token: Column) -> Column:
-    """struct(encoding int, n int, p double) of a token."""
+    """struct(encoding int, n int, p double, far int) of a token: ``p`` among
+    random strings, and among words exp(-far) or less, 0 for what ``p`` rules out."""
     body = F.rtrim(token, F.lit("="))
     tested = F.transform(
         F.array(F.struct(body.alias("s"), _encoding(body).alias("e"))),
@@ -170,6 +187,7 @@ def randomness(token: Column) -> Column:
             _by_encoding(x["e"], list(ALPHABETS.values())).alias("alphabet"),
         ),
     )
+    places = lambda x: F.transform(x["symbols"], lambda c: F.position(c, F.lit(SYMBOLS)))
     numbered = F.transform(tested, lambda x: F.struct(
         x["e"].alias("e"), x["n"].alias("n"), x["k"].alias("k"),
         F.aggregate(
@@ -177,9 +195,10 @@ def randomness(token: Column) -> Column:
             lambda a, c: a + F.pow(F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2)),
         ).alias("squares"),
         F.transform(x["symbols"], lambda c: F.position(c, x["alphabet"]) - 1).alias("at"),
+        F.transform(F.array(places(x)), _log_chance)[0].alias("words"),
     ))
     sums = F.transform(numbered, lambda x: F.struct(
-        x["e"].alias("e"), x["n"].alias("n"), x["k"].alias("k"), x["squares"].alias("squares"),
+        x["e"].alias("e"), x["n"].alias("n"), x["k"].alias("k"), x["squares"].alias("squares"), x["words"].alias("words"),
         F.aggregate(
             F.zip_with(F.slice(x["at"], F.lit(1), x["n"] - 1), F.slice(x["at"], F.lit(2), x["n"] - 1), lambda a, b: F.struct(
                 F.when((a * 2 >= x["k"]) != (b * 2 >= x["k"]), 1.0).otherwise(0.0).alias("turn"),
@@ -198,12 +217,16 @@ def randomness(token: Column) -> Column:
         q = F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2)) + runs * runs + serial * serial
         # The chi-squared part counts on one side only: half of the time it is 0.
         p = (_tail2(q) + _tail3(q)) / 2
-        return F.struct(x["e"].alias("encoding"), n.alias("n"), F.least(p, F.lit(1.0)).alias("p"))
+        nats = F.greatest(F.lit(0.0), F.least(F.lit(float(NATS)), -x["words"] - n * F.log(k)))
+        return F.struct(x["e"].alias("encoding"), n.alias("n"), F.least(p, F.lit(1.0)).alias("p"), nats.alias("nats"))
 
-    return F.transform(sums, combine)[0]
+    return F.transform(F.transform(sums, combine), lambda x: F.struct(
+        x["encoding"].alias("encoding"), x["n"].alias("n"), x["p"].alias("p"),
+        F.when(x["p"] >= LEAST, F.floor(x["nats"])).otherwise(0).cast("int").alias("far"),
+    ))[0]
 
 
-CANDIDATES = "array<struct<start:int,end:int,encoding:int,n:int,p:double>>"
+CANDIDATES = "array<struct<start:int,end:int,encoding:int,n:int,far:int>>"
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -213,7 +236,7 @@ def candidates(text: Column, base: Column) -> Column:
 
     def test(r: Column) -> Column:
         t = randomness(r["token"])
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), t["encoding"].alias("encoding"), t["n"].alias("n"), t["p"].alias("p"))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), t["encoding"].alias("encoding"), t["n"].alias("n"), t["far"].alias("far"))
 
     return F.transform(free, test)
 
@@ -227,36 +250,30 @@ def _length_class(n: Column) -> Column:
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Smallest p-value that counts as random, by encoding and length class."""
+    """Whole nats below 1 from which a word's p-value counts as a random
+    string's, by encoding and length class."""
 
-    least: dict[tuple[int, int], float]
+    least: dict[tuple[int, int], int]
 
     def accept(self, c: Column) -> Column:
         if not self.least:
             return F.lit(False)
-        entries = [F.lit(v) for (e, s), p in sorted(self.least.items()) for v in (e * 100 + s, p)]
+        entries = [F.lit(v) for (e, s), far in sorted(self.least.items()) for v in (e * 100 + s, far)]
         low = F.element_at(F.create_map(*entries), c["encoding"] * 100 + _length_class(c["n"]))
-        return F.coalesce(c["p"] >= low, F.lit(False))
+        return F.coalesce(c["far"] >= low, F.lit(False))
 
 
 def fit_thresholds(tested: Column, rows: DataFrame, rate: float = RATE) -> Thresholds:
-    """Count the candidates of all rows by encoding, length class and p."""
+    """Benjamini-Hochberg in each encoding and length class of all rows."""
     one = rows.select(F.explode(tested).alias("c")).select("c.*")
-    bins = F.lit(0)
-    for number, edge in enumerate((*GRID, 0.5), start=1):
-        bins = F.when(F.col("p") >= edge, number).otherwise(bins)
     counts: dict[tuple[int, int], list[int]] = {}
-    for r in one.groupBy("encoding", _length_class(F.col("n")).alias("class"), bins.alias("bin")).count().collect():
-        counts.setdefault((r["encoding"], r["class"]), [0] * (len(GRID) + 2))[r["bin"]] = r["count"]
+    for r in one.groupBy("encoding", _length_class(F.col("n")).alias("class"), "far").count().collect():
+        counts.setdefault((r["encoding"], r["class"]), [0] * (NATS + 1))[r["far"]] = r["count"]
     least = {}
     for key, found in counts.items():
-        if found[-1] < EVIDENCE:
-            continue
-        random = found[-1] * 2  # half of the random strings lie above one half
-        for number, edge in enumerate(GRID, start=1):
-            above = sum(found[number:])
-            if above and 1 - random * (1 - edge) / above <= rate:
-                least[key] = edge
+        for far in range(1, NATS + 1):
+            if 0 < sum(found) * math.exp(-far) <= rate * sum(found[far:]):
+                least[key] = far
                 break
     return Thresholds(least)
 

@@ -322,3 +322,23 @@ def test_random_strings_are_found(spark):
     scanned, _ = scan(spark.createDataFrame(rows, "doc_id bigint, text string"))
     found = {r["row"]["doc_id"] for r in scanned.where("size(spans) > 0").collect()}
     assert sum(d < 1000 for d in found) > 190 and sum(d >= 1000 for d in found) <= 5
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_lone_random_key_among_words(spark, times):
+    """What is reported depends on the string, not on how often others occur."""
+    import random
+
+    from logloom.llm.secret_scan import redact, scan
+
+    rng = random.Random(20)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(rng.choice(symbols) for _ in range(20))
+    parts = ["keit", "lich", "ung", "heit", "tion", "elle", "aux", "ing", "the", "Order", "Get", "docs/", "file-", "max_"]
+    words = ["".join(rng.choice(parts) for _ in range(12))[:20] for _ in range(50)] + ["0123456789" * 3, "ab" * 20]
+    rows = [(0, f"see {key} there")] + [(1 + i, f"see {w} there") for i, w in enumerate(words * times)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scanned = scan(docs)[0].where("exists(spans, s -> s.kind = 3)")
+    assert {r["row"]["doc_id"] for r in scanned.collect()} == {0}
+    if times == 1:
+        assert redact(docs.where("doc_id = 0")).first()["text"] == "see [SECRET] there"
