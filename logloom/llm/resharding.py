@@ -227,19 +227,32 @@ def sized(docs: DataFrame, old: Column | None = None, doc_id: str = "doc_id", te
 def rewrite(docs: DataFrame, old: Column, old_shards: int, shards: int, path: str,
             doc_id: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> Plan:
     """Write the shards whose content changes, each to its own folder of the
-    Parquet table ``path``; the other shards keep their files.  Documents keep
-    all their columns; the folders are named after ``shard``, with underscores
-    added while the documents have such a column."""
+    Parquet table ``path``; the other shards keep their files, and the folder of
+    a shard that all rows leave, or that is no longer one, is emptied.  ``docs``
+    must not be read from ``path`` itself.  Documents keep all their columns; the
+    folders are named after ``shard``, with underscores added while the documents
+    have such a column."""
     rows = sized(docs, old, doc_id, text)
     plan = plan_reshard(materialise(rows.drop("row"), "reshard-rows"), old_shards, shards, blocks)
     name = "shard"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
     written = plan.place(rows).where(F.col("shard").isin(list(plan.changed)))
-    written.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).mode("overwrite").parquet(path)
+    written.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").parquet(path)
+    # Only folders that receive rows are replaced.
+    filled = {r["shard"] for r in plan.cells.select("shard").distinct().collect()}
+    for gone in {*plan.changed, *range(shards, old_shards)} - filled:
+        _drop(docs.sparkSession, f"{path}/{name}={gone}")
     return plan
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any Hadoop store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @query("op7_reshard")
 def op7_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(sized(table(spark, sf_dir, "documents")).drop("row"), "reshard-rows")

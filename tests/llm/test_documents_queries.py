@@ -342,3 +342,38 @@ def test_lone_random_key_among_words(spark, times):
     assert {r["row"]["doc_id"] for r in scanned.collect()} == {0}
     if times == 1:
         assert redact(docs.where("doc_id = 0")).first()["text"] == "see [SECRET] there"
+
+
+def test_reshard_keeps_unchanged_shards_of_a_table(spark, tmp_path):
+    """On a table that holds all shards; one stays, one is left by all rows."""
+    from pyspark.sql import functions as F
+
+    from logloom.llm.resharding import rewrite
+
+    path = str(tmp_path / "t")
+    # Cells are cut by the document, so 1 and 2 even out and 0 stays.
+    docs = spark.createDataFrame(
+        [(i, "x" * 99, 0 if i < 100 else 1 if i < 250 else 2) for i in range(300)], "doc_id bigint, text string, old int"
+    )
+    docs.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(path)
+    files = lambda n: sorted(p.name for p in (tmp_path / "t" / f"shard={n}").glob("*.parquet"))
+    before = {n: files(n) for n in range(3)}
+    plan = rewrite(docs, F.col("old"), 3, 3, path)
+    assert plan.changed == (1, 2) and files(0) == before[0] and files(1) != before[1]
+    assert sorted(r["doc_id"] for r in spark.read.parquet(path).collect()) == list(range(300))
+
+    even = spark.read.parquet(path).select("doc_id", "text", F.col("shard").alias("old"))
+    even = spark.createDataFrame(even.collect(), even.schema)
+    before = {n: files(n) for n in range(3)}
+    if rewrite(even, F.col("old"), 3, 3, path).changed == ():
+        assert {n: files(n) for n in range(3)} == before
+    assert spark.read.parquet(path).count() == 300
+
+    rewrite(even, F.col("old"), 3, 2, path)
+    assert not files(2) and sorted(r["doc_id"] for r in spark.read.parquet(path).collect()) == list(range(300))
+
+    one = spark.createDataFrame([(7, "x" * 99, 0)], docs.schema)
+    left = str(tmp_path / "left")
+    one.withColumn("shard", F.lit(0)).write.partitionBy("shard").parquet(left)
+    plan = rewrite(one, F.col("old"), 1, 2, left)
+    assert [r["doc_id"] for r in spark.read.parquet(left).collect()] == [7]
