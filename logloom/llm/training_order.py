@@ -20,9 +20,13 @@ number fixed by ``per_shard``.
 Records end with the end id, whose last byte is zero; that byte is written as
 the text writer's line separator, so Spark's own writer makes the files.
 
-Defined results: a null or empty text is one sequence of end ids; a row that
-repeats both id and text is the same document and is written once; an empty
-table writes no shard; columns other than id and text do not matter.
+Rows that repeat both id and text are counted in the first pass and numbered one
+after another, in parts of at most ``REPEATED`` sequences or one row; the second
+encodes their text once for each part and writes the part's rows from it.
+
+Defined results: a null or empty text is one sequence of end ids; every row is a
+document, also one that repeats id and text; an empty table writes no shard;
+columns other than id and text do not matter.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ LENGTH = 512
 PER_SHARD = 8192
 ROUNDS = 6
 KEY = 20240229
+REPEATED = 4096  # sequences of a row and its repetitions that are numbered and written as one part
+HELD = 32_768  # sequences put in order at once, beside one part
 
 
 @dataclass(frozen=True)
@@ -147,7 +153,8 @@ def write_order(
 ) -> Order:
     """Write the sequences of ``docs`` (doc_id, text) in training order.
 
-    ``dtype`` must hold the vocabulary's ids; ``docs`` is read twice."""
+    ``dtype`` must hold the vocabulary's ids; ``docs`` is read twice, and once
+    more where rows repeat."""
     words = words or vocabulary()
     room = length - 1
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(F.col("text")).alias("text")).withColumn(
@@ -163,10 +170,20 @@ def write_order(
             )
 
     measured = keyed.select("doc_id", "print", "text").mapInArrow(measure, "doc_id bigint, print string, n bigint")
-    measured = materialise(measured, "order-sizes").dropDuplicates(["doc_id", "print"])
-    last = F.call_function("div", F.greatest(F.col("n") - 1, F.lit(0)), F.lit(room)).cast("int")
-    pieces = measured.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
-        "doc_id", "print", "piece", F.least(F.lit(room), F.col("n") - F.col("piece") * room).cast("int").alias("n_ids")
+    sizes = materialise(measured, "order-sizes").groupBy("doc_id", "print").agg(
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")
+    )
+    # A part is a row, or as many repetitions of it as have REPEATED sequences.
+    count = F.call_function("div", F.greatest(F.col("n") - 1, F.lit(0)), F.lit(room)) + 1
+    at_once = F.greatest(F.lit(1), F.call_function("div", F.lit(REPEATED), F.col("count")))
+    parts = sizes.withColumn("count", count).withColumn("most", at_once).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("copies") - 1, F.col("most"))))
+    ).withColumn("times", F.least(F.col("most"), F.col("copies") - F.col("part") * F.col("most")).cast("int"))
+    pieces = parts.withColumn("at", F.explode(F.sequence(F.lit(0), (F.col("times") * F.col("count") - 1).cast("int")))).withColumn(
+        "piece", (F.col("at") % F.col("count")).cast("int")
+    ).select(
+        "doc_id", "print", "piece", F.least(F.lit(room), F.col("n") - F.col("piece") * room).cast("int").alias("n_ids"),
+        "at", "times", (F.col("copies") > 1).alias("repeated"),
     )
     numbered = number_sorted(pieces, "order")
     permutation = Permutation(numbered.count, key)
@@ -177,32 +194,50 @@ def write_order(
 
     number = F.col("pos") - 1
     index = materialise(
-        numbered.frame.select("doc_id", "print", "piece", "n_ids", number.alias("number"), slot_of(number).alias("slot")),
+        numbered.frame.select(
+            "doc_id", "print", "piece", "n_ids", number.alias("number"), slot_of(number).alias("slot"), "at", "times", "repeated"
+        ),
         "order-index",
     )
-    first = materialise(index.where("piece = 0").select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("number").alias("first")), "order-first")
-    placed = keyed.join(
-        broadcast_below(first, F.lit(56)), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))
-    ).select("text", "first")
+    first = materialise(index.where("at = 0").select(
+        F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("number").alias("first"), "times", "repeated"
+    ), "order-first")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p"))
+    placed = keyed.join(broadcast_below(first.where(~F.col("repeated")), F.lit(56)), same).select("text", "first", "times")
+    again = first.where("repeated")
+    if not again.isEmpty():
+        one = again.select("d", "p").distinct()
+        texts = keyed.join(broadcast_below(materialise(one, "order-repeated"), F.lit(56)), same, "leftsemi").groupBy("doc_id", "print").agg(
+            F.first("text").alias("text")
+        )
+        placed = placed.unionByName(texts.join(again, same).select("text", "first", "times").repartition("first"))
+
+    def dealt_by_shard(held: list[np.ndarray], numbers: list[np.ndarray], codec: pa.Codec) -> pa.RecordBatch:
+        """What sequences mean for each shard: slots, and the records compressed."""
+        slots = permutation.slot(np.concatenate(numbers))
+        order = np.argsort(slots)
+        slots, made = slots[order], np.concatenate(held)[order]
+        shard, begin = np.unique(slots // per_shard, return_index=True)
+        runs = list(zip(begin, np.append(begin[1:], len(slots))))
+        return pa.RecordBatch.from_arrays([
+            pa.array(shard.astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in runs], pa.binary()),
+            pa.array([codec.compress(made[a:b].tobytes(), asbytes=True) for a, b in runs], pa.binary()),
+        ], ["shard", "slots", "records"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a batch has for each shard: slots, and the records compressed."""
-        encoder = Encoder(words)
-        codec = pa.Codec("zstd", compression_level=3)
+        encoder, codec = Encoder(words), pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            held = [records(encoder.ids(t.as_py()), length, dtype) for t in batch.column("text")]
-            if not held:
-                continue
-            first = batch.column("first").to_numpy()
-            slots = permutation.slot(np.concatenate([f + np.arange(len(r)) for f, r in zip(first, held)]))
-            order = np.argsort(slots)
-            slots, made = slots[order], np.concatenate(held)[order]
-            shard, begin = np.unique(slots // per_shard, return_index=True)
-            runs = list(zip(begin, np.append(begin[1:], len(slots))))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(shard.astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in runs], pa.binary()),
-                pa.array([codec.compress(made[a:b].tobytes(), asbytes=True) for a, b in runs], pa.binary()),
-            ], ["shard", "slots", "records"])
+            held, numbers, many = [], [], 0
+            for text, first, times in zip(batch.column("text"), batch.column("first").to_pylist(), batch.column("times").to_pylist()):
+                made = records(encoder.ids(text.as_py()), length, dtype)
+                held.append(np.tile(made, (times, 1)) if times > 1 else made)
+                numbers.append(first + np.arange(len(held[-1])))
+                many += len(held[-1])
+                if many >= HELD:
+                    yield dealt_by_shard(held, numbers, codec)
+                    held, numbers, many = [], [], 0
+            if held:
+                yield dealt_by_shard(held, numbers, codec)
 
     shards = -(-permutation.size // per_shard)
     dealt = placed.mapInArrow(emit, "shard int, slots binary, records binary").repartition(
@@ -217,8 +252,7 @@ def write_order(
             np.frombuffer(pa.decompress(r, decompressed_size=len(s) * stride, codec="zstd"), dtype).reshape(-1, length)
             for s, (_, r) in zip(slots, held)
         ]
-        _, once = np.unique(np.concatenate(slots), return_index=True)  # a repeated document has come twice
-        return np.concatenate(made)[once].tobytes()[:-1]
+        return np.concatenate(made)[np.argsort(np.concatenate(slots))].tobytes()[:-1]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -235,7 +269,7 @@ def write_order(
     files = dealt.mapInArrow(join, "shard int, content binary")
     files.select("shard", F.col("content").cast("string").alias("content")).write.partitionBy("shard").option(
         "lineSep", "\u0000").option("compression", "none").text(path)
-    return Order(path, permutation, length, per_shard, dtype, index)
+    return Order(path, permutation, length, per_shard, dtype, index.drop("at", "times", "repeated"))
 
 
 def _file(shard: int, content: bytes) -> pa.RecordBatch:

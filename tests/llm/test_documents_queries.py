@@ -344,6 +344,26 @@ def test_lone_random_key_among_words(spark, times):
         assert redact(docs.where("doc_id = 0")).first()["text"] == "see [SECRET] there"
 
 
+def test_training_order_repeats_rows(spark, tmp_path, monkeypatch):
+    """Every row has slots of its own, also one that repeats id and text."""
+    from logloom.llm import training_order
+    from logloom.llm.tokens import Encoder, vocabulary
+
+    monkeypatch.setattr(training_order, "REPEATED", 4)
+    monkeypatch.setattr(training_order, "HELD", 5)
+    rows = [(1, odd.words(1, 60))] * 3 + [(2, "two")] * 11 + [(2, "other"), (3, "two")] + [(None, None), (None, "")] + [(4, odd.words(4, 90))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    order = training_order.write_order(docs, str(tmp_path / "o"), length=32, per_shard=10)
+    held = [(r["slot"], bytes(r["record"])) for r in order.read(spark).collect()]
+    index = order.index.collect()
+    assert sorted(s for s, _ in held) == sorted(r["slot"] for r in index) == list(range(order.permutation.size))
+    encoder, wanted, whole = Encoder(vocabulary()), Counter(), dict(held)
+    for d, t in rows:
+        for i, r in enumerate(training_order.records(encoder.ids(t or ""), 32, "<u2")):
+            wanted[d, i, r.tobytes()] += 1
+    assert Counter((r["doc_id"], r["piece"], whole[r["slot"]]) for r in index) == wanted
+
+
 def test_reshard_keeps_unchanged_shards_of_a_table(spark, tmp_path):
     """On a table that holds all shards; one stays, one is left by all rows."""
     from pyspark.sql import functions as F
