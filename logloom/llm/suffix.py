@@ -1,5 +1,5 @@
-"""Removing long repeated byte strings, by blockwise suffix sorting over a
-difference cover.
+"""Removing long repeated byte strings, by fingerprints of suffixes that a
+difference cover lets through.
 
 Every byte covered by a string of ``WINDOW`` bytes that also starts anywhere
 else is removed; strings never cross documents, and are judged on the input.
@@ -11,8 +11,8 @@ bucket of suffixes at a time:
 1. The cover sample: positions whose residue is in a difference cover of
    ``PERIOD``.  Any two positions have a common shift below ``PERIOD`` at which
    both are sampled, so equal windows contain equal sampled strings of
-   ``WINDOW - PERIOD + 1`` bytes.  These are ranked in buckets of their
-   fingerprints, which tells the sampled strings that occur twice.
+   ``WINDOW - PERIOD + 1`` bytes.  They get no ranks: the cover is a filter that
+   tells, in buckets of fingerprints, the sampled strings that occur twice.
 2. Suffixes with such a sampled string within reach are the only ones that can
    be repeated.  They are dealt into buckets, and each bucket is sorted by
    itself; neighbours with equal keys are equal windows.
@@ -22,6 +22,8 @@ Keys are fingerprints in place of bytes, since only equality counts: those of
 the sample may collide, at the price of a suffix sorted for nothing, and those
 of the suffixes have 64 bits and the bucket's, which come from another function.
 The number of buckets follows the input, so with it grows the number of bits.
+No window is compared by its bytes: equality rests on the fingerprints, and two
+unequal windows of one fingerprint and bucket would be taken for a repetition.
 
 Each part of the input (1 MB of texts) sends a key at most once into a bucket,
 however often it holds it, and gets back one bit per key; a document that
