@@ -7,6 +7,7 @@ DOCUMENTS = (
     "target double, copies int, shard string, slot string, uid string, node string, print string, base string, spans string, x int"
 )
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int, v string, dim string, node string, copies string"
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string, id string, node int, low string, h string, total string, seg string"
 LABELS = "doc_id bigint, quality int, toxic int, x string, y string"
 
 
@@ -71,8 +72,28 @@ def labels(spark, rows=True):
     return spark.createDataFrame(data if rows else [], LABELS)
 
 
+def conversations() -> list[tuple]:
+    """(conv_id, turn, role, text)"""
+    rng = random.Random(3)
+    rows = [
+        (None, 0, "user", "no id"), (0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, None, "system", "first of all"), (0, 2, None, "x"),
+        (1, 0, "user", None), (1, 0, "user", None), (2, 5, None, None), (2, 5, "", ""), (3, None, None, None), (7, -1, "user", "ünï 漢字 😀"),
+        (-3, 0, "user", "below zero"), (-203, 0, "user", "below zero"), (-200, 0, "user", "its base"), (450, 0, "user", words(30, 20_000)),
+    ]
+    for c in range(100, 140):  # one first turn, two endings, copies
+        rows += [(c, 0, "user", "the same start"), (c, 1, "assistant", "the same answer"), (c, 2, "user", "ab"[c % 2])]
+        rows += [(c, 3 + i, "user", f"turn {i} of {c % 3}") for i in range(c % 5)]
+    for c in (300, 301, 355):  # long ones that part late
+        rows += [(c, i, "user", f"long {i if i < 60 else i * c}") for i in range(75)]
+    rows += [(500 + i, t, "user", rng.choice(["a", "b", "c"])) for i in range(60) for t in range(rng.randint(1, 7))]
+    rng.shuffle(rows)
+    return rows
+
+
 def write(spark, folder: str, rows=True) -> str:
     documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
     embeddings(spark, rows).write.parquet(f"{folder}/embeddings.parquet")
     labels(spark, rows).write.parquet(f"{folder}/labels.parquet")
+    data = [(*r, "i", 1, None, "h", "t", "s") for r in (conversations() if rows else [])]
+    spark.createDataFrame(data, CONVERSATIONS).write.parquet(f"{folder}/conversations.parquet")
     return folder
