@@ -38,6 +38,21 @@ def vocabulary(path: str | None = None, ranks: str | None = None) -> Vocabulary:
     return Vocabulary(path, ranks, special)
 
 
+def byte_ranks(path: str):
+    """The ``tiktoken`` encoding of a rank file, kept by the process that loads
+    it: a Python worker runs many tasks, and loading costs as much as a megabyte
+    of text."""
+    import tiktoken
+    from tiktoken import registry
+
+    name = f"ranks {path}"
+    if name not in registry.ENCODINGS:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        registry.ENCODINGS[name] = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return registry.ENCODINGS[name]
+
+
 class Encoder:
     """Encodes on one machine; what it does not need it does not load."""
 
