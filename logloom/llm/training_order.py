@@ -15,7 +15,8 @@ The texts are encoded twice.  The first pass keeps only sizes, which say the
 number of sequences and every document's first number; the second encodes
 again, so that no token is written but into its shard.  Records travel
 compressed, and a shard is put together in one task from its own records, a
-number fixed by ``per_shard``.
+number fixed by ``per_shard``; tasks take up to ``TOGETHER`` neighbouring shards,
+so their number follows the input.
 
 Records end with the end id, whose last byte is zero; that byte is written as
 the text writer's line separator, so Spark's own writer makes the files.
@@ -49,6 +50,7 @@ PER_SHARD = 8192
 ROUNDS = 6
 KEY = 20240229
 REPEATED = 4096  # sequences of a row and its repetitions that are numbered and written as one part
+TOGETHER = 16  # shards put together by one task, at most
 HELD = 32_768  # sequences put in order at once, beside one part
 
 
@@ -240,8 +242,10 @@ def write_order(
                 yield dealt_by_shard(held, numbers, codec)
 
     shards = -(-permutation.size // per_shard)
-    dealt = placed.mapInArrow(emit, "shard int, slots binary, records binary").repartition(
-        max(1, min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism)), "shard"
+    # Neighbouring shards share a task, a bounded number of them whatever the input.
+    together = max(1, min(TOGETHER, shards // (4 * docs.sparkSession.sparkContext.defaultParallelism)))
+    dealt = placed.mapInArrow(emit, "shard int, slots binary, records binary").repartitionById(
+        max(1, -(-shards // together)), F.call_function("div", F.col("shard"), F.lit(together)).cast("int")
     ).sortWithinPartitions("shard")
 
     def content(held: list[tuple[bytes, bytes]]) -> bytes:

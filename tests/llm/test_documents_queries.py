@@ -255,7 +255,7 @@ def test_training_order(spark, odd_tables):
     rows = collect(spark, "op9_training_order", odd_tables)
     assert sorted(r["slot"] for r in rows) == sorted(r["number"] for r in rows) == list(range(len(rows)))
     wanted = Counter()
-    for d, t in {(d, t or "") for d, t, _ in odd.texts()}:  # a row that repeats id and text is written once
+    for d, t in [(d, t or "") for d, t, _ in odd.texts()]:  # rows that repeat id and text are written each
         ids = encode.encode(t, add_special_tokens=False).ids
         for i in range(max(1, -(-len(ids) // (LENGTH - 1)))):
             part = ids[i * (LENGTH - 1) : (i + 1) * (LENGTH - 1)]
