@@ -7,7 +7,7 @@ unknown column, an unknown op or an empty value.
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 
@@ -20,6 +20,7 @@ from ..functions.columns import (
     NUMBER, as_text, data_fields, datetime_columns, is_timestamp, logical_types, ref,
 )
 from ..functions.scalars import number_of, ts_normalize, ts_normalize_text
+from ..session import broadcast_if_small, materialise
 
 COMPARISONS = {
     ">": lambda a, b: a > b,
@@ -168,7 +169,61 @@ def condition(df: DataFrame, column: str, op: str, value="") -> Column | None:
     return None
 
 
+IN_LIST = 1_000  # values named in the plan; more become a table
+
+
+def _typed_value(kind: T.DataType, value):
+    """``value`` as a Python value of a column's type, None when it has none."""
+    if isinstance(kind, T.StringType):
+        return str(value)
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        number = exact_number(value)
+        if number is None or not fits(number, kind):
+            return None
+        return int(number) if isinstance(kind, T.IntegralType) else number
+    if isinstance(kind, T.FractionalType):
+        try:
+            return float(value)
+        except (TypeError, ValueError):
+            return None
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        moment = value if isinstance(value, datetime) else _moment(value)
+        return moment.date() if moment is not None and isinstance(kind, T.DateType) else moment
+    return value
+
+
+def where_in(df: DataFrame, column: str, values) -> DataFrame:
+    """The rows whose cell equals one of a long list, or of a one-column table,
+    of values.
+
+    The values become a written table of the column's type, so the plan does not
+    grow with them: a semi-join that is broadcast only after a count.  Their
+    smallest and largest value are filters of the scan itself."""
+    kind = df.schema[column].dataType
+    spark = df.sparkSession
+    if isinstance(values, DataFrame):
+        listed = values.select(ref(values.columns[0]).try_cast(kind).alias("_in"))
+    else:
+        typed = {v for v in (_typed_value(kind, v) for v in _as_list(values)) if v is not None}
+        listed = spark.createDataFrame([(v,) for v in typed], T.StructType([T.StructField("_in", kind)]))
+    wanted = materialise(listed.where(F.col("_in").isNotNull()).distinct(), "in-list")
+    bounds = wanted.agg(F.min("_in").alias("low"), F.max("_in").alias("high")).first()
+    if bounds["low"] is None:
+        return df.where(F.lit(False))
+    # Moments go as text, which no time zone shifts.
+    low, high = (F.lit(v.isoformat() if isinstance(v, date) else v).cast(kind) for v in bounds)
+    near = ref(column).between(low, high)
+    return df.where(near).join(broadcast_if_small(wanted), ref(column) == F.col("_in"), "left_semi")
+
+
+def long_list(df: DataFrame, item: dict) -> bool:
+    """Is this filter of a spec a list that ``where_in`` should look up?"""
+    return item.get("op") == "in" and item.get("column") in logical_types(df) and len(_as_list(item.get("value", ""))) > IN_LIST
+
+
 def where_op(df: DataFrame, column: str, op: str, value="") -> DataFrame:
+    if long_list(df, {"column": column, "op": op, "value": value}):
+        return where_in(df, column, value)
     test = condition(df, column, op, value)
     return df if test is None else df.where(test)
 

@@ -16,16 +16,17 @@ from ..functions.scalars import number_of, ts_normalize
 from . import annotations, search
 from .ids import OrderedRows, number_sorted
 from .grouping import top_with_flag
-from .predicates import condition, keys_in, normalise_bound, time_range_condition, tree_condition
+from .predicates import condition, keys_in, long_list, normalise_bound, time_range_condition, tree_condition, where_in
 
 PUSHED_KEYS = 10_000  # a larger page joins its keys instead of naming them
 
 
 def spec_condition(df: DataFrame, spec: dict) -> Column | None:
-    """The row-local part of a spec, as one AND."""
+    """The row-local part of a spec, as one AND; lists of values that are long
+    enough to be joined are left to ``apply_spec``."""
     parts = [
         condition(df, f.get("column"), f.get("op", "contains"), f.get("value", ""))
-        for f in spec.get("filters") or []
+        for f in spec.get("filters") or [] if not long_list(df, f)
     ]
     parts.append(tree_condition(df, spec.get("filter_tree")))
     mode, query = spec.get("search_mode", "contains"), (spec.get("search") or "").strip()
@@ -41,9 +42,13 @@ def spec_condition(df: DataFrame, spec: dict) -> Column | None:
 
 
 def apply_spec(df: DataFrame, spec: dict, tags: DataFrame | None = None) -> DataFrame:
-    """The rows a spec selects; row-local tests run before the tag semi-join."""
+    """The rows a spec selects; row-local tests run before the semi-joins with
+    long lists of values and with the tags."""
     test = spec_condition(df, spec)
     out = df if test is None else df.where(test)
+    for f in spec.get("filters") or []:
+        if long_list(df, f):
+            out = where_in(out, f["column"], f["value"])
     if spec.get("tags"):
         if tags is None:
             raise ValueError("A spec that filters by tag needs the tags table")
