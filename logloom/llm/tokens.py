@@ -60,22 +60,15 @@ class Encoder:
         self.words = words
         self._whole = self._fast = None
         if words.ranks:
-            import tiktoken
+            self._fast = byte_ranks(words.ranks)
 
-            with open(words.ranks, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-            self._fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.uint32)
         if self._fast is not None and not any(s in text for s in self.words.special):
-            return self._fast.encode_ordinary(text)
+            return self._fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
         if self._whole is None:
             from tokenizers import Tokenizer
 
             self._whole = Tokenizer.from_file(self.words.path)
-        return self._whole.encode(text, add_special_tokens=False).ids
-
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.array(self.encode(text), np.uint32)
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -166,7 +166,7 @@ def write_order(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
         for batch in batches:
-            counts = [len(encoder.encode(text.as_py())) for text in batch.column("text")]
+            counts = [len(encoder.ids(text.as_py())) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("print"), pa.array(counts, pa.int64())], ["doc_id", "print", "n"]
             )
