@@ -54,18 +54,31 @@ def _checked(df: DataFrame, spec: dict, taken: set[str]) -> dict:
     return {"name": name, "input_column": _find(df, spec["input_column"]).name, "op_id": op.id, "params": params}
 
 
-def _parsed_once(df: DataFrame, checked: list[dict]) -> tuple[DataFrame, dict[str, str]]:
-    """``df`` with a parsed column for every document column that gives more
-    than one JSON field, and the names of those columns by input."""
-    inputs = [d["input_column"] for d in checked if d["op_id"] == "json_field"]
-    shared = {name: f"_document_{i}" for i, name in enumerate(sorted(set(inputs))) if inputs.count(name) > 1}
-    parsed = {alias: documents.as_variant(as_text(df, name)) for name, alias in shared.items()}
-    return df.withColumns(parsed) if parsed else df, shared
-
-
-def _value(df: DataFrame, definition: dict, shared: dict[str, str] | None = None) -> Column:
-    if definition["op_id"] == "json_field" and definition["input_column"] in (shared or {}):
-        return documents.variant_field(F.col(shared[definition["input_column"]]), definition["params"]["path"])
+# What the fields of one document column have in common, and a field of that.
+SHARED = {
+    "json_field": (documents.as_variant, documents.variant_field),
+    "xml_field": (documents.wrapped_xml, documents.wrapped_field),
+}
+
+
+def _parsed_once(df: DataFrame, checked: list[dict]) -> tuple[DataFrame, dict[tuple[str, str], str]]:
+    """``df`` with a parsed column (JSON) or a checked one (XML) for every
+    document column that gives more than one field, and the names of those
+    columns by operation and input."""
+    inputs = [(d["op_id"], d["input_column"]) for d in checked if d["op_id"] in SHARED]
+    shared = {key: f"_document_{i}" for i, key in enumerate(sorted(set(inputs))) if inputs.count(key) > 1}
+    parsed = {alias: SHARED[op][0](as_text(df, name)) for (op, name), alias in shared.items()}
+    if not parsed:
+        return df, shared
+    # An array's only item, so that the fields do not repeat the parse.
+    held = df.select("*", F.explode(F.array(F.struct(*[c.alias(a) for a, c in parsed.items()]))).alias("_documents"))
+    return held.select("*", "_documents.*").drop("_documents"), shared
+
+
+def _value(df: DataFrame, definition: dict, shared: dict[tuple[str, str], str] | None = None) -> Column:
+    key = definition["op_id"], definition["input_column"]
+    if key in (shared or {}):
+        return SHARED[key[0]][1](F.col(shared[key]), definition["params"]["path"])
     op, params = get_op(definition["op_id"]), dict(definition["params"])
     text = as_text(df, definition["input_column"])
     if op.two_input:

@@ -1,8 +1,10 @@
 """Readers, writers and the import stream, run on files written from the given tables."""
 
 import sys
+from functools import reduce
 
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import logical_types, ref
@@ -161,6 +163,67 @@ def _(t):
     return formats.read_format(t.spark, "marked", parts, {"mark": "~"}).drop("source_id", "rid")
 
 
+def _marked_ranges(path, options):
+    import pyarrow.fs
+
+    files, local = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1))
+    return formats.even_ranges(files.get_file_info(local).size, 40_000)
+
+
+def _parse_marked_range(path, options):
+    """Like ``_parse_marked``, for the lines that begin in a byte range."""
+    import io
+
+    import pyarrow.fs
+
+    files, local = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1))
+
+    def rows():
+        with io.BufferedReader(files.open_input_file(local)) as stream:
+            at, stop = options["start"], options["stop"]
+            stream.seek(max(at - 1, 0))
+            if at:  # a line that began earlier belongs to the range before
+                at += len(stream.readline()) - 1
+            while at < stop and (line := stream.readline()):
+                at += len(line)
+                yield line.decode().rstrip("\n").split(options["mark"])
+
+    return {"columns": ["key", "status", "price"], "rows": rows(), "column_types": ["number", "text", "number"]}
+
+
+@query("custom_format_ranges",
+       "SELECT row_number() OVER (ORDER BY o_orderkey) AS rid, o_orderkey::VARCHAR AS key, o_totalprice::VARCHAR AS price, o_orderstatus "
+       "FROM orders QUALIFY o_orderstatus IN ('F', 'P')")
+def _(t):
+    # One file, read in ranges; the reader filters and leaves a column out.
+    path = scratch_path(t.spark, "marked")
+    cells = F.concat_ws("~", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_totalprice").cast("string"))
+    t.raw("orders").orderBy("o_orderkey").coalesce(1).select(cells.alias("value")).write.text(path)
+    parts = [r["path"] for r in files.scan_files(t.spark, path, extensions=[".txt"]).where("status = 'matched'").collect()]
+    formats.register_format(t.spark, "marked_ranges", _parse_marked_range, _marked_ranges)
+    read = formats.read_format(
+        t.spark, "marked_ranges", parts, {"mark": "~"}, columns=["key", "status", "price"], where=[("status", "in", ["F", "P"])]
+    )
+    return read.withColumnRenamed("status", "o_orderstatus").select("rid", "key", "price", "o_orderstatus")
+
+
+@query("read_json_array",
+       "SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS rid, event_id::VARCHAR AS event_id, event_type AS \"what.type\", "
+       "value::VARCHAR AS \"what.value\", props FROM events")
+def _(t):
+    path = scratch_path(t.spark, "array") + ".json"
+    # One line of one file: an array of nested objects, in event order.
+    record = F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.struct(F.col("event_type").alias("type"), F.col("value").cast("string").alias("value")).alias("what"), "props",
+    ))
+    ordered = t.raw("events").orderBy("event_id").coalesce(1).select(F.concat(
+        F.when(F.monotonically_increasing_id() == 0, F.lit("[")).otherwise(F.lit(",")), record).alias("value"))
+    closing = t.spark.range(1).select(F.lit("]").alias("value"))
+    ordered.unionByName(closing).coalesce(1).write.option("lineSep", " ").text(path)
+    return json_records.read_json_records(t.spark, path, "full").drop("source_id")
+
+
 @query("convert_webkit",
        "SELECT event_id, CASE WHEN event_type = 'view' THEN 'none' ELSE strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' END AS visit_time "
        "FROM events")
@@ -244,6 +307,27 @@ def _(t):
     return _read_back(t, path + "/source_id=1")
 
 
+@query("export_tagged_all",
+       f"WITH {TAGS_SQL}, {NOTES_SQL}, {TAG_DEFS_SQL}, named AS ("
+       "SELECT source_id, rid, string_agg(name, '; ' ORDER BY tag_id) AS tags FROM tags JOIN tag_defs ON id = tag_id GROUP BY ALL) "
+       "SELECT source_id, rid::VARCHAR AS \"Line\", tags AS \"Tags\", coalesce(note, '') AS \"Note\", "
+       "coalesce(o_orderpriority, event_type) AS label FROM named LEFT JOIN notes USING (source_id, rid) "
+       "LEFT JOIN orders ON source_id = 1 AND rid = o_orderkey + 1 LEFT JOIN events ON source_id = 2 AND rid = event_id + 1")
+def _(t):
+    path = scratch_path(t.spark, "tagged")
+    sources = [
+        Source(1, "orders", t.orders.select("rid", "o_orderstatus", "o_orderpriority")),
+        Source(2, "events", t.events.select("rid", "event_type", "value", "ts")), Source(3, "customer", t.customer.select("rid", "c_name")),
+    ]
+    done = sinks.export_tagged(sources, path, t.tags, t.tag_defs, t.notes, rows_per_file=500)
+    labels = {1: "o_orderpriority", 2: "event_type"}
+    read = {sid: t.spark.read.option("header", True).option("escape", '"').csv(f"{path}/source_id={sid}") for sid in done}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(sid).alias("source_id"), "Line", "Tags", F.coalesce("Note", F.lit("")).alias("Note"), F.col(labels[sid]).alias("label"))
+        for sid, df in read.items()
+    ])
+
+
 @query("session_round_trip",
        f"WITH {TAGS_SQL}, {NOTES_SQL} SELECT t.source_id, t.rid, tag_id, note FROM tags t LEFT JOIN notes n "
        "ON n.source_id = t.source_id AND n.rid = t.rid WHERE t.source_id = 1")

@@ -31,10 +31,10 @@ class Ingested:
 
 
 def _head_lines(spark: SparkSession, paths: list[str], count: int = 20) -> list[str]:
-    lines = [r["text"] for r in text_lines(spark, paths[:1]).limit(count).collect()]
-    lines = [line.lstrip("\ufeff") for line in lines]
-    while lines and not lines[0].strip():
-        lines.pop(0)
+    """The first lines that are not blank, however many blank ones stand before
+    them."""
+    filled = text_lines(spark, paths[:1]).where(stripped(F.ltrim("text", F.lit("\ufeff"))) != "")
+    lines = [r["text"].lstrip("\ufeff") for r in filled.limit(count).collect()]
     if not lines:
         raise ValueError("The file is empty")
     return lines

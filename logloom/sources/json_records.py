@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.columns import ref
 from ..operators.ids import file_blocks, file_row_ids
-from ..session import case_sensitive, materialise
+from ..session import case_sensitive, materialise, scratch_path
 from .delimited import typed_source
+from .json_array import BLANK, array_items, split_arrays
 from .schema import clean_names
 
 CORRUPT = "_corrupt_record"
@@ -73,27 +74,36 @@ def flatten_objects(df: DataFrame, max_depth: int | None = None) -> DataFrame:
     return df.select(*out)
 
 
+def _lines_or_documents(spark: SparkSession, path: str, by_line: bool) -> DataFrame:
+    """``(text, _file, _block, _seq)``: a line each, or a file each."""
+    return spark.read.text(path, wholetext=not by_line).select(
+        F.btrim("value", F.lit(BLANK)).alias("text"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    ).where(F.col("text") != "").withColumn("_seq", F.monotonically_increasing_id())
+
+
 def _record_table(spark: SparkSession, path: str, max_depth: int | None) -> tuple[DataFrame, list[str], bool]:
     """``(written records, column names, is "value" a key of its own)``."""
     by_line = path.lower().endswith(LINE_EXTENSIONS)
+    arrays, others = (None, []) if by_line else split_arrays(spark, [path])
     reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", CORRUPT)
-    inferred = reader.option("multiLine", not by_line).json(path).schema
+    if arrays is None:
+        located = _lines_or_documents(spark, path, by_line)
+        inferred = reader.option("multiLine", not by_line).json(path).schema
+    else:
+        located = array_items(arrays)
+        if others:
+            located = located.unionByName(_lines_or_documents(spark, path, False).where(F.col("_file").isin(others)))
+        # Items are read three times: for the keys, for the cells, and to be counted.
+        located = materialise(located, "json-items")
+        lines = scratch_path(spark, "json-lines")
+        # Line breaks of a JSON text stand between its tokens only.
+        located.where(F.startswith("text", F.lit("{"))).select(F.translate("text", "\r\n", "  ")).write.text(lines)
+        inferred = reader.json(lines).schema
     objects = T.StructType([f for f in inferred.fields if f.name != CORRUPT])
     schema = cut_schema(objects, max_depth)
 
-    text = spark.read.text(path, wholetext=not by_line)
-    located = text.select(
-        F.btrim("value", F.lit(" \t\r\n﻿")).alias("text"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    ).where(F.col("text") != "")
-    if not by_line:
-        items = F.when(F.startswith("text", F.lit("[")), F.from_json("text", "array<string>"))
-        located = located.select(
-            F.explode(F.coalesce(items, F.array("text"))).alias("text"), "_file", "_block"
-        )
-    located = located.withColumn("_seq", F.monotonically_increasing_id())
-
     is_object = F.startswith("text", F.lit("{"))
     # A broken record stops the import instead of turning into empty cells.
     read = F.from_json("text", schema, {"mode": "FAILFAST"})
@@ -122,8 +132,8 @@ def read_json_records(
     (array, object or scalar).  Columns are the union of all keys; values that
     are no objects land in ``value``.
 
-    A ``.json`` document cannot be split and is one task; use JSON lines for
-    large data."""
+    An array is read by many tasks (see ``json_array``); a document that is no
+    array is one record and so one task."""
     with case_sensitive(spark):
         table, names, own = _record_table(spark, path, _depth(flatten, depth))
     # Only the flag column is read to see whether any record was no object.

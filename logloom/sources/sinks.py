@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, as_text, data_fields
+from ..functions.columns import KEYS, as_text, data_fields, ref
 from ..functions.scalars import csv_safe
 from ..operators.annotations import Annotations, having_tags
+from ..operators.ids import IN_TASK
 from ..operators.timeline import Source
 from ..session import broadcast_if_small
 
@@ -59,20 +61,55 @@ def export_csv(
     _write_csv(rows.orderBy(*order).drop("pos", *KEYS), path)
 
 
+CSV_OPTIONS = {
+    "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+ROWS_PER_FILE = 1_000_000
+
+
+def _csv_line(cells: list[Column]) -> Column:
+    return F.to_csv(F.struct(*cells), CSV_OPTIONS)
+
+
 def export_tagged(
-    sources: list[Source], path: str, tags: DataFrame, tag_defs: DataFrame, notes: DataFrame
+    sources: list[Source], path: str, tags: DataFrame, tag_defs: DataFrame, notes: DataFrame, rows_per_file: int = ROWS_PER_FILE
 ) -> list[int]:
     """A CSV folder ``source_id=<id>`` per source that has tagged rows; returns
-    their ids."""
-    tagged = {r["source_id"] for r in tags.select("source_id").distinct().collect()}
-    done = []
-    for source in sources:
-        if source.id in tagged:
-            mine = tags.where(F.col("source_id") == source.id)
-            rows = export_rows(having_tags(source.keyed(), mine), mine, tag_defs, notes, tagged_only=True)
-            _write_csv(rows.orderBy("rid").drop(*KEYS), f"{path}/source_id={source.id}")
-            done.append(source.id)
-    return done
+    their ids.
+
+    One job writes all of them: each source's rows become lines of its own
+    layout, are cut into ranges of about ``rows_per_file`` rows by rid, and every
+    range is one file that begins with the source's header.  The ranges come
+    from the tags alone: a line per source, with a bound per file."""
+    marked = tags.select(*KEYS).distinct()
+    listed = {s.id: s for s in sources}
+    counts = {r["source_id"]: r["n"] for r in marked.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).collect() if r["source_id"] in listed}
+    if not counts:
+        return []
+    bounds: dict[int, list[int]] = {sid: [] for sid in counts}
+    large = {sid: -(-n // rows_per_file) for sid, n in counts.items() if n > rows_per_file}
+    for files in sorted(set(large.values())):
+        share = F.percentile_approx("rid", [i / files for i in range(1, files)], 10_000).alias("at")
+        chosen = marked.where(F.col("source_id").isin([s for s, f in large.items() if f == files]))
+        bounds |= {r["source_id"]: sorted(set(r["at"])) for r in chosen.groupBy("source_id").agg(share).collect()}
+    frames, base = [], 0
+    for sid in sorted(counts):
+        mine = tags.where(F.col("source_id") == sid)
+        rows = export_rows(having_tags(listed[sid].keyed(), mine), mine, tag_defs, notes, tagged_only=True)
+        cells = [c for c in rows.columns if c not in KEYS]
+        place = F.lit(base)
+        for bound in bounds[sid]:
+            place = place + (F.col("rid") > bound).cast("int")
+        head = _csv_line([F.lit(c).alias(f"c{i}") for i, c in enumerate(cells)])
+        line = _csv_line([ref(c).alias(f"c{i}") for i, c in enumerate(cells)])
+        frames.append(rows.select("source_id", "rid", place.alias("_file"), head.alias("_head"), line.alias("_line")))
+        base += len(bounds[sid]) + 1
+    ordered = reduce(DataFrame.unionByName, frames).repartitionById(base, F.col("_file")).sortWithinPartitions("rid")
+    # A task holds one file's rows, so its first row brings the header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_TASK)) == 0
+    line = F.when(first, F.concat("_head", F.lit("\n"), "_line")).otherwise(F.col("_line"))
+    ordered.select("source_id", line.alias("value")).write.partitionBy("source_id").text(path)
+    return sorted(counts)
 
 
 def export_annotations(

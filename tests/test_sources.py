@@ -261,6 +261,86 @@ def test_custom_format(spark, tmp_path):
     assert [tuple(r) for r in df.where("source_id = 2").orderBy("rid").collect()] == [(2, 1, "7", "y", "", True), (2, 2, "8", "z", "8", True)]
 
 
+def test_custom_format_in_ranges(spark, tmp_path):
+    import os
+    import sys
+
+    from pyspark import cloudpickle
+
+    from logloom.sources.formats import even_ranges, read_format, register_format
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    def ranges(path, options):
+        return even_ranges(os.path.getsize(path), 700)
+
+    def parse(path, options):
+        def rows():
+            with open(path, "rb") as f:
+                at = options["start"]
+                if at:  # a line that began earlier belongs to the range before
+                    f.seek(at - 1)
+                    at += len(f.readline()) - 1
+                while at < options["stop"] and (line := f.readline()):
+                    at += len(line)
+                    yield line.decode().rstrip("\n").split("~")
+
+        return {"columns": ["n", "kind", "rest"], "rows": rows()}
+
+    register_format(spark, "ranged", parse, ranges)
+    a = put(tmp_path, "a.rg", "".join(f"{i}~{'even' if i % 2 == 0 else 'odd'}~{'x' * (i % 50)}\n" for i in range(1, 1001)))
+    b = put(tmp_path, "b.rg", "1~even\n2~odd~y~z\n3~even~q")
+    empty = put(tmp_path, "c.rg", "")
+    raw = spark.read.format("ranged").options(paths=a).load()
+    assert raw.rdd.getNumPartitions() > 30
+    df = read_format(spark, "ranged", [a, b, empty])
+    assert df.where("source_id = 1").count() == 1000 and df.where("source_id = 1 AND rid <> cast(n as int)").count() == 0
+    assert [tuple(r)[1:] for r in df.where("source_id = 2").orderBy("rid").collect()] == [
+        (1, "1", "even", "", True), (2, "2", "odd", "y", True), (3, "3", "even", "q", False)]
+    assert df.where("source_id = 3").count() == 0
+    some = read_format(spark, "ranged", [a, b], columns=["n"], where=[("kind", "equals", "even"), ("n", "in", ["4", "500", "3"])])
+    assert some.columns == ["source_id", "rid", "n", "_ragged"]
+    assert sorted(tuple(r) for r in some.collect()) == [(1, 4, "4", False), (1, 500, "500", False), (2, 3, "3", False)]
+    for wrong in ({"columns": ["nope"]}, {"where": [("kind", "regex", "x")]}, {"where": [("nope", "equals", "x")]}):
+        with pytest.raises(ValueError):
+            read_format(spark, "ranged", [a], **wrong)
+
+
+def test_tagged_export_in_files(spark, tmp_path):
+    rows = [(i, f'cell "{i}", {"=1+1" if i % 2 else " b "}', None if i % 3 else i) for i in range(1, 301)]
+    first = Source(1, "first", spark.createDataFrame(rows, "rid bigint, `a b` string, n int").repartition(3))
+    other = Source(2, "other", spark.createDataFrame([(1, "x\ny"), (2, "z")], "rid bigint, other string"))
+    none = Source(3, "none", spark.createDataFrame([(1, "x")], "rid bigint, q string"))
+    tags = spark.createDataFrame([(1, r, t) for r in range(1, 301) for t in (1, 2) if r % t == 0 and r % 7] + [(2, 1, 1), (9, 1, 1)], "source_id int, rid bigint, tag_id int")
+    defs = spark.createDataFrame([(1, "One", "#1", None)], "id int, name string, color string, hotkey string")
+    notes = spark.createDataFrame([(1, 2, "look; here")], "source_id int, rid bigint, note string")
+    path = str(tmp_path / "t")
+    assert sinks.export_tagged([other, first, none], path, tags, defs, notes, rows_per_file=50) == [1, 2]
+    files = sorted(os.listdir(path + "/source_id=1"))
+    assert sum(f.startswith("part") for f in files) >= 5
+    read = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    got = sorted(read.csv(path + "/source_id=1").collect(), key=lambda r: int(r["Line"]))
+    kept = [r for r in range(1, 301) if r % 7]
+    assert [int(r["Line"]) for r in got] == kept and got[0].asDict().keys() == {"Line", "Tags", "Note", "a b", "n"}
+    assert got[1]["Tags"] == "One; 2" and got[1]["Note"] == "look; here" and got[0]["a b"] == 'cell "1", =1+1'
+    assert [tuple(r) for r in read.csv(path + "/source_id=2").collect()] == [("1", "One", None, "x\ny")]
+    for f in files:  # every file is in order below its header
+        if f.startswith("part"):
+            lines = open(f"{path}/source_id=1/{f}").read().splitlines()
+            numbers = [int(x.split(",")[0]) for x in lines[1:]]
+            assert lines[0] == "Line,Tags,Note,a b,n" and numbers == sorted(numbers)
+    assert sinks.export_tagged([none], str(tmp_path / "u"), tags, defs, notes) == []
+
+
+def test_many_blank_lines_before_the_header(spark, tmp_path):
+    path = put(tmp_path, "blank.csv", "\n" * 25 + " \n\ufeffA;B\n1;2\n\n3;4\n")
+    got = delimited.read_delimited(spark, path)
+    assert got.frame.columns == ["source_id", "rid", "A", "B"]
+    assert [tuple(r)[2:] for r in got.frame.orderBy("rid").collect()] == [("1", "2"), ("", ""), ("3", "4")]
+    with pytest.raises(ValueError):
+        delimited.read_delimited(spark, put(tmp_path, "none.csv", "\n \n"))
+
+
 def test_json_keys_that_differ_by_case_only(spark, tmp_path):
     path = put(tmp_path, "c.jsonl", '{"Id":1,"in":{"a":1}}\n{"id":2,"in":{"A":"x"}}\n')
     rows = json_records.read_json_records(spark, path, "full").orderBy("rid").collect()
