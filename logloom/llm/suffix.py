@@ -30,6 +30,10 @@ however often it holds it, and gets back one bit per key; a document that
 repeats another in full sends nothing.  So no group of copies and no frequent
 passage gathers in one bucket.
 
+The same passes also run over words in place of bytes (``WORDS``): a passage of
+more than 50 words that another document holds too is often shorter than a
+window, so each document's words in such passages are counted beside its spans.
+
 Defined results: a null text is empty; nothing is removed from a text shorter
 than a window; whole texts count, a long one in several parts; a row that repeats a text is a copy of it like any other; a null id is
 passed on; an empty table gives an empty result; other columns do not matter.
@@ -39,6 +43,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,123 +52,185 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_below, materialise, materialise_blocks, query, table
-from .shingles import _POWERS, mix, utf8
+from .shingles import _POWERS, mix, utf8, words_of
 
 WINDOW = 400
 PERIOD = 183
-# A perfect difference set, every residue of 183 is a difference of two.
+# Perfect difference sets, every residue of 183 (of 31) is a difference of two.
 COVER = (0, 12, 19, 20, 22, 43, 60, 71, 76, 85, 89, 115, 121, 168)
-SAMPLED = WINDOW - PERIOD + 1
+WORD_COVER = (1, 5, 11, 24, 25, 27)
 PART = 1 << 20  # bytes of texts handled at once
 DOCS = 4096  # of a chunk at most
 SAMPLE_BUCKET, SUFFIX_BUCKET = 8 << 20, 2 << 20  # bytes of input to a bucket
 
 _U = np.uint64
-_TABLES = [mix(np.arange(1, 257, dtype=_U) * _U(k)) for k in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
+_SALTS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
+_TABLES = [mix(np.arange(1, 257, dtype=_U) * _U(k)) for k in _SALTS]
 
 
-def fingerprints(raw: np.ndarray, first: int, at: np.ndarray, length: int, function: int) -> np.ndarray:
-    """64-bit fingerprints of the strings of ``length`` bytes at ``at``
-    (ascending, from ``first`` on)."""
-    if not len(at):
-        return np.zeros(0, _U)
-    piece = raw[first : int(at[-1]) + length]
-    up, down = _POWERS.upto(len(piece))
-    sums = np.zeros(len(piece) + 1, _U)
-    np.cumsum(_TABLES[function][piece] * up, out=sums[1:])
-    near = at - first
-    return mix((sums[near + length] - sums[near]) * down[near])
+@dataclass(frozen=True)
+class Law:
+    """Strings of ``window`` letters, sampled at a difference cover."""
 
+    number: int
+    window: int
+    period: int
+    cover: tuple[int, ...]
 
-class Chunk:
-    """Texts end to end, and which of them send keys."""
+    @property
+    def sampled(self) -> int:
+        return self.window - self.period + 1
 
-    def __init__(self, row: dict, sample_buckets: int, suffix_buckets: int):
-        self.raw = np.frombuffer(row["bytes"], np.uint8)
-        self.ends = np.cumsum(np.array(row["sizes"], np.int64))
-        self.starts = self.ends - np.array(row["sizes"], np.int64)
-        self.copy = np.zeros(len(self.ends), bool)  # has a copy elsewhere
-        self.silent = np.zeros(len(self.ends), bool)  # and the copy speaks for it
-        for at, owner in zip(row["twin_at"] or [], row["twin_owner"] or []):
-            self.copy[at], self.silent[at] = True, not owner
-        self.sample_bits = int(sample_buckets).bit_length() - 1
-        self.suffix_bits = int(suffix_buckets).bit_length() - 1
+
+BYTES = Law(0, WINDOW, PERIOD, COVER)
+WORDS = Law(1, 51, 31, WORD_COVER)
+
+
+class Letters:
+    """A chunk's texts end to end in a law's letters: bytes, or hashes of words."""
+
+    def __init__(self, law: Law, raw: np.ndarray, sizes: np.ndarray, silent: np.ndarray, sample_bits: int, suffix_bits: int):
+        self.law, self.raw, self.silent = law, raw, silent
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.sample_bits, self.suffix_bits = sample_bits, suffix_bits
 
     @property
     def parts(self) -> range:
-        return range(0, len(self.raw), PART)
+        """Where parts begin; a chunk's words are one part."""
+        return range(0, len(self.raw), PART if self.law is BYTES else max(1, len(self.raw)))
+
+    def last(self, first: int) -> int:
+        return min(first + self.parts.step, len(self.raw))
+
+    def fingerprints(self, first: int, at: np.ndarray, length: int, function: int) -> np.ndarray:
+        """64-bit fingerprints of the strings of ``length`` letters at ``at``
+        (ascending, from ``first`` on)."""
+        if not len(at):
+            return np.zeros(0, _U)
+        piece = self.raw[first : int(at[-1]) + length]
+        values = _TABLES[function][piece] if self.law is BYTES else mix(piece + _U(_SALTS[function]))
+        up, down = _POWERS.upto(len(piece))
+        sums = np.zeros(len(piece) + 1, _U)
+        np.cumsum(values * up, out=sums[1:])
+        near = at - first
+        return mix((sums[near + length] - sums[near]) * down[near])
 
     def _open(self, at: np.ndarray, length: int) -> np.ndarray:
         """Those positions whose string lies within a document that sends."""
         doc = np.searchsorted(self.ends, at, side="right")
         return at[(self.ends[doc] - at >= length) & ~self.silent[doc]]
 
-    def sample(self, first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions of a part, and their keys: bucket and 32 bits."""
-        last = min(first + PART, len(self.raw))
-        grid = np.arange(first - first % PERIOD, last, PERIOD)[:, None] + np.array(COVER)
-        at = self._open(grid.ravel()[(grid.ravel() >= first) & (grid.ravel() < last)], SAMPLED)
-        return at, fingerprints(self.raw, first, at, SAMPLED, 0) >> _U(32 - self.sample_bits)
+    def _bucket(self, bucket: np.ndarray) -> np.ndarray:
+        """Buckets of the two laws are apart."""
+        return 2 * bucket.astype(np.int64) + self.law.number
+
+    def sample(self, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sampled positions of a part, their buckets and keys of 32 bits."""
+        last = self.last(first)
+        grid = (np.arange(first - first % self.law.period, last, self.law.period)[:, None] + np.array(self.law.cover)).ravel()
+        at = self._open(np.sort(grid[(grid >= first) & (grid < last)]), self.law.sampled)
+        keys = self.fingerprints(first, at, self.law.sampled, 0) >> _U(32 - self.sample_bits)
+        return at, self._bucket(keys >> _U(32)), keys.astype(np.uint32)
 
     def suffixes(self, first: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions of a part with a repeated sampled string within reach,
         their buckets and keys."""
-        last = min(first + PART, len(self.raw))
-        near = repeated[(repeated >= first) & (repeated < last + PERIOD)]
+        last, period = self.last(first), self.law.period
+        near = repeated[(repeated >= first) & (repeated < last + period)]
         edge = np.zeros(last - first + 1, np.int64)
-        np.add.at(edge, np.clip(near - PERIOD + 1 - first, 0, last - first), 1)
+        np.add.at(edge, np.clip(near - period + 1 - first, 0, last - first), 1)
         np.add.at(edge, np.clip(near + 1 - first, 0, last - first), -1)
-        at = self._open(np.flatnonzero(np.cumsum(edge[:-1]) > 0) + first, WINDOW)
-        bucket = fingerprints(self.raw, first, at, WINDOW, 1)
-        bucket = (bucket >> _U(64 - self.suffix_bits)).astype(np.int64) if self.suffix_bits else np.zeros(len(at), np.int64)
-        return at, bucket, fingerprints(self.raw, first, at, WINDOW, 2)
+        at = self._open(np.flatnonzero(np.cumsum(edge[:-1]) > 0) + first, self.law.window)
+        bucket = self.fingerprints(first, at, self.law.window, 1)
+        bucket = bucket >> _U(64 - self.suffix_bits) if self.suffix_bits else np.zeros(len(at), _U)
+        return at, self._bucket(bucket), self.fingerprints(first, at, self.law.window, 2)
 
     def sample_marks(self, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
         """Positions of the sampled strings that occur twice."""
         out = [np.zeros(0, np.int64)]
         for first in self.parts:
-            at, keys = self.sample(first)
-            distinct, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            bucket = (distinct >> _U(32)).astype(np.int64)
-            out.append(at[((counts > 1) | _answered(bucket, first, answers))[inverse]])
+            at, bucket, keys = self.sample(first)
+            out.append(np.sort(at[self._twice(first, at, bucket, keys, answers, False)]))
         return np.concatenate(out)
 
     def suffix_marks(self, repeated: np.ndarray, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
-        """Positions whose window occurs twice."""
+        """Positions whose window occurs twice; for words, in another document."""
         out = [np.zeros(0, np.int64)]
         for first in self.parts:
             at, bucket, keys = self.suffixes(first, repeated)
-            if not len(at):
-                continue
-            order, new = _distinct(bucket, keys)
-            counts = np.diff(np.append(np.flatnonzero(new), len(at)))
-            held = bucket[order][new]
-            twice = (counts > 1) | _answered(held, first, answers)
-            out.append(at[order][np.repeat(twice, counts)])
+            out.append(at[self._twice(first, at, bucket, keys, answers, self.law is WORDS)])
         return np.sort(np.concatenate(out))
 
+    def _twice(self, part: int, at: np.ndarray, bucket: np.ndarray, keys: np.ndarray, answers: dict, documents: bool) -> np.ndarray:
+        """Which of a part's strings occur twice in it, or were answered for."""
+        if not len(at):
+            return np.zeros(0, bool)
+        order, new = _distinct(bucket, keys)
+        group = np.cumsum(new) - 1
+        counts = np.bincount(group)
+        if documents:
+            doc = np.searchsorted(self.ends, at[order], side="right")
+            pairs = np.unique(group * np.int64(len(self.ends) + 1) + doc)
+            counts = np.bincount(pairs // (len(self.ends) + 1))
+        twice = (counts > 1) | _answered(bucket[order][new], part, answers)
+        out = np.zeros(len(at), bool)
+        out[order] = twice[group]
+        return out
+
+
+class Chunk:
+    """Texts end to end, and which of them send keys."""
+
+    def __init__(self, row: dict, sample_buckets: int, suffix_buckets: int):
+        raw, sizes = np.frombuffer(row["bytes"], np.uint8), np.array(row["sizes"], np.int64)
+        self.copy = np.zeros(len(sizes), bool)  # has a copy elsewhere
+        silent = np.zeros(len(sizes), bool)  # and the copy speaks for it
+        for at, owner in zip(row["twin_at"] or [], row["twin_owner"] or []):
+            self.copy[at], silent[at] = True, not owner
+        bits = int(sample_buckets).bit_length() - 1, int(suffix_buckets).bit_length() - 1
+        self.bytes = Letters(BYTES, raw, sizes, silent, *bits)
+        words, doc, _ = words_of(raw, self.bytes.ends) if len(raw) else (np.zeros(0, _U), np.zeros(0, np.int64), None)
+        self.words = Letters(WORDS, words, np.bincount(doc, minlength=len(sizes)), silent, *bits)
+        self.laws = (self.bytes, self.words)
+
     def spans(self, repeated: np.ndarray, answers: dict[tuple[int, int], bytes]) -> list[list[tuple[int, int]]]:
         """Maximal removed runs of each document."""
-        starts = self.suffix_marks(repeated, answers)
+        text = self.bytes
+        starts = text.suffix_marks(repeated, answers)
         gap = np.flatnonzero(starts[1:] - starts[:-1] > WINDOW) if len(starts) else np.zeros(0, np.int64)
-        out: list[list[tuple[int, int]]] = [[] for _ in self.ends]
+        out: list[list[tuple[int, int]]] = [[] for _ in text.ends]
         # A gap of exactly a window leaves no byte between; documents part runs too.
-        doc = np.searchsorted(self.ends, starts, side="right")
+        doc = np.searchsorted(text.ends, starts, side="right")
         cut = np.flatnonzero(doc[1:] != doc[:-1]) if len(doc) else gap
         breaks = np.union1d(gap, cut)
         if len(starts):
             firsts, lasts = np.append(0, breaks + 1), np.append(breaks, len(starts) - 1)
             for a, b in zip(firsts, lasts):
                 d = int(doc[a])
-                out[d].append((int(starts[a] - self.starts[d]), int(starts[b] + WINDOW - self.starts[d])))
-        for d in np.flatnonzero(self.copy & (self.ends - self.starts >= WINDOW)):
-            out[d] = [(0, int(self.ends[d] - self.starts[d]))]
+                out[d].append((int(starts[a] - text.starts[d]), int(starts[b] + WINDOW - text.starts[d])))
+        for d in np.flatnonzero(self.copy & (text.ends - text.starts >= WINDOW)):
+            out[d] = [(0, int(text.ends[d] - text.starts[d]))]
         return out
 
+    def shared_words(self, repeated: np.ndarray, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """Per document the words in windows that another document holds too."""
+        words = self.words
+        sizes = words.ends - words.starts
+        covered = np.zeros(len(words.raw) + 1, np.int64)
+        starts = words.suffix_marks(repeated, answers)
+        np.add.at(covered, starts, 1)
+        np.add.at(covered, starts + words.law.window, -1)
+        held = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
+        return np.where(self.copy & (sizes >= words.law.window), sizes, held[words.ends] - held[words.starts])
+
 
 def _distinct(bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by bucket and key, and where a new key begins in it."""
-    order = np.lexsort((keys, bucket))
+    if keys.dtype == np.uint32:  # one number says both
+        order = np.argsort((bucket.astype(_U) << _U(32)) | keys, kind="stable")
+    else:
+        order = np.lexsort((keys, bucket))
     b, k = bucket[order], keys[order]
     return order, np.concatenate(([True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])))
 
@@ -261,8 +328,9 @@ def _size(answers: str) -> Column:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (start, end in bytes) and kept (the bytes that
-    stay) of every row of ``docs`` (doc_id, text).  ``docs`` is read once."""
+    """doc_id, n_bytes, spans (start, end in bytes), kept (the bytes that stay)
+    and n_shared_words (words in runs of 51 or more that another document holds
+    too) of every row of ``docs`` (doc_id, text).  ``docs`` is read once."""
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = materialise_blocks(named.mapInArrow(_pack, CHUNK), "suffix-chunks")
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("sizes", "prints")).alias("at", "d"))
@@ -283,9 +351,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def send_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row, sample_buckets, suffix_buckets)
-            for part in chunk.parts:
-                keys = np.unique(chunk.sample(part)[1])
-                yield _sent(row["chunk"], part, (keys >> _U(32)).astype(np.int64), keys.astype(np.uint32))
+            for letters in chunk.laws:
+                for part in letters.parts:
+                    _, bucket, keys = letters.sample(part)
+                    if len(keys):
+                        order, new = _distinct(bucket, keys)
+                        yield _sent(row["chunk"], part, bucket[order][new], keys[order][new])
 
     sampled = texts.drop("ids").mapInArrow(send_sample, KEYS).groupBy("bucket").applyInArrow(_mark("<u4"), ANSWER)
     ranks = _answer_lists(sampled, "suffix-ranks")
@@ -294,12 +365,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def send_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row, sample_buckets, suffix_buckets)
-            repeated = chunk.sample_marks(_answers(row["ranks"]))
-            for part in chunk.parts:
-                at, bucket, keys = chunk.suffixes(part, repeated)
-                if len(at):
-                    order, new = _distinct(bucket, keys)
-                    yield _sent(row["chunk"], part, bucket[order][new], keys[order][new])
+            answers = _answers(row["ranks"])
+            for letters in chunk.laws:
+                repeated = letters.sample_marks(answers)
+                for part in letters.parts:
+                    at, bucket, keys = letters.suffixes(part, repeated)
+                    if len(at):
+                        order, new = _distinct(bucket, keys)
+                        yield _sent(row["chunk"], part, bucket[order][new], keys[order][new])
 
     sorted_ = texts.drop("ids").mapInArrow(send_suffixes, KEYS).groupBy("bucket").applyInArrow(_mark("<u8"), ANSWER)
     found = _answer_lists(sorted_, "suffix-found")
@@ -308,18 +381,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = Chunk(row, sample_buckets, suffix_buckets)
-            spans = chunk.spans(chunk.sample_marks(_answers(row["ranks"])), _answers(row["found"]))
+            ranks, found = _answers(row["ranks"]), _answers(row["found"])
+            spans = chunk.spans(chunk.bytes.sample_marks(ranks), found)
+            shared = chunk.shared_words(chunk.words.sample_marks(ranks), found)
             kept = []
-            for start, end, cuts in zip(chunk.starts.tolist(), chunk.ends.tolist(), spans):
+            for start, end, cuts in zip(chunk.bytes.starts.tolist(), chunk.bytes.ends.tolist(), spans):
                 edges = [start, *[start + x for span in cuts for x in span], end]
                 kept.append(b"".join(row["bytes"][a:b] for a, b in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()),
                 pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(kept, pa.binary()),
-            ], ["doc_id", "n_bytes", "spans", "kept"])
+                pa.array(kept, pa.binary()), pa.array(shared, pa.int64()),
+            ], ["doc_id", "n_bytes", "spans", "kept", "n_shared_words"])
 
-    return texts.mapInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return texts.mapInArrow(
+        cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, n_shared_words bigint"
+    )
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -334,5 +411,5 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return cleaned.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"), "n_shared_words",
     )

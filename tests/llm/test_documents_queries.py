@@ -69,12 +69,30 @@ def removed_spans(texts, window=400):
         yield covered, int(np.count_nonzero(np.diff(np.concatenate(([0], covered.view(np.int8)))) == 1))
 
 
+def shared_words(texts, window=51):
+    """Per text the words in windows that another row holds too."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for t in texts]  # bytes: only A-Z fold
+    held = defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - window + 1):
+            held[tuple(w[i : i + window])].add(k)
+    out = []
+    for w in words:
+        inside = set()
+        for i in range(len(w) - window + 1):
+            if len(held[tuple(w[i : i + window])]) > 1:
+                inside.update(range(i, i + window))
+        out.append(len(inside))
+    return out
+
+
 def test_suffix(spark, odd_tables):
     texts = [(d, (t or "").encode()) for d, t, _ in odd.texts()]
+    shared = shared_words([t for _, t in texts])
     wanted = Counter()
-    for (d, t), (covered, runs) in zip(texts, removed_spans([t for _, t in texts])):
+    for (d, t), (covered, runs), n in zip(texts, removed_spans([t for _, t in texts]), shared):
         kept = bytes(np.frombuffer(t, np.uint8)[~covered]) if t else b""
-        wanted[d, len(t), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest()] += 1
+        wanted[d, len(t), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest(), n] += 1
     assert Counter(map(tuple, collect(spark, "op2_suffix_dedup", odd_tables))) == wanted
 
 
@@ -87,10 +105,25 @@ def test_suffix_long_text_in_parts(spark, monkeypatch):
     one, two = odd.words(21, 3000), odd.words(22, 2500)
     texts = [one + two, two[50:9000] + one[4000:4700], one[100:499], one[100:500], two, "y" * 12_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in suffix.repeated_spans(docs).collect()}
+    got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"]), r["n_shared_words"]) for r in suffix.repeated_spans(docs).collect()}
     raw = [t.encode() for t in texts]
-    for i, (t, (covered, runs)) in enumerate(zip(raw, removed_spans(raw))):
-        assert got[i] == (bytes(np.frombuffer(t, np.uint8)[~covered]), runs)
+    for i, (t, (covered, runs), n) in enumerate(zip(raw, removed_spans(raw), shared_words(raw))):
+        assert got[i] == (bytes(np.frombuffer(t, np.uint8)[~covered]), runs, n)
+
+
+def test_shared_passages(spark):
+    """A passage counts where another document holds it, however short it is in
+    bytes, and not where a text repeats itself."""
+    from logloom.llm import suffix
+
+    passage, other = " ".join("ab" for _ in range(3)) + " " + odd.words(31, 52), odd.words(32, 60)
+    texts = [
+        "x " + " ".join(passage.split()[:51]), passage.upper() + " end", " ".join(passage.split()[:50]), other + " | " + other, "a b " * 26, None, "",
+        *[odd.words(40 + i, 200) for i in range(20)],
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["n_shared_words"] for r in suffix.repeated_spans(docs).collect()}
+    assert got == dict(enumerate(shared_words([(t or "").encode() for t in texts]))) and got[0] == got[1] == 51 and got[3] == 0
 
 
 def test_quality(spark, odd_tables):
