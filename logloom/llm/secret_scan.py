@@ -6,19 +6,20 @@ its encoding is the smallest known alphabet that holds all its symbols, and
 three tests ask whether it looks like uniform draws from that alphabet: a
 chi-squared test of the symbol counts, a runs test of the halves of the
 alphabet, and the serial correlation of neighbours.  Their combined p-value is
-uniform on 0..1 for random strings and near 0 for patterns and most words; below
-``LEAST`` a string is not random.
-
-A word may pass the three by chance, so the rest is tested against words: its
-chance under the fixed model of ``words`` over its chance under uniform draws
-from its encoding.  Among words that ratio falls below x at most with
-probability x, whatever the string's length, so it is a p-value of being a word,
-and its inverse an e-value.  False discoveries (words taken for random strings)
-are controlled by Benjamini-Hochberg over these for each encoding and length
-class by itself, which for e-values holds among copies too.  A lone random
+uniform on 0..1 for random strings and near 0 for patterns and most words.
+
+Which strings are not random is decided by Benjamini-Hochberg over these
+p-values in each encoding and length class by itself, at ``KEEP``: of the strings
+that are ruled out, no larger share is random.  What remains may still be a word
+that passed by chance, so a stated filter follows: a string's chance under the
+fixed model of ``words`` over its chance under uniform draws from its encoding.
+Among words that ratio falls below x at most with probability x, whatever the
+string's length, so it is a p-value of being a word, and its inverse an e-value;
+Benjamini-Hochberg over these, again by encoding and length class and at
+``RATE``, bounds the share of words among what is reported.  A lone random
 string is found like one of many, and repeating a table changes nothing.  Only
-the bounded table of counts (encoding, length class, whole nats) comes to the
-driver.
+the bounded table of counts (encoding, length class, p-value in half nats, whole
+nats against words) comes to the driver.
 
 Everything is column expressions; no Python runs on the executors.
 
@@ -60,9 +61,10 @@ ALPHABETS = {
     "mixed": UPPER + LOWER + DIGITS + "+/-_",
 }
 LENGTHS = (20, 24, 28, 32, 40, 48, 64, 96, 128, 256)  # lower ends of the length classes
-LEAST = 0.0001  # of the battery's p-value
+KEEP = 0.001  # of what the battery rules out, the share that may be random
+HALVES = 60  # a p-value of exp(-30) or less counts as that
 NATS = 60  # a word's p-value of exp(-60) or less counts as that
-RATE = 0.02
+RATE = 0.02  # of what is reported, the share that may be words
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 RUN = 256  # matches whose places are added up in one array
@@ -175,8 +177,9 @@ def _log_chance(at: Column) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """struct(encoding int, n int, p double, far int) of a token: ``p`` among
-    random strings, and among words exp(-far) or less, 0 for what ``p`` rules out."""
+    """struct(encoding int, n int, odd int, far int) of a token: its p-value
+    among random strings is exp(-odd / 2) or less, but for ``odd`` of 0 or
+    ``HALVES`` not by a half nat; among words it is exp(-far) or less."""
     body = F.rtrim(token, F.lit("="))
     tested = F.transform(
         F.array(F.struct(body.alias("s"), _encoding(body).alias("e"))),
@@ -218,15 +221,12 @@ def randomness(token: Column) -> Column:
         # The chi-squared part counts on one side only: half of the time it is 0.
         p = (_tail2(q) + _tail3(q)) / 2
         nats = F.greatest(F.lit(0.0), F.least(F.lit(float(NATS)), -x["words"] - n * F.log(k)))
-        return F.struct(x["e"].alias("encoding"), n.alias("n"), F.least(p, F.lit(1.0)).alias("p"), nats.alias("nats"))
+        halves = F.least(F.lit(float(HALVES)), -2 * F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300))))
+        return F.struct(
+            x["e"].alias("encoding"), n.alias("n"), F.floor(halves).cast("int").alias("odd"), F.floor(nats).cast("int").alias("far")
+        )
 
-    return F.transform(F.transform(sums, combine), lambda x: F.struct(
-        x["encoding"].alias("encoding"), x["n"].alias("n"), x["p"].alias("p"),
-        F.when(x["p"] >= LEAST, F.floor(x["nats"])).otherwise(0).cast("int").alias("far"),
-    ))[0]
-
-
-CANDIDATES = "array<struct<start:int,end:int,encoding:int,n:int,far:int>>"
+    return F.transform(sums, combine)[0]
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -236,7 +236,7 @@ def candidates(text: Column, base: Column) -> Column:
 
     def test(r: Column) -> Column:
         t = randomness(r["token"])
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), t["encoding"].alias("encoding"), t["n"].alias("n"), t["far"].alias("far"))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), t["encoding"].alias("encoding"), t["n"].alias("n"), t["odd"].alias("odd"), t["far"].alias("far"))
 
     return F.transform(free, test)
 
@@ -250,32 +250,61 @@ def _length_class(n: Column) -> Column:
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Whole nats below 1 from which a word's p-value counts as a random
-    string's, by encoding and length class."""
+    """By encoding and length class: half nats from which the battery rules a
+    string out, and whole nats from which it is no word."""
 
-    least: dict[tuple[int, int], int]
+    limits: dict[tuple[int, int], tuple[int, int]]
 
     def accept(self, c: Column) -> Column:
-        if not self.least:
+        if not self.limits:
             return F.lit(False)
-        entries = [F.lit(v) for (e, s), far in sorted(self.least.items()) for v in (e * 100 + s, far)]
-        low = F.element_at(F.create_map(*entries), c["encoding"] * 100 + _length_class(c["n"]))
-        return F.coalesce(c["far"] >= low, F.lit(False))
+        classes = c["encoding"] * 100 + _length_class(c["n"])
+        odd, far = (
+            F.element_at(F.create_map(*[F.lit(v) for (e, s), two in sorted(self.limits.items()) for v in (e * 100 + s, two[i])]), classes)
+            for i in (0, 1)
+        )
+        return F.coalesce((c["odd"] < odd) & (c["far"] >= far), F.lit(False))
+
+
+def ruled_out(counts: list[int], rate: float) -> int:
+    """Benjamini-Hochberg over p-values counted by half nats: the fewest half
+    nats that are ruled out.  A p-value counts as the largest of its half nat."""
+    for odd in range(1, HALVES + 1):
+        rejected = sum(counts[odd:])
+        if rejected and sum(counts) * math.exp(-odd / 2) <= rate * rejected:
+            return odd
+    return HALVES + 1
+
+
+def reported(counts: list[int], rate: float) -> int:
+    """The same over p-values of being a word, counted by whole nats."""
+    for far in range(1, NATS + 1):
+        if 0 < sum(counts) * math.exp(-far) <= rate * sum(counts[far:]):
+            return far
+    return NATS + 1
+
+
+def thresholds_of(table: dict[tuple[int, int], dict[tuple[int, int], int]], keep: float = KEEP, rate: float = RATE) -> Thresholds:
+    """Limits from counts by class, and in each by (odd, far)."""
+    limits = {}
+    for key, found in table.items():
+        odds = [0] * (HALVES + 1)
+        for (odd, _), n in found.items():
+            odds[odd] += n
+        limit, fars = ruled_out(odds, keep), [0] * (NATS + 1)
+        for (odd, far), n in found.items():
+            fars[far if odd < limit else 0] += n  # what is ruled out counts as words
+        limits[key] = (limit, reported(fars, rate))
+    return Thresholds(limits)
 
 
 def fit_thresholds(tested: Column, rows: DataFrame, rate: float = RATE) -> Thresholds:
-    """Benjamini-Hochberg in each encoding and length class of all rows."""
+    """The limits from all rows, through one table of counts."""
     one = rows.select(F.explode(tested).alias("c")).select("c.*")
-    counts: dict[tuple[int, int], list[int]] = {}
-    for r in one.groupBy("encoding", _length_class(F.col("n")).alias("class"), "far").count().collect():
-        counts.setdefault((r["encoding"], r["class"]), [0] * (NATS + 1))[r["far"]] = r["count"]
-    least = {}
-    for key, found in counts.items():
-        for far in range(1, NATS + 1):
-            if 0 < sum(found) * math.exp(-far) <= rate * sum(found[far:]):
-                least[key] = far
-                break
-    return Thresholds(least)
+    table: dict[tuple[int, int], dict[tuple[int, int], int]] = {}
+    for r in one.groupBy("encoding", _length_class(F.col("n")).alias("class"), "odd", "far").count().collect():
+        table.setdefault((r["encoding"], r["class"]), {})[r["odd"], r["far"]] = r["count"]
+    return thresholds_of(table, rate=rate)
 
 
 def _written(spans: Column) -> Column:
@@ -295,10 +324,12 @@ def _with_random(base: Column, tested: Column, thresholds: Thresholds) -> Column
 
 def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> tuple[DataFrame, Thresholds]:
     """(row, base, spans): the whole row, its base spans and all its spans.
-    ``docs`` is read twice: pass a table."""
+
+    The rows are written once with what was tested in them, since the limits
+    come from all of them."""
     rows = docs.select(F.struct("*").alias("row"), text_or_empty(F.col(text)).alias("text"))
-    based = rows.withColumn("base", base_spans(F.col("text")))
-    tested = based.withColumn("tested", candidates(F.col("text"), F.col("base")))
+    based = rows.select("row", "text", base_spans(F.col("text")).alias("base"))
+    tested = materialise(based.select("row", "base", candidates(F.col("text"), F.col("base")).alias("tested")), "secrets")
     thresholds = fit_thresholds(F.col("tested"), tested, rate)
     return tested.select("row", "base", _with_random(F.col("base"), F.col("tested"), thresholds).alias("spans")), thresholds
 

@@ -2,33 +2,19 @@
 
 A fixed chain over the 66 token characters: lower case, upper case, digits and
 separators follow each other at set rates, and a letter follows a letter as in
-the words of a public vocabulary, three parts in ten as if alone.  No input is
-looked at, so a string is judged alike in any table.
+the entries of a public vocabulary file, three parts in ten as if alone.  No
+input is looked at, so a string is judged alike in any table.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from functools import cache
 
 LOWER, UPPER, DIGITS, MARKS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/-_"
 SYMBOLS = LOWER + UPPER + DIGITS + MARKS
 
-# For every letter the surprise of each next one, in quarters of a nat to base 36.
-PAIRS = (
-    "ffcddjeicsh9d8fes9b8fhkogm" "9hih7njk9mn8ie9jw9ceamorgt"
-    "9nfi8nj9aycckf7kqbe9dnprhs" "alhe5mgj7oneheaktcbfchkrgs"
-    "bkd9cigjetmbe9fgn79chgjhip" "9nii8bjk7ynbje9kvaecbnprht"
-    "amih6nea9yncicbkw9cecnprgt" "7lih6njj8wnfhe8krcebdmlrft"
-    "chbdaheketkce6agqcaaiepnlj" "8mhh6nijbxnfje7jveee7morks"
-    "blih5kih7yndjcdivd9efmlrft" "9lhe7kik8yk9ieaiwfdcdjorbt"
-    "7dii6mjk8yngde9awfdfdmorit" "alba9i8japigjdcjqfa8ginrip"
-    "dheedifjdsibc6cev8ccbgfmjq" "9mih7njcaynajf9cw8dbdnprit"
-    "dmhhcnijdxnfjeejpeee2morks" "8jfe6kfj9xiffdaitdbbeinres"
-    "blci8ljb9yiegebdofa7cmjrht" "amgi7mjb7yneiebjvabcdnlrep"
-    "cfdebjekculac8feu89ailpoko" "8nii4ojk7yngjfbkvfffimprjt"
-    "7khg7ljc8yjeja9jvcceimorjt" "albh9mjf8xngiee7oef8emlhgs"
-    "bhce9lhjaxnbcaabvc8bhmirkm" "8jhh5nig9xndieajveeeelorec"
-)
 # What follows a kind of character, and what comes first: lower, upper, digit, mark.
 STEPS = {
     "first": (0.5, 0.3, 0.15, 0.05), "lower": (0.92, 0.03, 0.015, 0.035), "upper": (0.35, 0.55, 0.03, 0.07),
@@ -40,13 +26,37 @@ def _kind(symbol: str) -> int:
     return next(k for k, held in enumerate((LOWER, UPPER, DIGITS, MARKS)) if symbol in held)
 
 
-def log_steps() -> list[float]:
+ALONE = 0.3  # of a letter's chance, whatever is before it
+
+
+def vocabulary_file() -> str:
+    """The file whose entries say how letters follow each other."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@cache
+def letter_pairs(path: str) -> tuple[tuple[float, ...], ...]:
+    """For every letter the chances of the next one, over the vocabulary's
+    entries that are three letters or more, case folded."""
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    counts = [[1.0] * 26 for _ in range(26)]
+    for entry in entries:
+        word = entry.lstrip("\u0120").lower()  # the mark of a space before the entry
+        if len(word) >= 3 and word.isascii() and word.isalpha():
+            for a, b in zip(word, word[1:]):
+                counts[LOWER.index(a)][LOWER.index(b)] += 1
+    total = sum(map(sum, counts))
+    alone = [sum(row[j] for row in counts) / total for j in range(26)]
+    return tuple(tuple((1 - ALONE) * x / sum(row) + ALONE * alone[j] for j, x in enumerate(row)) for row in counts)
+
+
+def log_steps(path: str | None = None) -> list[float]:
     """Logarithms of the chances of each symbol at the start, then after each
     symbol: ``1 + len(SYMBOLS)`` runs in the order of ``SYMBOLS``."""
-    pairs = []
-    for i in range(26):
-        row = [math.exp(-int(c, 36) / 4) for c in PAIRS[26 * i : 26 * i + 26]]
-        pairs.append([x / sum(row) for x in row])
+    pairs = letter_pairs(path or vocabulary_file())
     alone = [1 / 26] * 26
     for _ in range(50):
         alone = [sum(alone[i] * pairs[i][j] for i in range(26)) for j in range(26)]

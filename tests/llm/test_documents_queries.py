@@ -357,6 +357,77 @@ def test_random_strings_are_found(spark):
     assert sum(d < 1000 for d in found) > 190 and sum(d >= 1000 for d in found) <= 5
 
 
+def plain_tests(token):
+    """(encoding, length, half nats, nats) of a token by the textbook formulas."""
+    import math
+
+    from logloom.llm.secret_scan import ALPHABETS, HALVES, NATS
+    from logloom.llm.words import SYMBOLS, log_steps
+
+    s = token.rstrip("=")
+    encoding, alphabet = next((i, a) for i, a in enumerate(ALPHABETS.values()) if set(s) <= set(a))
+    n, k = len(s), len(alphabet)
+    at = [alphabet.index(c) for c in s]
+    counts = Counter(s)
+    chi2 = sum((counts[c] - n / k) ** 2 / (n / k) for c in alphabet)
+    chi = (chi2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    turns = sum((2 * a >= k) != (2 * b >= k) for a, b in zip(at, at[1:]))
+    runs = (turns - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    mean = (k - 1) / 2
+    serial = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:])) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    q = max(chi, 0) ** 2 + runs**2 + serial**2
+    tail3 = math.erfc(math.sqrt(q / 2)) + math.sqrt(2 * q / math.pi) * math.exp(-q / 2)
+    p = (math.exp(-q / 2) + tail3) / 2  # of two squares, or of three, half of the time each
+    steps, before, words = log_steps(), 0, 0.0
+    for c in s:
+        words += steps[before * len(SYMBOLS) + SYMBOLS.index(c)]
+        before = SYMBOLS.index(c) + 1
+    return encoding, n, min(HALVES, -2 * math.log(max(min(p, 1.0), 1e-300))), max(0.0, min(NATS, -words - n * math.log(k)))
+
+
+def plain_random(tokens):
+    """Which tokens are reported, by sorted p-values in place of counts."""
+    import math
+
+    from logloom.llm.secret_scan import KEEP, LENGTHS, RATE
+
+    tested = [plain_tests(t) for t in tokens]
+    classes = defaultdict(list)
+    for i, (e, n, odd, far) in enumerate(tested):
+        classes[e, sum(n >= low for low in LENGTHS)].append(i)
+    out = set()
+    for members in classes.values():
+        def stepped(values, rate):
+            """Benjamini-Hochberg: the largest value that is rejected."""
+            ordered = sorted(values)
+            good = [v for i, v in enumerate(ordered) if v <= rate * sum(x <= v for x in ordered) / len(ordered)]
+            return max(good, default=-1)
+
+        odd = {i: math.exp(-math.floor(tested[i][2]) / 2) for i in members}  # as they are counted
+        limit = stepped([p if p < 1 else 2 for p in odd.values()], KEEP)
+        word = {i: math.exp(-math.floor(tested[i][3])) if odd[i] > limit else 2 for i in members}
+        reject = stepped([w if w < 1 else 2 for w in word.values()], RATE)
+        out |= {i for i in members if word[i] <= reject}
+    return out
+
+
+def test_random_spans_against_a_plain_program(spark):
+    import random
+
+    from logloom.llm.secret_scan import ALPHABETS, scan
+
+    rng = random.Random(12)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a in ALPHABETS.values() for n in (20, 23, 33, 64, 130) for _ in range(4)]
+    parts = ["keit", "lich", "ung", "heit", "tion", "elle", "ing", "The", "Order", "docs/", "file-", "max_", "2024"]
+    tokens += ["".join(rng.choice(parts) for _ in range(rng.randint(6, 30))) for _ in range(150)] + ["ab" * 15, "0" * 40, "abcdefghijklmnopqrstuvwxyz"]
+    tokens = [t for t in tokens if len(t) >= 20 and not re.search("[0-9a-f]{24}", t)]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(tokens)], "doc_id bigint, text string").repartition(3)
+    scanned, _ = scan(docs)
+    got = {r["row"]["doc_id"] for r in scanned.where("exists(spans, s -> s.kind = 3)").collect()}
+    wanted = plain_random(tokens)
+    assert got == wanted and 100 < len(wanted) < len(tokens) - 100
+
+
 @pytest.mark.parametrize("times", [1, 10, 100])
 def test_lone_random_key_among_words(spark, times):
     """What is reported depends on the string, not on how often others occur."""
