@@ -63,6 +63,8 @@ PART = 1 << 20  # bytes of texts handled at once
 DOCS = 4096  # of a chunk at most
 SAMPLE_BUCKET, SUFFIX_BUCKET = 8 << 20, 2 << 20  # bytes of input to a bucket
 
+WORD_BITS = 2  # bits by which words have fewer buckets than bytes
+
 _U = np.uint64
 _SALTS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
 _TABLES = [mix(np.arange(1, 257, dtype=_U) * _U(k)) for k in _SALTS]
@@ -191,7 +193,8 @@ class Chunk:
         bits = int(sample_buckets).bit_length() - 1, int(suffix_buckets).bit_length() - 1
         self.bytes = Letters(BYTES, raw, sizes, silent, *bits)
         words, doc, _ = words_of(raw, self.bytes.ends) if len(raw) else (np.zeros(0, _U), np.zeros(0, np.int64), None)
-        self.words = Letters(WORDS, words, np.bincount(doc, minlength=len(sizes)), silent, *bits)
+        # There are some six times fewer words than bytes, so they get fewer buckets.
+        self.words = Letters(WORDS, words, np.bincount(doc, minlength=len(sizes)), silent, *(max(0, b - WORD_BITS) for b in bits))
         self.laws = (self.bytes, self.words)
 
     def spans(self, repeated: np.ndarray, answers: dict[tuple[int, int], bytes]) -> list[list[tuple[int, int]]]:
