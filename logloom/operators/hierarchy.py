@@ -114,6 +114,10 @@ def resolve_paths(files: DataFrame, root_entry: int = ROOT_ENTRY, hot_rows: int
 
 def join_journal(journal: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Journal records with the file they speak about, matched on entry and
-    sequence number; a file changed all the time is a hot key."""
-    journal = materialise(journal, "journal")
-    return join_hot_keys(journal, files, ["entry", "seq"], hot_rows, journal.limit(hot_rows + 1).count())
+    sequence number; a file changed all the time is a hot key.
+
+    A journal with too few rows for a hot key is joined as it is; a longer one
+    is written, since the search for hot keys reads it again."""
+    if journal.limit(hot_rows + 1).count() <= hot_rows:
+        return journal.join(files, ["entry", "seq"], "left")
+    return join_hot_keys(materialise(journal, "journal"), files, ["entry", "seq"], hot_rows)

@@ -163,6 +163,27 @@ def _(t):
     return d.remove_derived(d.add_derived(again, "extra", "raw", "compact_ymd"), "extra").select("event_id", "moment")
 
 
+@query("remove_derived",
+       f"SELECT event_id, raw, strftime(ts, '{SEC}') AS kept FROM (SELECT *, strftime(ts, '%Y%m%d%H%M%S') AS raw FROM events)")
+def _(t):
+    rows = t.text("events", event_id="event_id", raw="date_format(ts, 'yyyyMMddHHmmss')")
+    both = d.add_derived(d.add_derived(rows, "kept", "raw", "compact_ymd"), "extra", "raw", "compact_ymd", {"utc_offset": "+02:00"})
+    return d.remove_derived(both, "extra").drop("source_id", "rid")
+
+
+@query("replay_definitions",
+       f"SELECT o_orderkey, strftime(o_orderdate, '{SEC}') AS day, o_orderstatus || ': ' || 2 AS note FROM orders")
+def _(t):
+    # Definitions recorded on one source are made again on another one; two cannot be.
+    events = t.text("events", raw="date_format(ts, 'yyyyMMddHHmmss')", other="event_type")
+    first = d.add_derived(d.add_derived(events, "day", "raw", "compact_ymd"), "gone", "other", "iso8601")
+    recorded = [*d.definitions(first), {"name": "odd", "input_column": "raw", "op_id": "no_such_op"}]
+    orders = t.text("orders", o_orderkey="o_orderkey", o_orderstatus="o_orderstatus", raw="date_format(o_orderdate, 'yyyyMMddHHmmss')")
+    again, warnings = d.replay_definitions(orders, recorded)
+    note = F.concat("o_orderstatus", F.lit(f": {len(warnings)}")).alias("note")
+    return again.select("o_orderkey", "day", note)
+
+
 # -------------------------------------------------------------- scalar forms
 
 @query("ts_normalize",

@@ -1,5 +1,6 @@
 """Grouping, tags, notes, timeline, sweeps and graphs over the given tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -253,9 +254,22 @@ def _(t):
 
 
 @query("merged_tag_defs",
-       "SELECT * FROM (VALUES (1, 'Urgent'), (2, 'big'), (3, 'Aside'), (4, 'unused'), (5, 'Late')) v(id, name) WHERE (SELECT count(*) FROM orders) > 0")
-def _(t):
-    merged = ann.merge_annotations(ann.Annotations(t.tag_defs, t.tags, t.notes), _incoming(t))
+       "WITH mine AS (SELECT CAST(row_number() OVER (ORDER BY name) AS INT) AS id, name FROM (SELECT DISTINCT c_mktsegment AS name FROM customer)), "
+       "theirs AS (SELECT 100 + row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT lower(c_mktsegment) AS name FROM customer "
+       "WHERE c_mktsegment < 'H' UNION SELECT DISTINCT event_type FROM events)) "
+       "SELECT * FROM mine UNION ALL SELECT CAST((SELECT max(id) FROM mine) + row_number() OVER (ORDER BY id) AS INT), name FROM theirs "
+       "WHERE lower(name) NOT IN (SELECT lower(name) FROM mine)")
+def _(t):
+    def defined(names, first):
+        numbered = names.distinct().withColumn("id", (F.row_number().over(Window.orderBy("name")) + first).cast("int"))
+        return numbered.select("id", "name", F.lit("#111111").alias("color"), F.lit(None).cast("string").alias("hotkey"))
+
+    segments = t.raw("customer").select(F.col("c_mktsegment").alias("name"))
+    theirs = segments.where("name < 'H'").select(F.lower("name").alias("name")).union(t.raw("events").select("event_type"))
+    other = _incoming(t)
+    merged = ann.merge_annotations(
+        ann.Annotations(defined(segments, 0), t.tags, t.notes), ann.Annotations(defined(theirs, 100), other.tags, other.notes)
+    )
     return merged.tag_defs.select("id", "name")
 
 

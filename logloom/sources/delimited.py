@@ -89,17 +89,17 @@ def _carried(rows: DataFrame, scope, order: str) -> DataFrame:
     ).drop("_mark", "_total", "_before")
 
 
-def _stitched(lines: DataFrame, sep: str) -> DataFrame:
-    """Records of lines whose quoted fields hold line breaks.
+def _owned(lines: DataFrame, sep: str) -> DataFrame:
+    """Every line with the place of the record it belongs to.
 
     Each split is walked by itself, for either state it may begin in; one row
-    per split then says which it was.  Only the lines of records that span
-    several are gathered, by record."""
+    per split then says which it was.  A ``_cut`` line is a record of its own,
+    whatever it leaves open."""
     opens = F.col("text").rlike(_open_field(sep))
     rest = F.regexp_extract("text", r'^[^"]*+(?:""[^"]*+)*+"(.*)$', 1)
     closes = F.col("text").rlike(r'^[^"]*+(?:""[^"]*+)*+"(?!")')
     reopens = F.concat(F.lit("x"), rest).rlike(_open_field(sep))
-    from_out, from_in = opens, ~closes | reopens
+    from_out, from_in = opens & ~F.col("_cut"), (~closes | reopens) & ~F.col("_cut")
     judged = lines.withColumn("_sets", F.when(from_out == from_in, from_out)).withColumn(
         "_turns", F.when(from_out & ~from_in, 1).otherwise(0)
     )
@@ -125,38 +125,62 @@ def _stitched(lines: DataFrame, sep: str) -> DataFrame:
         "_carry", F.last("_own", ignorenulls=True).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     )
     owned = started.join(broadcast_if_small(materialise(starts.select("_file", "_block", "_carry"), "starts")), ["_file", "_block"]).select(
-        "text", "_file", place.alias("at"), F.coalesce("_first", "_carry").alias("record"),
+        "text", "_file", "_cut", place.alias("at"), F.coalesce("_first", "_carry").alias("record"),
         # A line is a record of its own when it begins and ends outside quotes.
         (~F.col("_inside") & ~F.coalesce("_sets", F.col("_turns") == 1)).alias("whole"),
     )
-    owned = materialise(owned, "owned")
-    dense = Window.partitionBy("_file", "_block").orderBy("_seq")
-    single = owned.where("whole").select("text", "_file", F.col("at.block").alias("_block"), F.col("at.seq").alias("_seq"))
+    return materialise(owned, "owned")
+
+
+def _stitched(lines: DataFrame, sep: str, max_lines: int) -> DataFrame:
+    """Records of lines whose quoted fields hold line breaks; only the lines of
+    records that span several are gathered, by record.
+
+    A quote that is not closed within ``max_lines`` lines was never meant to be:
+    its line is cut off as a record of its own, and the walk begins again behind
+    it.  A round cuts the first such line of every file."""
+    lines = lines.withColumn("_cut", F.lit(False))
+    while True:
+        owned = _owned(lines, sep)
+        sizes = owned.where("NOT whole").groupBy("_file", "record").agg(F.count(F.lit(1)).alias("n"))
+        open_ = materialise(sizes.where(F.col("n") > max_lines).groupBy("_file").agg(F.min("record").alias("_at")), "open-quotes")
+        if open_.isEmpty():
+            break
+        here = (F.col("_block") == F.col("_at.block")) & (F.col("_seq") == F.col("_at.seq"))
+        lines = lines.join(broadcast_if_small(open_), "_file", "left").withColumn("_cut", F.col("_cut") | F.coalesce(here, F.lit(False))).drop("_at")
+    block = Window.partitionBy("_file", "_block")
+    dense = block.orderBy("_seq")
+    single = owned.where("whole").select("text", "_cut", "_file", F.col("at.block").alias("_block"), F.col("at.seq").alias("_seq"))
     parts = owned.where("NOT whole").groupBy("_file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
     joined = parts.select(
-        F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), "_file",
+        F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), F.lit(False).alias("_cut"), "_file",
         F.col("record.block").alias("_block"), F.col("record.seq").alias("_seq"),
     )
     return single.unionByName(joined).withColumn("_seq", F.row_number().over(dense).cast("bigint"))
 
 
-def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    """``(text, _file, _block, _seq)``: one row per record, line breaks inside
-    quotes included.  Lines are records unless some line leaves a quote open,
-    which one scan tells."""
+MAX_LINES = 10_000  # of a record, unless a caller knows better
+
+
+def records(spark: SparkSession, paths: list[str], sep: str, max_lines: int = MAX_LINES) -> DataFrame:
+    """``(text, _cut, _file, _block, _seq)``: one row per record, line breaks
+    inside quotes included.  Lines are records unless some line leaves a quote
+    open, which one scan tells; ``_cut`` marks a line whose quote is not closed
+    within ``max_lines`` lines."""
     lines = text_lines(spark, paths)
     opened = lines.where(F.contains("text", F.lit('"')) & F.col("text").rlike(_open_field(sep)))
-    return lines if opened.isEmpty() else _stitched(materialise(lines, "lines"), sep)
+    return lines.withColumn("_cut", F.lit(False)) if opened.isEmpty() else _stitched(materialise(lines, "lines"), sep, max_lines)
 
 
 def parse_delimited(
-    spark: SparkSession, paths: list[str], names: list[str], delimiter: str, has_header: bool = True,
+    spark: SparkSession, paths: list[str], names: list[str], delimiter: str, has_header: bool = True, max_lines: int = MAX_LINES,
 ) -> DataFrame:
     """A written table: text columns, ``_ragged``, ``_file``, ``_block`` and ``_seq``.
 
-    A blank line is a ragged row of empty cells.  With a header, each file's
+    A blank line is a ragged row of empty cells, and a line whose quote is not
+    closed within ``max_lines`` lines a ragged row.  With a header, each file's
     first line that is not blank is left out, and the blank lines before it."""
-    rows = records(spark, paths, delimiter).withColumn("text", F.ltrim("text", F.lit("\ufeff")))
+    rows = records(spark, paths, delimiter, max_lines).withColumn("text", F.ltrim("text", F.lit("\ufeff")))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     blank = stripped(F.col("text")) == ""
@@ -164,7 +188,7 @@ def parse_delimited(
     cells = [F.coalesce(F.col(f"_cells.c{i}"), F.lit("")) for i in range(len(names))]
     cells[0] = F.when(blank, F.col("text")).otherwise(cells[0])
     cells = [c.alias(n) for c, n in zip(cells, names)]
-    ragged = blank & ((F.col("text") == "") | F.lit(len(names) > 1)) | F.coalesce(F.col(f"_cells.{CORRUPT}").isNotNull(), F.lit(False))
+    ragged = F.col("_cut") | blank & ((F.col("text") == "") | F.lit(len(names) > 1)) | F.coalesce(F.col(f"_cells.{CORRUPT}").isNotNull(), F.lit(False))
     written = materialise(
         parsed.select(*cells, ragged.alias("_ragged"), "_file", "_block", "_seq", blank.alias("_blank")), "parsed"
     )
@@ -190,20 +214,21 @@ def typed_source(
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], delimiter: str | None = None, has_header: bool = True,
-    column_types: dict[str, str] | None = None, source_id: int = 1,
+    column_types: dict[str, str] | None = None, source_id: int = 1, max_lines: int = MAX_LINES,
 ) -> Ingested:
     """One source from one file (or several parts of one layout).
 
     Everything stays text; short rows are padded and long rows cut, blank lines
     are rows without cells, and all three are counted.  Quoted cells may hold
-    line breaks.  The parse is written once; row ids, types and the count come
+    line breaks, up to ``max_lines`` lines; a quote left open for longer spoils
+    its own line only, which is counted too.  The parse is written once; row ids, types and the count come
     from the written table."""
     paths = [path] if isinstance(path, str) else list(path)
     lines = _head_lines(spark, paths)
     delimiter = delimiter or sniff_delimiter(lines)
     head = next(csv.reader(lines, delimiter=delimiter))
     names = clean_names(head if has_header else [None] * len(head))
-    parsed = parse_delimited(spark, paths, names, delimiter, has_header)
+    parsed = parse_delimited(spark, paths, names, delimiter, has_header, max_lines)
     blocks = file_blocks(parsed, per_file=False)
     numbered = file_row_ids(parsed, blocks).select("rid", *[ref(n) for n in names])
     frame = typed_source(numbered, source_id, numbered, column_types)

@@ -74,7 +74,7 @@ def flatten_objects(df: DataFrame, max_depth: int | None = None) -> DataFrame:
     return df.select(*out)
 
 
-def _lines_or_documents(spark: SparkSession, path: str, by_line: bool) -> DataFrame:
+def _lines_or_documents(spark: SparkSession, path: str | list[str], by_line: bool) -> DataFrame:
     """``(text, _file, _block, _seq)``: a line each, or a file each."""
     return spark.read.text(path, wholetext=not by_line).select(
         F.btrim("value", F.lit(BLANK)).alias("text"),
@@ -83,10 +83,11 @@ def _lines_or_documents(spark: SparkSession, path: str, by_line: bool) -> DataFr
     ).where(F.col("text") != "").withColumn("_seq", F.monotonically_increasing_id())
 
 
-def _record_table(spark: SparkSession, path: str, max_depth: int | None) -> tuple[DataFrame, list[str], bool]:
-    """``(written records, column names, is "value" a key of its own)``."""
-    by_line = path.lower().endswith(LINE_EXTENSIONS)
-    arrays, others = (None, []) if by_line else split_arrays(spark, [path])
+def _record_table(spark: SparkSession, paths: list[str], max_depth: int | None) -> tuple[DataFrame, list[str], bool]:
+    """``(written records, column names, is "value" a key of its own)``; the
+    paths are all of lines, or none is."""
+    path, by_line = paths, paths[0].lower().endswith(LINE_EXTENSIONS)
+    arrays, others = (None, []) if by_line else split_arrays(spark, paths)
     reader = spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", CORRUPT)
     if arrays is None:
         located = _lines_or_documents(spark, path, by_line)
@@ -124,6 +125,25 @@ def _record_table(spark: SparkSession, path: str, max_depth: int | None) -> tupl
     return table, names, own is not None
 
 
+def line_shapes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(_file, shape)``: the keys and kinds of values of every file of JSON
+    lines, by one scan over all of them."""
+    lines = _lines_or_documents(spark, paths, True)
+    return lines.groupBy("_file").agg(F.schema_of_variant_agg(F.try_parse_json("text")).alias("shape"))
+
+
+def read_line_files(spark: SparkSession, paths: list[str], flatten: str = "none", depth: int = 0) -> DataFrame:
+    """Files of JSON lines that have the same keys, read by one scan: ``_file``,
+    ``rid`` dense in each file, and the cells."""
+    with case_sensitive(spark):
+        table, names, own = _record_table(spark, paths, _depth(flatten, depth))
+    if not own and table.where("_plain").isEmpty():
+        names.pop()
+    if not names or table.isEmpty():
+        raise ValueError("The files hold no records")
+    return file_row_ids(table, file_blocks(table)).select("_file", "rid", *[ref(n) for n in names])
+
+
 def read_json_records(
     spark: SparkSession, path: str, flatten: str = "none", depth: int = 0, source_id: int = 1,
     column_types: dict[str, str] | None = None,
@@ -135,7 +155,7 @@ def read_json_records(
     An array is read by many tasks (see ``json_array``); a document that is no
     array is one record and so one task."""
     with case_sensitive(spark):
-        table, names, own = _record_table(spark, path, _depth(flatten, depth))
+        table, names, own = _record_table(spark, [path], _depth(flatten, depth))
     # Only the flag column is read to see whether any record was no object.
     if not own and table.where("_plain").isEmpty():
         names.pop()

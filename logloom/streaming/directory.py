@@ -6,6 +6,7 @@ import csv
 import hashlib
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,12 @@ from ..operators.detect import infer_types
 from ..operators.ids import file_blocks, file_row_ids
 from ..sources.delimited import literal_path, parse_delimited, sniff_delimiter, text_lines
 from ..sources.files import JSON_EXTENSIONS
-from ..sources.json_records import read_json_records
+from ..sources.json_records import LINE_EXTENSIONS, line_shapes, read_json_records, read_line_files
 from ..sources.schema import clean_names
 
+# What a broken file raises; inside a batch Spark's own errors may come unconverted.
+UNREADABLE = (ValueError, PySparkException, Py4JJavaError)
+
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
@@ -49,6 +53,19 @@ def layouts(heads: dict[str, str], delimiter: str | None = None) -> dict[tuple[s
     return found
 
 
+def json_groups(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """Files of JSON lines by their keys: those of one shape are read by one
+    scan.  A shape per listed file comes back."""
+    if len(paths) < 2:
+        return []
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    shapes = line_shapes(spark, [literal_path(p) for p in paths])
+    found: dict[str, list[str]] = {}
+    for r in shapes.join(F.broadcast(listed), same_file(F.col("_file"), F.col("path"))).select("path", "shape").collect():
+        found.setdefault(r["shape"], []).append(r["path"])
+    return [sorted(files) for _, files in sorted(found.items()) if len(files) > 1]
+
+
 REGISTRY = (
     "source_id int, path string, kind string, layout string, columns string, types string, reason string"
 )
@@ -98,11 +115,28 @@ def ingest_directory_stream(
         for path in paths:
             if path not in heads and path not in json_files:
                 registry.append((ids[path], path, "csv", None, "[]", "{}", "the file holds no line"))
+        together = json_groups(session, [p for p in json_files if p.lower().endswith(LINE_EXTENSIONS)])
+        for files in together:
+            known = session.createDataFrame([(p, ids[p]) for p in files], "_path string, source_id int")
+            try:
+                frame = read_line_files(session, [literal_path(f) for f in files], flatten)
+                names = tuple(c for c in frame.columns if c not in ("_file", "rid"))
+                label = layout_label("json", names)
+                located = frame.join(F.broadcast(known), same_file(F.col("_file"), F.col("_path"))).select(
+                    "source_id", "rid", *[ref(n) for n in names], F.lit(False).alias("_ragged")
+                )
+                types = _types(frame.select(*[ref(n) for n in names]))
+            except UNREADABLE:
+                continue  # a broken file among them: each is read by itself below
+            write(located, label)
+            registry += [(ids[p], p, "json", label, json_names(names), types, None) for p in files]
+            json_files = [p for p in json_files if p not in set(files)]
         for path in json_files:
             try:
                 frame = read_json_records(session, literal_path(path), flatten, source_id=ids[path])
-            except (ValueError, PySparkException) as e:
-                registry.append((ids[path], path, "json", None, "[]", "{}", str(e).splitlines()[0][:500]))
+            except UNREADABLE as e:
+                said = e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else str(e)
+                registry.append((ids[path], path, "json", None, "[]", "{}", (said or "unreadable").splitlines()[0][:500]))
                 continue
             names = tuple(c for c in frame.columns if c not in KEYS)
             label = layout_label("json", names)
@@ -136,7 +170,8 @@ def _clear(spark: SparkSession, data: str, batch_id: int) -> None:
     """Empty what a failed run of this batch has left: each layout's folder of
     the batch is overwritten by no rows before rows are appended."""
     try:
-        left = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(data)
+        # Only this batch's folders are listed, whatever was imported before.
+        left = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{data}/layout=*/batch={batch_id}")
     except AnalysisException:
         return
     folders = left.select(F.regexp_extract("path", f"^(.*/batch={batch_id})/", 1).alias("f")).where("f <> ''").distinct()

@@ -235,6 +235,39 @@ def test_directory_stream_loses_no_file(spark, tmp_path):
     assert rows("j.jsonl") == [(1, "1", '{"c":"d"}'), (2, "2", "")] or rows("j.jsonl")[0][:2] == (1, "1")
 
 
+def test_directory_stream_reads_json_files_of_one_shape_together(spark, tmp_path, monkeypatch):
+    from logloom.streaming import directory
+
+    root, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    for i in range(6):
+        put(root, f"a {i}.jsonl", "".join(f'{{"id":{j},"host":"h{i}"}}\n' for j in range(i + 1)))
+    put(root, "b.ndjson", '{"id":1,"in":{"x":2}}\n7\n')
+    put(root, "bad.jsonl", '{"id":1,"host":"z"}\n{"id":\n')
+    put(root, "bad2.jsonl", '{"id":1,"host":"z"}\n')
+    put(root, "blank.jsonl", "\n\n")
+    put(root, "one.json", '[{"id":1,"host":"q"},{"id":2,"host":"r"}]')
+    single = []
+    whole = directory.read_json_records
+    monkeypatch.setattr(directory, "read_json_records", lambda s, p, *a, **k: single.append(os.path.basename(p)) or whole(s, p, *a, **k))
+    ingest_directory_stream(spark, root, out, mark).awaitTermination()
+    registry = {os.path.basename(r["path"]): r for r in spark.read.parquet(out + "/sources").collect()}
+    assert len(registry) == 11 and registry["bad.jsonl"]["reason"] and registry["blank.jsonl"]["reason"]
+    label = registry["a 0.jsonl"]["layout"]
+    rows = spark.read.parquet(f"{out}/data/layout={label}").collect()
+    by_file = {n: sorted((x["rid"], x["id"], x["host"]) for x in rows if x["source_id"] == r["source_id"]) for n, r in registry.items()}
+    for i in range(6):
+        assert by_file[f"a {i}.jsonl"] == [(j + 1, str(j), f"h{i}") for j in range(i + 1)]
+    assert by_file["one.json"] == [(1, "1", "q"), (2, "2", "r")] and by_file["bad2.jsonl"] == [(1, "1", "z")] and by_file["bad.jsonl"] == []
+    # A broken file sends its group to be read one by one.
+    assert {"bad.jsonl", "one.json", "b.ndjson"} <= set(single)
+    later = str(tmp_path / "later")
+    for i in range(4):
+        put(later, f"{i}.jsonl", f'{{"k":{i}}}\n')
+    single.clear()
+    ingest_directory_stream(spark, later, str(tmp_path / "out2"), str(tmp_path / "mark2")).awaitTermination()
+    assert single == [] and spark.read.parquet(str(tmp_path / "out2") + "/sources").count() == 4
+
+
 def test_custom_format(spark, tmp_path):
     import sys
 
@@ -332,6 +365,22 @@ def test_tagged_export_in_files(spark, tmp_path):
     assert sinks.export_tagged([none], str(tmp_path / "u"), tags, defs, notes) == []
 
 
+def test_quotes_that_are_never_closed(spark, tmp_path):
+    lines = [f"{i};note {i}" for i in range(400)]
+    lines[20] = '20;"left open'
+    lines[150] = '150;"two\nlines"'
+    lines[300] = '300;"open again'
+    path = put(tmp_path, "open.csv", "N;Note\n" + "\n".join(lines) + "\n")
+    got = delimited.read_delimited(spark, path, max_lines=50)
+    rows = {r["N"]: r["Note"] for r in got.frame.collect()}
+    assert got.frame.count() == 400 and got.ragged_rows == 2
+    assert sorted(r["rid"] for r in got.frame.collect()) == list(range(1, 401))
+    assert rows["150"] == "two\nlines" and rows["21"] == "note 21" and rows["399"] == "note 399" and "left open" in rows["20"]
+    # Without a limit in reach the rest of the file is one cell, as quoting has it.
+    whole = delimited.read_delimited(spark, put(tmp_path, "rest.csv", 'N;Note\n1;a\n2;"b\n3;c\n'))
+    assert whole.frame.count() == 2
+
+
 def test_many_blank_lines_before_the_header(spark, tmp_path):
     path = put(tmp_path, "blank.csv", "\n" * 25 + " \n\ufeffA;B\n1;2\n\n3;4\n")
     got = delimited.read_delimited(spark, path)
