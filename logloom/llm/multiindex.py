@@ -5,7 +5,8 @@ lies in the cell of its nearest pair of centroids.  A vector is compared with
 the cells that a multi-sequence traversal visits first: pairs of centroids in
 the order of the summed distances.  How many cells are visited follows from the
 target recall: on perturbed sample vectors exactly at the threshold, the worst
-case, that share of partners must lie in visited cells.  A pair counts when
+case, that share of partners must lie in visited cells; these vectors are held
+out from the codebooks, and there is no limit short of all cells.  A pair counts when
 either vector visits the other's cell, and only after its cosine was computed in
 double precision.
 
@@ -42,6 +43,8 @@ from .components import connected_components
 TRAIN_ROWS = 8192
 CELL_ROWS = 64
 MOST_CENTROIDS = 1024
+HELD_SHARE = 8  # one in so many sample vectors measures the recall, and fits nothing
+FIRST_CELLS = 64  # tried at first
 DATA_ROWS = 1024
 QUERY_ROWS = 4096
 TARGET_RECALL = 0.99
@@ -103,18 +106,31 @@ class MultiIndex:
         return order_a[np.arange(len(x))[:, None], i[first]] * len(self.second) + order_b[np.arange(len(x))[:, None], j[first]]
 
 
-def visits_for(index: MultiIndex, sample: np.ndarray, cosine: float, recall: float, most: int) -> int:
+def visits_for(index: MultiIndex, held: np.ndarray, cosine: float, recall: float) -> int:
     """Cells to visit so that a partner exactly at ``cosine`` is met from either
-    side with probability ``recall``, measured on perturbed sample vectors."""
-    x = sample[:1024]
-    noise = np.random.default_rng(11).normal(size=x.shape)
-    noise -= (noise * x).sum(1, keepdims=True) * x
-    y = cosine * x + np.sqrt(1 - cosine**2) * unit(noise)
-    rank = np.full(len(x), most)
-    for p, q in ((x, y), (y, x)):
-        met = index.traverse(p, most) == index.home(q)[:, None]
-        rank = np.minimum(rank, np.where(met.any(1), met.argmax(1) + 1, most))
-    return int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]) if len(rank) else 1
+    side with probability ``recall``, measured on perturbed vectors that the
+    codebooks were not fitted on.
+
+    Ever more cells are tried until the recall is reached, all of them at last,
+    where every partner is met."""
+    if not len(held):
+        return 1
+    noise = np.random.default_rng(11).normal(size=held.shape)
+    noise -= (noise * held).sum(1, keepdims=True) * held
+    y = cosine * held + np.sqrt(1 - cosine**2) * unit(noise)
+    place, every = min(len(held) - 1, int(np.ceil(recall * len(held)))), len(index.first) * len(index.second)
+    most = min(FIRST_CELLS, every)
+    while True:
+        rank = np.full(len(held), every + 1)
+        for p, q in ((held, y), (y, held)):
+            met = index.traverse(p, most) == index.home(q)[:, None]
+            rank = np.minimum(rank, np.where(met.any(1), met.argmax(1) + 1, every + 1))
+        visits = int(np.sort(rank)[place])
+        if visits <= most:
+            return visits
+        if most == every:
+            raise RuntimeError("A partner lies in no cell")
+        most = min(4 * most, every)
 
 
 def fit_index(classes: DataFrame, cosine: float, recall: float = TARGET_RECALL, train_rows: int = TRAIN_ROWS) -> MultiIndex:
@@ -127,10 +143,13 @@ def fit_index(classes: DataFrame, cosine: float, recall: float = TARGET_RECALL,
     if not sample:
         x[:] = 1.0
     x = unit(x)
+    # Rows come in the order of a hash, so any part of them is a sample.
+    held = x[: max(1, len(x) // HELD_SHARE)][:1024]
+    x = x[len(held) :] if len(x) > 2 * HELD_SHARE else x
     size = int(np.clip(round(((row["n"] or 1) / CELL_ROWS) ** 0.5), 2, min(MOST_CENTROIDS, len(x) + 1)))
     half = width // 2
     index = MultiIndex(fit_codebook(x[:, :half], size), fit_codebook(x[:, half:], size), width, 1)
-    return MultiIndex(index.first, index.second, width, visits_for(index, x, cosine, recall, min(256, size * size)))
+    return MultiIndex(index.first, index.second, width, visits_for(index, held, cosine, recall))
 
 
 def _coded(classes: DataFrame, index: MultiIndex) -> DataFrame:

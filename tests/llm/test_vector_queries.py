@@ -96,3 +96,27 @@ def test_traversal_order():
     every = (a[:, :, None] + b[:, None, :]).reshape(20, -1)
     for row, cells, sums in zip(range(20), index.traverse(x, 10), every):
         assert np.allclose(sums[cells], np.sort(sums)[:10])
+
+
+def test_visits_reach_the_recall_without_a_cap():
+    """Vectors without structure in few dimensions need most of the grid; the
+    measured share of partners in visited cells is what was asked for."""
+    from logloom.llm import multiindex
+
+    rng = np.random.default_rng(6)
+    x = multiindex.unit(rng.normal(size=(3000, 64)))
+    books = [multiindex.fit_codebook(x[:1000, half], 40, 3) for half in (slice(0, 32), slice(32, 64))]
+    index = multiindex.MultiIndex(*books, 64, 1)
+    needed = []
+    for cosine, recall in ((0.93, 0.9), (0.3, 0.9), (0.0, 0.99)):
+        visits = multiindex.visits_for(index, x[1000:2000], cosine, recall)
+        fresh = x[2000:]
+        noise = rng.normal(size=fresh.shape)
+        noise -= (noise * fresh).sum(1, keepdims=True) * fresh
+        y = cosine * fresh + np.sqrt(1 - cosine**2) * multiindex.unit(noise)
+        met = np.zeros(len(fresh), bool)
+        for p, q in ((fresh, y), (y, fresh)):
+            met |= (index.traverse(p, visits) == index.home(q)[:, None]).any(1)
+        assert met.mean() >= recall - 0.04
+        needed.append(visits)
+    assert needed[0] < needed[1] < needed[2] and needed[2] > 256
