@@ -93,7 +93,7 @@ def _statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     _, repeated, _ = _repeats(line_doc, lines, line_bytes, n)
     line_count = np.bincount(line_doc, minlength=n)
     capital = np.bincount(doc, weights=_KINDS[0][raw[first]], minlength=n) if len(first) else np.zeros(n)
-    after = _KINDS[5][raw[1:]] == 1
+    after = (_KINDS[5][raw[1:]] == 1) & (doc_of[1:] == doc_of[:-1])
     ends_marked = np.bincount(doc_of[:-1][after], weights=_KINDS[3][raw[:-1]][after] + (raw[:-1][after] == 33), minlength=n) if len(raw) > 1 else np.zeros(n)
     solid = size - space
     total_pairs = np.maximum(words - 1, 0)
@@ -168,18 +168,18 @@ def fit(labelled: DataFrame) -> Model | None:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 + d + len(at[0])
-        total = np.zeros((2, size))
+        total = np.zeros((2, size), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("x").flatten().to_numpy().reshape(-1, d).astype(float)
+            x = batch.column("x").flatten().to_numpy().reshape(-1, d)
             y = batch.column("y").to_numpy(zero_copy_only=False)
             for c in (0, 1):
                 part = x[y == c]
                 total[c] += np.concatenate([[len(part)], part.sum(0), (part.T @ part)[at]])
         yield pa.RecordBatch.from_arrays([
             pa.array(np.repeat([0, 1], size), pa.int32()), pa.array(np.tile(np.arange(size), 2), pa.int32()),
-            pa.array(total.ravel().astype(np.int64)),
+            pa.array(total.ravel()),
         ], ["y", "i", "v"])
 
     sums = labelled.select("x", "y").mapInArrow(partial, "y int, i int, v bigint")

@@ -135,6 +135,69 @@ def test_quality(spark, odd_tables):
     assert len({r["score"] for r in rows if r["doc_id"] in (0, 1)}) == 1  # null and empty are alike
 
 
+def plain_statistics(text):
+    """The classifier's statistics of one text, counted one by one."""
+    import math
+
+    b = (text or "").encode()
+    marks, space = b".,;:'\"!?()-", b" \t\n\x0b\x0c\r"
+    words = [m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    folded = [w.lower() for w in words]
+    n, pairs = len(words), Counter(zip(folded, folded[1:]))
+    solid = sum(c not in space for c in b)
+    lines = [(m.start(), m.group().lower()) for m in re.finditer(rb"[^\n\r]+", b)]
+    repeated, seen = 0, set()
+    for (start, line), stop in zip(lines, [s for s, _ in lines[1:]] + [len(b)]):
+        repeated += stop - start if line in seen else 0
+        seen.add(line)
+    symbol = lambda c: 33 <= c < 127 and not chr(c).isalnum() and c not in marks
+    rate = lambda part, whole, usual, weight: math.log((part + usual * weight) / (whole + weight))
+    columns = [
+        math.log(n + 20), rate(solid, n, 5.0, 20), rate(sum(65 <= c <= 90 for c in b), solid, 0.02, 100),
+        rate(sum(48 <= c <= 57 for c in b), solid, 0.002, 100), rate(sum(c in marks for c in b), solid, 0.03, 100),
+        rate(sum(map(symbol, b)), solid, 0.002, 100), rate(sum(c >= 192 for c in b), solid, 0.02, 100),
+        rate(len(set(folded)), n, 1.0, 20), rate(max(Counter(folded).values(), default=0), n, 0.06, 20),
+        rate(len(pairs), max(n - 1, 0), 1.0, 20), rate(repeated, len(b), 0.002, 500), rate(len(b), len(lines), 200.0, 3),
+        rate(sum(65 <= w[0] <= 90 for w in words), n, 0.1, 20),
+        rate(sum((symbol(x) + (x == 33)) for x, y in zip(b, b[1:]) if y in space), n, 0.002, 20),
+    ]
+    return [int(np.rint(c * 4096)) for c in columns]
+
+
+def plain_scores(docs, labels):
+    """Regularised quadratic discriminant analysis with numpy's own covariance."""
+    from logloom.llm.quality import OWN, SHARED
+
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 3 == 1
+    said = defaultdict(set)
+    for d, q, *_ in labels:
+        if d is not None and q in (0, 1) and not held(d):
+            said[d].add(q)
+    x = np.array([plain_statistics(t) for _, t in docs]) / 4096
+    of = [[i for i, (d, _) in enumerate(docs) if said.get(d) == {c}] for c in (0, 1)]
+    if min(map(len, of)) < 2:
+        return [0.5] * len(docs)
+    own = [np.cov(x[at].T, bias=True) for at in of]
+    pooled = sum(c * len(at) for c, at in zip(own, of)) / sum(map(len, of))
+    density = []
+    for c, at in zip(own, of):
+        s = SHARED * (OWN * c + (1 - OWN) * pooled) + (1 - SHARED) * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        gap = x - x[at].mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(s), gap) - 0.5 * np.linalg.slogdet(s)[1])
+    z = (density[1] - density[0] + np.log(len(of[1]) / len(of[0]))) / x.shape[1]
+    return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+
+
+def test_quality_against_a_plain_fit(spark, odd_tables):
+    labels = [tuple(r) for r in spark.read.parquet(f"{odd_tables}/labels.parquet").collect()]
+    docs = [(d, t) for d, t, _ in odd.texts()]
+    wanted = sorted(((d is not None, d or 0, round(s, 6)) for (d, _), s in zip(docs, plain_scores(docs, labels))))
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, round(r["score"], 6)) for r in collect(spark, "op3_quality", odd_tables))
+    assert len({s for _, _, s in wanted}) > 20
+    for a, b in zip(got, wanted):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     scores = {r["doc_id"]: r for r in collect(spark, "op3_quality", folder)}
