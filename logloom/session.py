@@ -68,6 +68,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 SPREAD_BYTES = 4 << 30
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The size that Spark plans with; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give costly per-row work all cores when a small input arrives in a few
     unsplittable pieces (one row group per file).  Decided on the planned size,
@@ -75,7 +80,7 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = planned_bytes(df)
     split = 128 << 20
     cores = spark.sparkContext.defaultParallelism
     if size > SPREAD_BYTES or size >= cores * split:
