@@ -45,6 +45,44 @@ def test_kdtree_shards(spark):
         assert [got[q][r] for r in range(1, 10)] == [(i, scores[q, i]) for i in order]
 
 
+def test_kdtree_regions():
+    """Every vector falls into one region, and few of them into each."""
+    from logloom.llm.kdtree import Regions, fit_regions
+
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.integers(-100, 100, (2000, 5)), np.tile(rng.integers(-100, 100, 5), (1000, 1))])
+    regions = fit_regions(points, 40)
+    sizes = np.bincount(regions.of(points), minlength=regions.count)
+    assert regions.count == 40 and sizes.sum() == 3000 and np.sort(sizes)[-2] < 200  # the copies stay together
+    assert fit_regions(points[:20], 40).count == 1 and fit_regions(np.zeros((500, 3), int), 9).count == 1
+    assert Regions([], 1).of(points).tolist() == [0] * 3000 and fit_regions(np.zeros((0, 4), int), 3).count == 1
+
+
+def test_kdtree_prunes_pairs_on_clustered_vectors(spark, monkeypatch):
+    """Blocks visit less than a tenth of the shards, with the same results."""
+    from pyspark.sql import functions as F
+
+    from logloom.llm import kdtree
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 12)) * 400
+    points = np.rint(np.concatenate([c + rng.normal(size=(60, 12)) * 4 for c in centres])).astype(int)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, v array<bigint>")
+    seen = []
+    reached = kdtree.reached_pairs
+    monkeypatch.setattr(kdtree, "reached_pairs", lambda b, s: seen.append((reached(b, s), b.count() * s.count())) or seen[-1][0])
+    got = {}
+    for r in kdtree.top_k(df, F.col("vec_id") % 6 == 0, k=5, shard_rows=40, query_rows=16).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    scores = points @ points.T
+    for q in range(0, len(points), 6):
+        order = sorted((i for i in range(len(points)) if i != q), key=lambda i: (-scores[q, i], i))[:5]
+        assert [got[q][r] for r in range(1, 6)] == [(i, scores[q, i]) for i in order]
+    pairs, every = seen[0]
+    print("visited", pairs.count(), "of", every)
+    assert every > 1000 and pairs.count() < every / 10
+
+
 def brute_links(rows, cosine=0.93):
     """(n_links, component) of each row by comparing all pairs."""
     ok = [finite(v) and any(v) and label is not None for _, v, label in rows]
