@@ -6,7 +6,7 @@ visits boxes best first, by the largest score any point of the box could have,
 and leaves off when that is below its k-th score so far.
 
 Shards are regions of space: the upper levels of a KD-tree, fitted on
-``SAMPLE_ROWS`` vectors picked by hash, deal all vectors, and a region with more
+at most ``SAMPLE_ROWS`` vectors picked by hash, deal all vectors, and a region with more
 than ``SHARD_ROWS`` of them (many copies of one vector, say) is several shards.
 Queries of one region form blocks of at most ``QUERY_ROWS``.  A block starts in
 its own region; with the k-th scores found there it meets the shards' boxes, and
@@ -38,6 +38,7 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 512
 LEAF_ROWS = 256
 SAMPLE_ROWS = 16_384
+REGION_SAMPLE = 128  # vectors drawn for a region, as far as the sample goes
 REGION_ROWS = 16  # sample vectors of a region at least
 BOXES = 1024  # shards whose boxes a block meets at once
 
@@ -184,7 +185,7 @@ def _dealt(rows: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame]:
     for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per vector length
         # Half a shard on average, so that few regions need more than one.
         wanted = 1 if r["n"] <= shard_rows else -(-2 * r["n"] // shard_rows)
-        sample = [] if wanted == 1 else rows.where(F.col("dim") == r["dim"]).select("v").orderBy(F.xxhash64("v", "vec_id")).limit(SAMPLE_ROWS).collect()
+        sample = [] if wanted == 1 else rows.where(F.col("dim") == r["dim"]).select("v").orderBy(F.xxhash64("v", "vec_id")).limit(min(SAMPLE_ROWS, wanted * REGION_SAMPLE)).collect()
         regions[r["dim"]] = fit_regions(np.array([x["v"] for x in sample], np.int64).reshape(len(sample), r["dim"]), wanted)
 
     @F.arrow_udf("bigint")
