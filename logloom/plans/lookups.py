@@ -53,7 +53,7 @@ def _words(t):
 
 @query("match_term_table",
        f"WITH {WORDS_SQL}, blobs AS (SELECT doc_id, lower({DOCUMENT_BLOB}) AS b FROM documents) "
-       "SELECT term, count(*) AS rows, sum(doc_id) AS ids FROM blobs, terms WHERE term <> '' AND contains(b, lower(term)) GROUP BY term")
+       "SELECT term, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM blobs, terms WHERE term <> '' AND contains(b, lower(term)) GROUP BY term")
 def _(t):
     postings = search.write_postings(t.documents, scratch_path(t.spark, "postings"))
     hits = search.match_term_table(t.documents, postings, _words(t))
@@ -73,7 +73,7 @@ def _(t):
 
 
 TREE_SQL = """
-    SELECT *, row_number() OVER (PARTITION BY level, {parent} ORDER BY count DESC, {own}) AS position,
+    SELECT *, CAST(row_number() OVER (PARTITION BY level, {parent} ORDER BY count DESC, {own}) AS INT) AS position,
            count(*) OVER (PARTITION BY level, {parent}) > {limit} AS truncated
     FROM (SELECT {level} AS level, {columns}, count(*) AS count FROM {source} GROUP BY {group})
     QUALIFY position <= {limit}"""
@@ -97,8 +97,8 @@ levels AS (
     SELECT 1 AS level, o_orderstatus, NULL AS tag_id, count(*) AS count FROM held GROUP BY o_orderstatus
     UNION ALL SELECT 2, o_orderstatus, tag_id, count(*) FROM tagged GROUP BY o_orderstatus, tag_id)
 SELECT level, o_orderstatus, tag_id AS tag, count, false AS truncated,
-       row_number() OVER (PARTITION BY level, CASE level WHEN 2 THEN o_orderstatus END ORDER BY count DESC,
-           CASE level WHEN 1 THEN o_orderstatus END, tag_id NULLS FIRST) AS position
+       CAST(row_number() OVER (PARTITION BY level, CASE level WHEN 2 THEN o_orderstatus END ORDER BY count DESC,
+           CASE level WHEN 1 THEN o_orderstatus END, tag_id NULLS FIRST) AS INT) AS position
 FROM levels""")
 def _(t):
     tree = grouping.group_tree(t.orders, ["o_orderstatus", grouping.TAG_COLUMN], tags=t.tags)
