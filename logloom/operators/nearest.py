@@ -51,20 +51,25 @@ def _around(entries: DataFrame, asked: DataFrame) -> DataFrame:
     merged = rows.groupBy("s").agg(F.min("here").alias("here"), F.max("asks").alias("asks"))
     ordered = materialise(merged.orderBy("s").withColumn("_seq", F.monotonically_increasing_id()), "moments")
     task = F.shiftright("_seq", TASK_BITS)
-    within = Window.partitionBy(task).orderBy(F.col("_seq").bitwiseAND(F.lit(IN_TASK)))
+    place = F.col("_seq").bitwiseAND(F.lit(IN_TASK))
+    # Both look back, in either order: a frame that ends where the range ends
+    # would be gone through again for every row.
+    upto = (Window.unboundedPreceding, 0)
+    forth, back = Window.partitionBy(task).orderBy(place.asc()), Window.partitionBy(task).orderBy(place.desc())
     looked = ordered.withColumns({
         "_task": task,
-        "_back": F.last("here", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)),
-        "_on": F.first("here", ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing)),
+        "_back": F.last("here", ignorenulls=True).over(forth.rowsBetween(*upto)),
+        "_on": F.last("here", ignorenulls=True).over(back.rowsBetween(*upto)),
     }).where("asks")
     # One line per task of the sort: the window over them and the broadcast are
     # bounded by the number of tasks.
     ends = ordered.groupBy(task.alias("_task")).agg(F.max("here").alias("last"), F.min("here").alias("first"))
-    tasks = Window.partitionBy(F.lit(0)).orderBy("_task")
+    before = (Window.unboundedPreceding, -1)
+    tasks, tasks_back = (Window.partitionBy(F.lit(0)).orderBy(o) for o in (F.col("_task").asc(), F.col("_task").desc()))
     borders = ends.select(
         "_task",
-        F.last("last", ignorenulls=True).over(tasks.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-        F.first("first", ignorenulls=True).over(tasks.rowsBetween(1, Window.unboundedFollowing)).alias("_right"),
+        F.last("last", ignorenulls=True).over(tasks.rowsBetween(*before)).alias("_left"),
+        F.last("first", ignorenulls=True).over(tasks_back.rowsBetween(*before)).alias("_right"),
     )
     return looked.join(F.broadcast(materialise(borders, "borders")), "_task").select(
         "s", F.coalesce("_back", "_left").alias("back"), F.coalesce("_on", "_right").alias("on")

@@ -53,10 +53,11 @@ def _words(t):
 
 @query("match_term_table",
        f"WITH {WORDS_SQL}, blobs AS (SELECT doc_id, lower({DOCUMENT_BLOB}) AS b FROM documents) "
-       "SELECT term, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM blobs, terms WHERE term <> '' AND contains(b, lower(term)) GROUP BY term")
+       "SELECT term, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids FROM blobs, terms "
+       "WHERE (length(term) > 8 OR term = 'a') AND contains(b, lower(term)) GROUP BY term")
 def _(t):
     postings = search.write_postings(t.documents, scratch_path(t.spark, "postings"))
-    hits = search.match_term_table(t.documents, postings, _words(t))
+    hits = search.match_term_table(t.documents, postings, _words(t).where("length(term) > 8 OR term = 'a'"))
     return hits.groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("rid") - 1).alias("ids"))
 
 
@@ -64,12 +65,12 @@ def _(t):
        f"WITH {WORDS_SQL}, blobs AS (SELECT 6 AS source_id, lower({DOCUMENT_BLOB}) AS b FROM documents UNION ALL "
        "SELECT 7, lower(concat_ws(' ', page_id::VARCHAR, url, html)) FROM pages) "
        "SELECT source_id, term, least(count(*), 40) AS match_count, count(*) > 40 AS capped FROM blobs, terms "
-       "WHERE length(term) > 5 AND contains(b, lower(term)) GROUP BY source_id, term")
+       "WHERE length(term) > 8 AND contains(b, lower(term)) GROUP BY source_id, term")
 def _(t):
     indexed = {
         sid: (rows, search.write_postings(rows, scratch_path(t.spark, "postings"))) for sid, rows in ((6, t.documents), (7, t.pages))
     }
-    return search.search_all_by_term_table(indexed, _words(t).where(F.length("term") > 5), cap=40)
+    return search.search_all_by_term_table(indexed, _words(t).where(F.length("term") > 8), cap=40)
 
 
 TREE_SQL = """
