@@ -106,7 +106,7 @@ def test_query(spark, odd_tables):
     assert Counter(map(tuple, QUERIES["op12_token_alignment"](spark, odd_tables).select(*COLUMNS).collect())) == wanted(rows)
 
 
-@pytest.mark.parametrize("part, cut", [(1, 50), (3000, 1), (1 << 20, 700)])
+@pytest.mark.parametrize("part, cut", [(1, 50), (3000, 5), (1 << 20, 700)])
 def test_parts_and_slices(spark, monkeypatch, part, cut):
     monkeypatch.setattr(alignment, "PART", part)
     monkeypatch.setattr(alignment, "SLICE", cut)
