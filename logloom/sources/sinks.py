@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +67,25 @@ CSV_OPTIONS = {
     "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 ROWS_PER_FILE = 1_000_000
+ROWS_PER_TASK = 50_000  # of short files a task writes several, one after another
 
 
 def _csv_line(cells: list[Column]) -> Column:
     return F.to_csv(F.struct(*cells), CSV_OPTIONS)
 
 
+def _range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below the value.  They travel as one
+    array, so many of them do not lengthen the plan."""
+    at = np.array(bounds, np.int64)
+
+    @F.arrow_udf("int")
+    def place(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(at, values.to_numpy(zero_copy_only=False)).astype(np.int32))
+
+    return place(value) if bounds else F.lit(0)
+
+
 def export_tagged(
     sources: list[Source], path: str, tags: DataFrame, tag_defs: DataFrame, notes: DataFrame, rows_per_file: int = ROWS_PER_FILE
 ) -> list[int]:
@@ -78,37 +93,38 @@ def export_tagged(
     their ids.
 
     One job writes all of them: each source's rows become lines of its own
-    layout, are cut into ranges of about ``rows_per_file`` rows by rid, and every
-    range is one file that begins with the source's header.  The ranges come
-    from the tags alone: a line per source, with a bound per file."""
+    layout, are cut into ranges by rid, a task's work each, and every task writes
+    its rows in order to files of at most ``rows_per_file`` rows that begin with
+    the source's header.  The ranges come from the tags alone: a line per source,
+    with a bound per task."""
     marked = tags.select(*KEYS).distinct()
     listed = {s.id: s for s in sources}
     counts = {r["source_id"]: r["n"] for r in marked.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).collect() if r["source_id"] in listed}
     if not counts:
         return []
     bounds: dict[int, list[int]] = {sid: [] for sid in counts}
-    large = {sid: -(-n // rows_per_file) for sid, n in counts.items() if n > rows_per_file}
-    for files in sorted(set(large.values())):
-        share = F.percentile_approx("rid", [i / files for i in range(1, files)], 10_000).alias("at")
-        chosen = marked.where(F.col("source_id").isin([s for s, f in large.items() if f == files]))
+    rows_per_task = rows_per_file * max(1, ROWS_PER_TASK // rows_per_file)
+    large = {sid: -(-n // rows_per_task) for sid, n in counts.items() if n > rows_per_task}
+    for tasks in sorted(set(large.values())):
+        share = F.percentile_approx("rid", [i / tasks for i in range(1, tasks)], 10_000).alias("at")
+        chosen = marked.where(F.col("source_id").isin([s for s, n in large.items() if n == tasks]))
         bounds |= {r["source_id"]: sorted(set(r["at"])) for r in chosen.groupBy("source_id").agg(share).collect()}
     frames, base = [], 0
     for sid in sorted(counts):
         mine = tags.where(F.col("source_id") == sid)
         rows = export_rows(having_tags(listed[sid].keyed(), mine), mine, tag_defs, notes, tagged_only=True)
         cells = [c for c in rows.columns if c not in KEYS]
-        place = F.lit(base)
-        for bound in bounds[sid]:
-            place = place + (F.col("rid") > bound).cast("int")
+        place = F.lit(base) + _range_of(F.col("rid"), bounds[sid])
         head = _csv_line([F.lit(c).alias(f"c{i}") for i, c in enumerate(cells)])
         line = _csv_line([ref(c).alias(f"c{i}") for i, c in enumerate(cells)])
-        frames.append(rows.select("source_id", "rid", place.alias("_file"), head.alias("_head"), line.alias("_line")))
+        frames.append(rows.select("source_id", "rid", place.alias("_task"), head.alias("_head"), line.alias("_line")))
         base += len(bounds[sid]) + 1
-    ordered = reduce(DataFrame.unionByName, frames).repartitionById(base, F.col("_file")).sortWithinPartitions("rid")
-    # A task holds one file's rows, so its first row brings the header.
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_TASK)) == 0
+    # The writer's own order is by source: with it in front, no second sort moves the rows.
+    ordered = reduce(DataFrame.unionByName, frames).repartitionById(base, F.col("_task")).sortWithinPartitions("source_id", "rid")
+    # A task holds one source's rows, and the row that opens a file brings the header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_TASK)) % rows_per_file == 0
     line = F.when(first, F.concat("_head", F.lit("\n"), "_line")).otherwise(F.col("_line"))
-    ordered.select("source_id", line.alias("value")).write.partitionBy("source_id").text(path)
+    ordered.select("source_id", line.alias("value")).write.partitionBy("source_id").option("maxRecordsPerFile", rows_per_file).text(path)
     return sorted(counts)
 
 

@@ -365,6 +365,21 @@ def test_tagged_export_in_files(spark, tmp_path):
     assert sinks.export_tagged([none], str(tmp_path / "u"), tags, defs, notes) == []
 
 
+def test_tagged_export_in_very_many_files(spark, tmp_path, monkeypatch):
+    defs = spark.createDataFrame([(1, "One", "#1", None)], "id int, name string, color string, hotkey string")
+    notes = spark.createDataFrame([], "source_id int, rid bigint, note string")
+    rows = spark.range(1, 1501).select(F.col("id").alias("rid"), F.concat(F.lit("v"), "id").alias("v")).repartition(4)
+    tags = spark.range(1, 1501).selectExpr("int(id % 2 + 1) AS source_id", "id AS rid", "1 AS tag_id")
+    for per_task, path in ((50_000, str(tmp_path / "one")), (100, str(tmp_path / "several"))):
+        monkeypatch.setattr(sinks, "ROWS_PER_TASK", per_task, raising=False)
+        assert sinks.export_tagged([Source(1, "a", rows), Source(2, "b", rows)], path, tags, defs, notes, rows_per_file=1) == [1, 2]
+        for sid in (1, 2):
+            files = [f for f in os.listdir(f"{path}/source_id={sid}") if f.startswith("part")]
+            held = [open(f"{path}/source_id={sid}/{f}").read().splitlines() for f in sorted(files)]
+            assert all(lines[0] == "Line,Tags,Note,v" and len(lines) == 2 for lines in held)
+            assert [lines[1] for lines in held] == [f"{r},One,,v{r}" for r in range(1, 1501) if r % 2 + 1 == sid]
+
+
 def test_quotes_that_are_never_closed(spark, tmp_path):
     lines = [f"{i};note {i}" for i in range(400)]
     lines[20] = '20;"left open'
