@@ -95,7 +95,7 @@ class Both:
         if not text:
             return none, none
         whole = (" " + text).encode()
-        a = self.encoding.encode_to_numpy(" " + text).astype(np.int64)
+        a = self.encoding.encode_to_numpy(" " + text, allowed_special=set(), disallowed_special=()).astype(np.int64)
         b = np.asarray(self.model.encode(text, out_type="numpy", num_threads=1)).astype(np.int64)
         return (a, b) if self.a.joined(a) == whole and self.b.joined(b) == whole else (none, none)
 
