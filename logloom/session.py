@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings the operators rely on; everything else is the cluster's choice.
@@ -98,3 +98,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_light(df: DataFrame, size: Column) -> DataFrame:
+    """``broadcast_if_small`` for rows of any width: ``size`` is a row's bytes, and
+    their sum counts as well.  A larger side is joined by shuffle even where its
+    files, which are compressed, look small.  Pass a written table."""
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint") + 64).alias("bytes")).head()
+    small = held["n"] <= BROADCAST_ROWS and (held["bytes"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df.hint("merge")
