@@ -166,10 +166,8 @@ def write_order(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(words)
         for batch in batches:
-            counts = [len(encoder.ids(text.as_py())) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("print"), pa.array(counts, pa.int64())], ["doc_id", "print", "n"]
-            )
+            counts = pa.array(encoder.counts(batch.column("text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), counts], ["doc_id", "print", "n"])
 
     measured = keyed.select("doc_id", "print", "text").mapInArrow(measure, "doc_id bigint, print string, n bigint")
     sizes = materialise(measured, "order-sizes").groupBy("doc_id", "print").agg(
@@ -218,20 +216,21 @@ def write_order(
         """What sequences mean for each shard: slots, and the records compressed."""
         slots = permutation.slot(np.concatenate(numbers))
         order = np.argsort(slots)
-        slots, made = slots[order], np.concatenate(held)[order]
+        slots, made = slots[order], np.concatenate(held)
         shard, begin = np.unique(slots // per_shard, return_index=True)
         runs = list(zip(begin, np.append(begin[1:], len(slots))))
         return pa.RecordBatch.from_arrays([
             pa.array(shard.astype(np.int32)), pa.array([slots[a:b].tobytes() for a, b in runs], pa.binary()),
-            pa.array([codec.compress(made[a:b].tobytes(), asbytes=True) for a, b in runs], pa.binary()),
+            pa.array([codec.compress(made[order[a:b]].tobytes(), asbytes=True) for a, b in runs], pa.binary()),
         ], ["shard", "slots", "records"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, codec = Encoder(words), pa.Codec("zstd", compression_level=3)
         for batch in batches:
             held, numbers, many = [], [], 0
-            for text, first, times in zip(batch.column("text"), batch.column("first").to_pylist(), batch.column("times").to_pylist()):
-                made = records(encoder.ids(text.as_py()), length, dtype)
+            lists = encoder.lists(batch.column("text"))
+            for ids, first, times in zip(lists, batch.column("first").to_pylist(), batch.column("times").to_pylist()):
+                made = records(ids, length, dtype)
                 held.append(np.tile(made, (times, 1)) if times > 1 else made)
                 numbers.append(first + np.arange(len(held[-1])))
                 many += len(held[-1])
