@@ -56,9 +56,10 @@ def text_or_empty(text: Column) -> Column:
 
 def broadcast_below(df: DataFrame, size: Column, limit: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only after summing that the written table ``df`` holds
-    less than ``limit`` bytes; beyond that the join shuffles."""
+    less than ``limit`` bytes; beyond that the join shuffles, also where the
+    files, which are compressed, look small to Spark."""
     total = df.agg(F.sum(size.cast("bigint") + 64).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if total < limit else df
+    return F.broadcast(df) if total < limit else df.hint("merge")
 
 
 def materialise_blocks(df: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,11 @@ buckets that hold the same two classes the first band's compares them.  So a
 group of near copies costs as many links as it has members, in blocks that are
 separate tasks, and nothing is capped.
 
+Spark sizes a table by its files and the widths of its columns' types, not by
+what an ``explode`` makes of its rows: the bands of a million classes count as
+some megabytes and are gigabytes.  So joins with a side that grows with the
+input are hinted to shuffle, and only what was measured is broadcast.
+
 The number of bands follows from the threshold: a pair exactly at it is missed
 with a probability of at most ``MISS``.
 
@@ -102,7 +107,7 @@ def sketch(docs: DataFrame, words: int, similarity: float, doc_id: str = "doc_id
         .agg(F.min("uid").alias("uid"), F.min(F.col(f"row.{doc_id}")).alias("low"), F.max("n_shingles").alias("n_shingles"))
     )
     # The class's bands are those of the document it is named after.
-    named = classes.join(written.select("uid", "bands", "marks"), "uid").withColumn("node", F.monotonically_increasing_id())
+    named = classes.join(written.select("uid", "bands", "marks").hint("merge"), "uid").withColumn("node", F.monotonically_increasing_id())
     return Sketched(written.drop("bands", "marks"), materialise(named, "near-classes"))
 
 
@@ -211,10 +216,10 @@ def link_classes(sketched: Sketched, text: str, words: int, percent: int, block:
     banded = sketched.classes.select("node", F.posexplode(numbers("bands")).alias("band", "bucket"))
     # Most buckets hold one class; they are counted before the shuffle.
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = materialise(banded.join(shared, "bucket"), "near-members")
+    members = materialise(banded.join(shared.hint("merge"), "bucket"), "near-members")
     blocks = F.ceil(F.col("held") / block)
     dealt = (
-        members.join(sketched.classes.select("node", "n_shingles", "bands", "marks"), "node")
+        members.join(sketched.classes.select("node", "n_shingles", "bands", "marks").hint("merge"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         .select(
@@ -228,12 +233,12 @@ def link_classes(sketched: Sketched, text: str, words: int, percent: int, block:
 
     found = materialise(grouped(dealt).mapInArrow(_with_candidates(percent, agree), dealt.schema), "near-candidates")
     wanted = materialise(
-        sketched.classes.select("node", "uid").join(found.select("node").distinct(), "node"), "near-wanted"
+        sketched.classes.select("node", "uid").join(found.select("node").distinct().hint("merge"), "node"), "near-wanted"
     )
     texts = sketched.docs.select("uid", F.col(f"row.{text}").cast("string").alias("text")).join(
         broadcast_below(wanted, F.lit(16)), "uid"
     ).select("node", "text")
-    links = grouped(found.join(texts, "node")).mapInArrow(_links(words, percent, agree), "a bigint, b bigint")
+    links = grouped(found.join(texts.hint("merge"), "node")).mapInArrow(_links(words, percent, agree), "a bigint, b bigint")
     return connected_components(materialise(links, "near-links"))
 
 
@@ -252,10 +257,10 @@ def near_duplicates(
 ) -> NearDuplicates:
     sketched = sketch(docs, words, percent / 100, doc_id, text)
     components = link_classes(sketched, text, words, percent)
-    named = sketched.classes.select("node", "print", "low").join(components, "node", "left")
+    named = sketched.classes.select("node", "print", "low").join(broadcast_below(components, F.lit(16)), "node", "left")
     grouped = named.select("print", "low", F.coalesce("component", "node").alias("group"))
     lowest = grouped.groupBy("group").agg(F.min("low").alias("component_id"))
-    return NearDuplicates(sketched, materialise(grouped.select("print", "group").join(lowest, "group"), "near-groups"))
+    return NearDuplicates(sketched, materialise(grouped.select("print", "group").join(lowest.hint("merge"), "group"), "near-groups"))
 
 
 def dedupe(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +268,7 @@ def dedupe(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "do
     ids that are null last, and of several such rows any one."""
     near = near_duplicates(docs, words, percent, doc_id, text)
     keys = near.sketched.docs.select("uid", "print", F.col(f"row.{doc_id}").alias("id"))
-    grouped = keys.join(near.groups.select("print", "group"), "print")
+    grouped = keys.join(near.groups.select("print", "group").hint("merge"), "print")
     kept = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"))
     dropped = materialise(
         grouped.join(kept, "group").where(F.col("uid") != F.col("first.uid")).select("uid"), "near-dropped"

@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ids import with_position
-from ..session import broadcast_if_small
-from .common import WORD, materialise, query, table
+from .common import WORD, broadcast_below, materialise, query, table
 
 CELLS = 1 << 16
 
@@ -114,12 +113,12 @@ def plan_mix(
     )
     # The first group of cells, and in it the first cell, to reach beyond the
     # fraction, and the words before it: two short windows for each source.
-    part = broadcast_if_small(materialise(filled.select(F.col("source").alias("s"), "part"), "mix-parts"))
+    part = broadcast_below(materialise(filled.select(F.col("source").alias("s"), "part"), "mix-parts"), _bytes("s"))
     mine = F.col("source").eqNullSafe(F.col("s"))
     groups = cells.groupBy("source", _group(F.col("cell")).alias("at")).agg(F.sum("words").alias("words"))
     group_ends = materialise(_first_beyond(groups.join(part, mine).withColumn("before", F.lit(0))), "mix-groups")
     inside = cells.withColumnRenamed("source", "c").join(
-        broadcast_if_small(group_ends), F.col("c").eqNullSafe(F.col("source")) & (_group(F.col("cell")) == F.col("end"))
+        broadcast_below(group_ends, _bytes("source")), F.col("c").eqNullSafe(F.col("source")) & (_group(F.col("cell")) == F.col("end"))
     )
     ends = _first_beyond(inside.select("source", F.col("cell").alias("at"), "words", "part", "before"))
     return materialise(
@@ -131,6 +130,11 @@ def plan_mix(
     )
 
 
+def _bytes(source: str) -> Column:
+    """Of a row of a source: its name, of any length, and up to six numbers."""
+    return F.coalesce(F.octet_length(F.col(source).cast("string")), F.lit(0)) + 48
+
+
 def _group(cell: Column) -> Column:
     return F.shiftright(cell, 8)
 
@@ -147,7 +151,7 @@ def _first_beyond(rows: DataFrame) -> DataFrame:
 def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with the plan of their source and ``copies``: how often each is
     read.  A document belongs to the fraction when its middle word does."""
-    joined = rows.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("plan_source")))
+    joined = rows.join(broadcast_below(plan, _bytes("plan_source")), F.col("source").eqNullSafe(F.col("plan_source")))
     cell = _cell(F.col("order"))
     certain = joined.where(cell != F.col("end_cell")).withColumn(
         "copies", F.col("whole") + F.when(cell < F.col("end_cell"), 1).otherwise(0)
