@@ -17,8 +17,9 @@ separate tasks, and nothing is capped.
 
 Spark sizes a table by its files and the widths of its columns' types, not by
 what an ``explode`` makes of its rows: the bands of a million classes count as
-some megabytes and are gigabytes.  So joins with a side that grows with the
-input are hinted to shuffle, and only what was measured is broadcast.
+some megabytes and are gigabytes.  So where classes are linked and documents
+dropped, joins with a side that grows with the input are hinted to shuffle, and
+only what was measured is broadcast; ``labelled`` leaves its join to Spark.
 
 The number of bands follows from the threshold: a pair exactly at it is missed
 with a probability of at most ``MISS``.
